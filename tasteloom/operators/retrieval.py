@@ -130,19 +130,23 @@ def score_with_logq(
     return joined.withColumn("score", score).drop("log_prob")
 
 
-def score_candidates(
-    cands: DataFrame, user_emb: DataFrame, item_emb: DataFrame, k: int
-) -> DataFrame:
-    """Score only the listed (query, item) pairs, then keep the best ``k``."""
+def score_pairs(cands: DataFrame, user_emb: DataFrame, item_emb: DataFrame) -> DataFrame:
+    """Dot product of the listed (query, item) pairs only."""
     pairs = (
         cands.select("query_id", "item_idx")
         .join(item_emb.select("item_idx", F.col("embedding").alias("_i")), "item_idx")
         .join(user_emb.select("query_id", F.col("embedding").alias("_u")), "query_id")
     )
-    scored = pairs.select(
+    return pairs.select(
         "query_id", "item_idx", F.round(vectors.dot("_u", "_i"), DECIMALS).alias("score")
     )
-    return rank_scored(scored, k)
+
+
+def score_candidates(
+    cands: DataFrame, user_emb: DataFrame, item_emb: DataFrame, k: int
+) -> DataFrame:
+    """The best ``k`` of the listed candidates of each query."""
+    return rank_scored(score_pairs(cands, user_emb, item_emb), k)
 
 
 def popularity_ranking(counts: DataFrame) -> DataFrame:

@@ -77,10 +77,10 @@ def eval_retrieval(
 
     def report(items: DataFrame, scale: float, prefix: str) -> DataFrame:
         if candidates is not None:
-            scored = retrieval.score_candidates(candidates, queries, item_emb, k=2**31 - 1)
+            scored = retrieval.score_pairs(candidates, queries, item_emb)
             if scale != 1.0:
-                scored = retrieval.score_with_logq(scored.drop("rank"), log_probs, temperature)
-            preds = retrieval.rank_scored(scored.drop("rank"), k)
+                scored = retrieval.score_with_logq(scored, log_probs, temperature)
+            preds = retrieval.rank_scored(scored, k)
         elif history is not None:
             preds = retrieval.masked_topk(queries, items, history, k, scale)
         else:

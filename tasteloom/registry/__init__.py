@@ -1 +1,6 @@
+"""All registered queries."""
 
+from . import features, prep, sequences  # noqa: F401
+from .common import QUERIES, oracles
+
+__all__ = ["QUERIES", "oracles"]
