@@ -64,6 +64,8 @@ def grid_apply(
     rows meet every right row of their group exactly once, spread over the group's block pairs.
     """
     keys = list(keys)
+    # fresh column identities: both sides often come from one table
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
     key = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
     left = left.withColumn("_group", key)
     right = right.withColumn("_group", key)
