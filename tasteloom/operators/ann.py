@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..schemas import RETRIEVAL_K, SEED
+from ..session import store
 from .grid import best_rows, grid_apply
 from .ordering import top_per_group
 from .retrieval import DECIMALS, RESULT, candidates_by_block, exact_topk, rank_scored, score_matrix
@@ -299,7 +300,7 @@ def ann_sweep(
     """
     import time
 
-    exact = truth if truth is not None else exact_topk(queries, items, k, "l2")
+    exact = truth if truth is not None else store(exact_topk(queries, items, k, "l2"))
     n_queries = queries.count()
     dim = len(items.select("embedding").first()[0])
     centres: dict[int, DataFrame] = {}
@@ -310,11 +311,11 @@ def ann_sweep(
             continue
         if nlist not in centres:
             centres[nlist] = ivf_train(items, nlist, seed)
-        assigned = ivf_assign(items, centres[nlist])
+        assigned = store(ivf_assign(items, centres[nlist]))
         probes = [n for n in nprobes if n <= nlist]
         if kind == "pq":
             books = pq_train(items, int(conf.get("m", 8)), int(conf.get("nbits", 8)), seed)
-            codes = pq_encode(assigned, books)
+            codes = store(pq_encode(assigned, books))
             runs = {n: ivfpq_search(queries, codes, books, centres[nlist], n, k) for n in probes}
         else:
             base = assigned

@@ -12,9 +12,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import store
+
 LEFT_ROWS = 4096
 RIGHT_ROWS = 8192
 MAX_BUCKETS = 65_536  # rows of the broadcast block-count table
@@ -64,8 +66,9 @@ def grid_apply(
     rows meet every right row of their group exactly once, spread over the group's block pairs.
     """
     keys = list(keys)
-    # fresh column identities: both sides often come from one table
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    # Each side is counted and then read: written once, so that what it comes from runs once. This
+    # also gives fresh column identities, as both sides often come from one table.
+    left, right = store(left), store(right)
     key = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
     left = left.withColumn("_group", key)
     right = right.withColumn("_group", key)

@@ -70,11 +70,12 @@ def hard_negatives_user(
     negs = topk.select(F.col("query_id").alias(user), "item_idx", "rank").join(
         positives.select(user, "item_idx"), [user, "item_idx"], "left_anti"
     )
-    pools = pool_after_skip(negs, user, skip_top)  # at most k items per user
-    joined = inter.select(key, user).join(pools, user, "left")
+    pools = store(pool_after_skip(negs, user, skip_top))  # at most k items per user
     pick = F.element_at("pool", (draw_below(F.size("pool").cast("long"), key, seed=seed) + 1).cast("int"))
-    chosen = joined.where(F.col("pool").isNotNull()).select(key, user, pick.alias("neg_item_idx"))
-    rest = joined.where(F.col("pool").isNull()).select(key, user)
+    chosen = inter.select(key, user).join(pools, user).select(key, user, pick.alias("neg_item_idx"))
+    rest = inter.select(key, user).join(pools.select(user), user, "left_anti")
+    if rest.isEmpty():
+        return chosen
     return chosen.unionByName(_random_unseen(rest, positives, n_items, 1, seed, key, user).select(
         key, user, F.col("neg_item_idx_1").alias("neg_item_idx")
     ))
@@ -112,7 +113,7 @@ def _random_unseen(
     rows: DataFrame, positives: DataFrame, n_items: int, n: int, seed: int, key: str, user: str
 ) -> DataFrame:
     """``(key, user, neg_item_idx_1..n)``: uniform over the user's unseen items, repeats allowed."""
-    seen = positives.select(user, "item_idx").distinct()
+    seen = store(positives.select(user, "item_idx").distinct())
     free = rows.select(key, user).join(unseen_counts(seen, n_items, user), user, "left")
     free = free.withColumn("unseen", F.coalesce("unseen", F.lit(n_items)).cast("long"))
     able = free.where(F.col("unseen") > 0)
@@ -172,8 +173,10 @@ def uniform_unseen(
     ``n`` different ones; when the room is below ``8n`` all places are shuffled instead, and a user
     whose draws do not suffice after all is shuffled too.
     """
-    room = users.select(user).join(unseen_counts(seen, n_items, user), user, "left").select(
-        user, F.coalesce("unseen", F.lit(n_items)).cast("long").alias("room")
+    room = store(
+        users.select(user)
+        .join(unseen_counts(seen, n_items, user), user, "left")
+        .select(user, F.coalesce("unseen", F.lit(n_items)).cast("long").alias("room"))
     )
     tries = 2 * n + 20
     roomy = room.where(F.col("room") >= 8 * n)
@@ -277,16 +280,17 @@ def sampled_candidates(
     Slot 0 is the positive. ``strategy`` is uniform, popularity, or mixed (half and half).
     """
     targets = test.groupBy(user).agg(F.max("item_idx").alias("item_idx"), F.count(F.lit(1)).alias("_c"))
+    targets = store(targets)
     most = targets.agg(F.max("_c")).first()[0]
     if most is not None and most != 1:
         raise ValueError(f"sampled evaluation needs exactly one test item per user, found {most}")
-    known = positives.select(user, "item_idx").distinct()
+    known = store(positives.select(user, "item_idx").distinct())
     users = targets.select(user)
     if strategy == "popularity":
         negs = weighted_unseen(users, known, counts, n, seed, user)
     elif strategy == "mixed":
         half = n // 2
-        first = uniform_unseen(users, known, n_items, half, seed, user)
+        first = store(uniform_unseen(users, known, n_items, half, seed, user))
         taken = known.unionByName(first.select(user, "item_idx"))
         second = weighted_unseen(users, taken, counts, n - half, seed, user)
         negs = first.unionByName(second.withColumn("slot", F.col("slot") + half))
@@ -341,5 +345,5 @@ def negatives_excluding(
     user: str = "user_idx",
 ) -> DataFrame:
     """``n`` different items per user from neither its history nor its truth."""
-    known = history.select(user, "item_idx").unionByName(truth.select(user, "item_idx")).distinct()
+    known = store(history.select(user, "item_idx").unionByName(truth.select(user, "item_idx")).distinct())
     return uniform_unseen(users, known, n_items, n, seed, user)

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import features, prep, sequences, vectors  # noqa: F401
+from . import features, negatives, prep, sequences, vectors  # noqa: F401
 from .common import QUERIES, oracles
 
 __all__ = ["QUERIES", "oracles"]
