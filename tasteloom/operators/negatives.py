@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.portable import digest, draw, draw_below
 from ..schemas import MINING_SKIP_TOP, RANDOM_NEGATIVES, SEED
-from ..session import store
+from ..session import spread, store
 from .grid import grid_apply
 from .ordering import running_total, top_per_group, with_position
 
@@ -181,7 +181,7 @@ def uniform_unseen(
     tries = 2 * n + 20
     roomy = room.where(F.col("room") >= 8 * n)
     tight = room.where((F.col("room") < 8 * n) & (F.col("room") > 0))
-    attempts = roomy.select(user, "room", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("_a"))
+    attempts = spread(roomy, user).select(user, "room", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("_a"))
     drawn = attempts.select(user, "_a", draw_below(F.col("room"), user, F.col("_a"), seed=seed).alias("r"))
     firsts = drawn.groupBy(user, "r").agg(F.min("_a").alias("_a"))
     picked = store(top_per_group(firsts, [user], ["_a"], n, "slot").select(user, "r", "slot"))
@@ -190,7 +190,7 @@ def uniform_unseen(
         tight = tight.unionByName(roomy.join(full, user, "left_anti"))
         picked = picked.join(full, user, "left_semi")
 
-    places = tight.select(user, F.explode(F.sequence(F.lit(0).cast("long"), F.col("room") - 1)).alias("r"))
+    places = spread(tight, user).select(user, F.explode(F.sequence(F.lit(0).cast("long"), F.col("room") - 1)).alias("r"))
     shuffled = top_per_group(places, [user], [digest(user, "r", seed=seed), F.col("r")], n, "slot")
     chosen = picked.unionByName(shuffled.select(user, "r", "slot"))
 
@@ -240,7 +240,7 @@ def weighted_unseen(
     ).where(F.col("need") > 0)
     done, tries = None, 4 * n
     for _ in range(max_tries):
-        attempts = needs.select(user, "need", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("_a"))
+        attempts = spread(needs, user).select(user, "need", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("_a"))
         drawn = attempts.withColumn("_x", draw_below(int(total), user, F.col("_a"), F.lit("w"), seed=seed))
         hit = drawn.withColumn("_bucket", F.floor(F.col("_x") / width)).join(buckets, "_bucket").where(
             (F.col("_x") >= F.col("lo")) & (F.col("_x") < F.col("hi"))
@@ -255,7 +255,7 @@ def weighted_unseen(
         if needs.isEmpty():
             return done
         tries *= 4
-    everything = needs.select(user, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(counts.agg(F.max("item_idx")).first()[0]))).alias("item_idx"))
+    everything = spread(needs, user).select(user, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(counts.agg(F.max("item_idx")).first()[0]))).alias("item_idx"))
     keyed = everything.join(live, "item_idx").join(seen.select(user, "item_idx"), [user, "item_idx"], "left_anti")
     u01 = (draw(user, "item_idx", seed=seed) + 1) / F.lit(float(16**13 + 1))
     return done.unionByName(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,29 +59,44 @@ def kcore(
 ) -> DataFrame:
     """Rows left after dropping users and items with fewer than ``k`` rows until nothing changes.
 
-    The loop runs on (user, item, rows) pairs only and each round is a written table, so neither
-    the lineage nor the width of the data grows with the number of rounds.
+    The loop counts (user, item, rows) pairs and writes down only the ids it drops. These are few
+    after the first rounds, so they are usually broadcast (their number is known by then) and the
+    pairs are not shuffled: a round moves partial counts only.
     """
     if k <= 1:
         return df
-    pairs = store(df.groupBy(user, item).agg(F.count(F.lit(1)).alias("_rows")))
-    size, rounds = pairs.count(), 0
-    while size:
-        if rounds == max_rounds:
-            raise RuntimeError(f"k-core did not settle in {max_rounds} rounds")
-        rounds += 1
-        kept = pairs
+    kept = store(df.groupBy(user, item).agg(F.count(F.lit(1)).alias("_rows")))
+    dropped = {user: [], item: []}
+    for r in range(1, max_rounds + 1):
+        changed = False
         for side in (user, item):
-            enough = kept.groupBy(side).agg(F.sum("_rows").alias("_n")).where(F.col("_n") >= k)
-            kept = kept.join(enough.select(side), side, "left_semi")
-        kept = store(kept.select(user, item, "_rows"))
-        left = kept.count()
-        if left == size:
+            few = kept.groupBy(side).agg(F.sum("_rows").alias("_n")).where(F.col("_n") < k)
+            few = store(few.select(side))
+            n = few.count()
+            if n:
+                changed = True
+                dropped[side].append(few)
+                kept = kept.join(broadcast_if_few(few, n), side, "left_anti")
+        if not changed:
             break
-        pairs, size = kept, left
-    users = pairs.select(user).distinct()
-    items = pairs.select(item).distinct()
-    return df.join(users, user, "left_semi").join(items, item, "left_semi").select(*df.columns)
+        if r % STORE_EVERY == 0:
+            kept = store(kept)
+    else:
+        raise RuntimeError(f"k-core did not settle in {max_rounds} rounds")
+    out = df
+    for side, tables in dropped.items():
+        if tables:
+            ids = reduce(DataFrame.unionByName, tables)
+            out = out.join(broadcast_if_few(ids, ids.count()), side, "left_anti")
+    return out.select(*df.columns)
+
+
+BROADCAST_IDS = 1_000_000  # a table of that many ids is some ten megabytes
+STORE_EVERY = 4  # rounds of filters the plan may pile up
+
+
+def broadcast_if_few(ids: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
 
 
 def id_map(df: DataFrame, col: str, order_by=None) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors
 from ..functions.portable import digest, draw01
 from ..schemas import EXPLICIT_NEG_WEIGHT, RANDOM_NEG_RATIO, RETRIEVAL_K, SEED
 from .negatives import subsample_exact, unpivot_negatives
@@ -95,13 +94,18 @@ def new_item_mask(df: DataFrame, unknown: bool = True) -> DataFrame:
 def ranker_parts(
     pairs: DataFrame, user_emb: DataFrame, item_emb: DataFrame, meta: DataFrame, pop: DataFrame
 ) -> DataFrame:
-    """Join the raw feature columns to (user_idx, item_idx) rows; other columns stay."""
+    """Join the raw feature columns to (user_idx, item_idx) rows; other columns stay.
+
+    What depends on the item alone (double vector, genre shares) is computed once per item.
+    """
+    n_genres = F.greatest(F.aggregate("genre_multihot", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
+    share = F.transform("genre_multihot", lambda g: g / n_genres)
     items = (
-        item_emb.select("item_idx", F.col("embedding").alias("i_vec"))
-        .join(meta.select("item_idx", "genre_multihot", "year_bucket"), "item_idx")
+        item_emb.select("item_idx", F.col("embedding").cast("array<double>").alias("i_vec"))
+        .join(meta.select("item_idx", share.alias("genre_share"), "year_bucket"), "item_idx")
         .join(pop.select("item_idx", "z"), "item_idx")
     )
-    users = user_emb.select("user_idx", F.col("embedding").alias("u_vec"))
+    users = user_emb.select("user_idx", F.col("embedding").cast("array<double>").alias("u_vec"))
     return pairs.join(items, "item_idx").join(users, "user_idx")
 
 
@@ -109,13 +113,12 @@ def assemble_features(parts: DataFrame) -> DataFrame:
     """``features``: user, item (zeroed if unknown), their product, popularity, year one-hot,
     genre shares, and the unknown flag."""
     flag = F.col("is_unknown") if "is_unknown" in parts.columns else F.lit(0.0)
-    u = F.col("u_vec").cast("array<double>")
-    i = F.transform(F.col("i_vec").cast("array<double>"), lambda x: x * (1.0 - flag))
+    zeros = F.array_repeat(F.lit(0.0), F.size("i_vec"))
+    item = F.when(flag > 0, zeros).otherwise(F.col("i_vec"))
+    product = F.when(flag > 0, zeros).otherwise(F.zip_with("u_vec", "i_vec", lambda a, b: a * b))
     year = F.array(*[(F.col("year_bucket") == y).cast("double") for y in range(YEAR_BUCKETS)])
-    n_genres = F.greatest(F.aggregate("genre_multihot", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
-    genres = F.transform("genre_multihot", lambda g: g / n_genres)
-    vec = F.concat(u, i, vectors.hadamard(u, i), F.array(F.col("z")), year, genres, F.array(flag))
-    drop = ["u_vec", "i_vec", "genre_multihot", "year_bucket", "z"]
+    vec = F.concat("u_vec", item, product, F.array(F.col("z")), year, "genre_share", F.array(flag))
+    drop = ["u_vec", "i_vec", "genre_share", "year_bucket", "z"]
     return parts.withColumn("features", vec).drop(*drop)
 
 

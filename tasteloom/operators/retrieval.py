@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..functions.portable import digest
 from ..schemas import RETRIEVAL_K, SEED, TEMPERATURE
+from ..session import spread
 from .grid import best_rows, grid_apply
 from .ordering import top_per_group, with_position
 
@@ -184,7 +185,7 @@ def popularity_topk(
         sizes = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("_seen"))
         asking = users.select("query_id").join(sizes, "query_id", "left")
         asking = asking.withColumn("fetch", F.coalesce("_seen", F.lit(0)) + k)
-    places = asking.select(
+    places = spread(asking, "query_id").select(
         "query_id",
         F.explode(F.sequence(F.lit(1), F.least("fetch", F.lit(n_items)).cast("int"))).alias("place"),
     ).withColumn("place", F.col("place").cast("long"))

@@ -147,23 +147,26 @@ def eval_windows(
     base = top_per_group(rows.where(~F.col("_target")), [user], newest, max_len, "_age").drop("_age")
     relevant = base.unionByName(rows.where(F.col("_target")))
     placed = with_position(relevant, ["_stage", *by], keys=[user], name="_pos", **bounds)
-    # group positions by blocks of `width`; a block also gets the tail of the block before it
+    # group positions by blocks of `width`; a block also gets the rows of the block before it
     home = F.floor(F.col("_pos") / width)
     blocks = placed.withColumn("_block", F.explode(F.array(home, home + 1)))
-    pieces = (
-        blocks.groupBy(user, "_block")
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", item, "_target"))).alias("_e"))
-        .withColumn("_t", F.explode("_e"))
-        .where(F.col("_t._target") & (F.floor(F.col("_t._pos") / width) == F.col("_block")))
+    pieces = blocks.groupBy(user, "_block").agg(
+        F.array_sort(F.collect_list(F.struct("_pos", item, "_target"))).alias("_e")
     )
-    window = F.filter(
-        "_e",
-        lambda e: (e["_pos"] <= F.col("_t._pos")) & (e["_pos"] > F.col("_t._pos") - width),
+    # positions of a piece are consecutive, so a window is a slice that ends at its target
+    targets = pieces.select(
+        user,
+        "_block",
+        F.transform("_e", lambda e: e[item]).alias("_items"),
+        F.posexplode("_e").alias("_i", "_t"),
+    ).where(F.col("_t._target") & (F.floor(F.col("_t._pos") / width) == F.col("_block")))
+    window = F.slice(
+        "_items", F.greatest(F.col("_i") + 2 - width, F.lit(1)), F.least(F.col("_i") + 1, F.lit(width))
     )
-    return pieces.select(
+    return targets.select(
         user,
         F.col("_t._pos").alias("position"),
-        arrays.pad_left(F.transform(window, lambda e: e[item]), width).alias("seq"),
+        arrays.pad_left(window, width).alias("seq"),
     )
 
 

@@ -72,7 +72,9 @@ def eval_retrieval(
     With ``log_probs`` there is a second, popularity-corrected report.
     """
     k = max(k_list)
-    queries = user_emb.join(truth.select("query_id").distinct(), "query_id", "left_semi")
+    queries = store(user_emb.join(truth.select("query_id").distinct(), "query_id", "left_semi"))
+    if history is not None:
+        history = store(history.select("query_id", "item_idx").distinct())
     n = truth.select("query_id").distinct().count()
 
     def report(items: DataFrame, scale: float, prefix: str) -> DataFrame:
@@ -107,9 +109,11 @@ def eval_sequential_retrieval(
     """One query per test sequence ``(query_id, user_idx, seq)``; its last item is the target."""
     k = max(k_list)
     parts = sequences.split_input_target(seqs)
-    vectors = embeddings.encode_sequences(
-        parts.withColumnRenamed("input", "_in"), item_emb, encoder, decay,
-        user="query_id", extra=["user_idx"], col="_in",
+    vectors = store(
+        embeddings.encode_sequences(
+            parts.withColumnRenamed("input", "_in"), item_emb, encoder, decay,
+            user="query_id", extra=["user_idx"], col="_in",
+        )
     )
     truth = parts.select("query_id", F.col("target").alias("item_idx"))
     n = seqs.count()
@@ -165,7 +169,7 @@ def eval_ranker(
 
 
 # feature name -> raw columns that are exchanged between rows
-SENSITIVITY = {"genre": ["genre_multihot"], "year": ["year_bucket"], "popularity": ["z"]}
+SENSITIVITY = {"genre": ["genre_share"], "year": ["year_bucket"], "popularity": ["z"]}
 
 
 def eval_feature_sensitivity(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.portable import draw
 from ..operators import prep, splits
+from ..session import store
 from ..sources import views
 from .common import TIE, draw as d_draw, query, view
 
@@ -158,8 +159,10 @@ view(
 
 
 def global_time(spark, sf):
-    return splits.split_global_time(
-        views.interactions(spark, sf), 0.1, 0.2, tie=views.INTERACTION_TIE
+    return store(
+        splits.split_global_time(
+            views.interactions(spark, sf), 0.1, 0.2, tie=views.INTERACTION_TIE
+        )
     )
 
 
@@ -204,9 +207,11 @@ view(
 
 def hash_split(spark, sf):
     side = F.pmod(draw("l_orderkey", "l_linenumber", "item_idx", "l_suppkey", seed=42), F.lit(3))
-    return views.interactions(spark, sf).withColumn(
+    sided = views.interactions(spark, sf).withColumn("side", side)
+    side = F.col("side")
+    return store(sided.withColumn(
         "split", F.when(side == 0, "train").when(side == 1, "val").otherwise("test")
-    )
+    ).drop("side"))
 
 
 @query(

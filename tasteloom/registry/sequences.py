@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..operators import prep, sequences, splits
+from ..session import store
 from ..sources import views
 from .common import TIE, TIE_DESC, draw01 as d_draw01, query, view
 
@@ -12,13 +13,16 @@ ORDER = views.INTERACTION_ORDER
 
 
 def labelled(spark, sf):
-    """Interactions with the last row of each user as test and the one before as validation."""
-    return splits.split_user_last_k(views.interactions(spark, sf), tie=views.INTERACTION_TIE)
+    """Interactions with the last row of each user as test and the one before as validation.
+
+    Written once, as the split tables every later stage reads.
+    """
+    return store(splits.split_user_last_k(views.interactions(spark, sf), tie=views.INTERACTION_TIE))
 
 
 def labelled_events(spark, sf):
-    return splits.split_user_last_k(
-        views.event_interactions(spark, sf), ts="ts", tie=["event_id"]
+    return store(
+        splits.split_user_last_k(views.event_interactions(spark, sf), ts="ts", tie=["event_id"])
     )
 
 

@@ -17,6 +17,9 @@ SETTINGS = {
     # a hot user or item must be split even if that costs one more exchange later
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # vector work is heavy per byte: let small tables keep all cores busy (large ones do not notice)
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
+    "spark.sql.files.openCostInBytes": "131072",
 }
 
 
@@ -68,3 +71,11 @@ def store(df: DataFrame) -> DataFrame:
     path = os.path.join(scratch_dir(spark), f"stage-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition a small table by ``cols`` before its rows are multiplied, so that the new rows
+    are made on all cores and are already grouped by ``cols``."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *cols)
