@@ -10,6 +10,13 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def map_with(seq, constant, fn) -> Column:
+    """``fn(element, constant)`` for each element. A lambda evaluates what it captures once per
+    element; handed over this way, a costly constant is evaluated once per row."""
+    s = _col(seq)
+    return F.zip_with(s, F.array_repeat(constant, F.size(s)), fn)
+
+
 def last_n(seq, n: int) -> Column:
     s = _col(seq)
     return F.slice(s, F.greatest(F.size(s) - F.lit(n) + 1, F.lit(1)), F.lit(n))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import map_with
+
 # Wording and markers that must match for equal prompts.
 ITEM_TOKEN = "<movie_emb>"
 CANDIDATE_QUESTION = "Will the user watch this next?"
@@ -96,7 +98,8 @@ def yes_no_score(top_logprobs, unscored: float = -999.0) -> Column:
             lambda e: e["logprob"].cast("double"),
         )
         top = F.array_max(logs)
-        return top + F.log(F.aggregate(logs, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+        parts = map_with(logs, top, lambda x, m: F.exp(x - m))
+        return top + F.log(F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x))
 
     yes, no = mass("yes"), mass("no")
     return (

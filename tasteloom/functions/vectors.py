@@ -7,6 +7,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import map_with
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -40,7 +42,8 @@ def norm(v) -> Column:
 def l2_normalize(v) -> Column:
     """Divide by the norm; a zero vector stays zero."""
     size = norm(v)
-    return F.transform(_double(v), lambda x: x / F.when(size == 0, F.lit(1.0)).otherwise(size))
+    safe = F.when(size == 0, F.lit(1.0)).otherwise(size)
+    return map_with(_double(v), safe, lambda x, n: x / n)
 
 
 def zero_vector(dim: int) -> Column:

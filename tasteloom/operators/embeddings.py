@@ -90,9 +90,9 @@ def expand_embeddings(
     draws = [
         F.randn(seed * 100_003 + d) * F.lit(stats[d][1]) + F.lit(stats[d][0]) for d in sorted(stats)
     ]
-    made = emb.sparkSession.range(n, target).select(
-        F.col("id").alias(key), vectors.l2_normalize(F.array(*draws)).alias("embedding")
-    )
+    # drawn in one step and normalised in the next, or each use would draw again
+    drawn = emb.sparkSession.range(n, target).select(F.col("id").alias(key), F.array(*draws).alias("_v"))
+    made = drawn.select(key, vectors.l2_normalize("_v").alias("embedding"))
     return have.unionByName(made)
 
 

@@ -89,7 +89,7 @@ def genre_multihot(catalogue: DataFrame, vocab: list[str], col: str = "genres")
     none = text.isNull() | (text == "") | (text == NO_GENRES)
     own = F.when(none, F.array(F.lit(UNKNOWN_GENRE))).otherwise(_genre_array(col))
     vocab_lit = F.array(*[F.lit(g) for g in vocab])
-    hot = F.transform(vocab_lit, lambda g: F.array_contains(own, g).cast("double"))
+    hot = arrays.map_with(vocab_lit, own, lambda g, mine: F.array_contains(mine, g).cast("double"))
     return catalogue.withColumn("genre_multihot", hot)
 
 

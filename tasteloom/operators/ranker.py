@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import map_with
 from ..functions.portable import digest, draw01
 from ..schemas import EXPLICIT_NEG_WEIGHT, RANDOM_NEG_RATIO, RETRIEVAL_K, SEED
 from .negatives import subsample_exact, unpivot_negatives
@@ -99,7 +100,7 @@ def ranker_parts(
     What depends on the item alone (double vector, genre shares) is computed once per item.
     """
     n_genres = F.greatest(F.aggregate("genre_multihot", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
-    share = F.transform("genre_multihot", lambda g: g / n_genres)
+    share = map_with("genre_multihot", n_genres, lambda g, n: g / n)
     items = (
         item_emb.select("item_idx", F.col("embedding").cast("array<double>").alias("i_vec"))
         .join(meta.select("item_idx", share.alias("genre_share"), "year_bucket"), "item_idx")
