@@ -334,10 +334,13 @@ def training_negatives(
     return slots.withColumn("neg_item_idx", draw_below(n_items, *keys, F.col("slot"), seed=seed))
 
 
-def mask_collisions(pairs: DataFrame, negs: DataFrame, keys=("user_idx",)) -> DataFrame:
-    """Negatives of each position, without those that equal the position's target."""
-    joined = pairs.join(negs, list(keys))
-    return joined.where(F.col("neg_item_idx") != F.col("target"))
+def collision_mask(pairs: DataFrame, negs: DataFrame, keys=("user_idx",)) -> DataFrame:
+    """The (position, slot) pairs to mask: a sampled negative that is the position's own target.
+
+    An equi-join on sequence and item, so positions x negatives never become rows.
+    """
+    targets = pairs.select(*keys, "pos", F.col("target").alias("neg_item_idx"))
+    return targets.join(negs, [*keys, "neg_item_idx"]).select(*keys, "pos", "slot", "neg_item_idx")
 
 
 def negatives_excluding(

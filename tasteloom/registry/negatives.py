@@ -245,22 +245,34 @@ def one_positive_per_user(spark, sf):
     return negatives.one_positive_per_user(views.event_interactions(spark, sf), ["event_id"])
 
 
-@query(
-    "training_negatives",
-    f"""select s.user_idx, pos, slot::int slot, neg_item_idx from (
-          select user_idx, slot, {d_draw('user_idx', 'slot')} % (select count(*) from v_items) neg_item_idx
-          from v_evseq, (select unnest(range(1, 21)) slot)) s
-        join v_pospairs using (user_idx) where neg_item_idx <> target""",
+view(
+    "v_trainneg",
+    f"""select user_idx, slot::int slot, {d_draw('user_idx', 'slot')} % (select count(*) from v_items) neg_item_idx
+        from v_evseq, (select unnest(range(1, 201)) slot)""",
 )
-def training_negatives(spark, sf):
+
+
+def sequence_negatives(spark, sf):
     from .vectors import event_seqs
 
     seqs = event_seqs(spark, sf)
-    n = views.item_vectors(spark, sf).count()
-    negs = negatives.training_negatives(seqs, n, 20)
-    pairs = sequences.next_item_pairs(seqs).select("user_idx", "pos", "target")
-    kept = negatives.mask_collisions(pairs, negs)
-    return kept.select("user_idx", F.col("pos").cast("long").alias("pos"), "slot", "neg_item_idx")
+    return seqs, negatives.training_negatives(seqs, views.item_vectors(spark, sf).count(), 200)
+
+
+@query("training_negatives", "select user_idx, slot, neg_item_idx from v_trainneg")
+def training_negatives(spark, sf):
+    return sequence_negatives(spark, sf)[1]
+
+
+@query(
+    "collision_mask",
+    """select p.user_idx, pos, slot, neg_item_idx from v_pospairs p join v_trainneg n
+       on n.user_idx = p.user_idx and n.neg_item_idx = p.target""",
+)
+def collision_mask(spark, sf):
+    seqs, negs = sequence_negatives(spark, sf)
+    mask = negatives.collision_mask(sequences.next_item_pairs(seqs), negs)
+    return mask.withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(

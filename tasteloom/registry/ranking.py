@@ -662,18 +662,21 @@ def validation_recall(spark, sf):
         f"""select 'HR@{k}' as name, round(avg(hit), 6) as value from (
               select query_id, max(case when rank <= {k} then 1.0::double else 0 end) hit from v_evtest
               left join v_stdpred using (query_id, item_idx)
-              where query_id % 7 <> 3 and query_id in (select query_id from v_evtest order by {d_digest('query_id')}, query_id limit 100)
+              where query_id not in (select user_id from events group by 1 having arg_max(event_type, event_id) = 'error') and query_id in (select query_id from v_evtest order by {d_digest('query_id')}, query_id limit 100)
               group by 1)"""
         for k in (10, 50, 100)
     ),
 )
 def eval_served_hit_rate(spark, sf):
-    """Served lists in which every seventh user's request failed."""
+    """Served lists; the request of a user whose newest event is an error failed."""
     lists = retrieval.masked_topk(
         user_vectors(spark, sf, "query_id"), views.item_vectors(spark, sf), seen_items(spark, sf, "query_id")
     )
-    served = lists.select(
-        F.col("query_id").alias("user_idx"), "item_idx", "rank", (F.col("query_id") % 7 != 3).alias("ok")
+    outcome = views.table(spark, sf, "events").groupBy(F.col("user_id").alias("query_id")).agg(
+        (F.max_by("event_type", "event_id") != "error").alias("ok")
+    )
+    served = lists.join(outcome, "query_id").select(
+        F.col("query_id").alias("user_idx"), "item_idx", "rank", "ok"
     )
     test = splits.take_split(labelled_events(spark, sf), "test").select("user_idx", "item_idx")
     return features_rounded(evaluate.eval_served_hit_rate(served, test, n=100), "value")

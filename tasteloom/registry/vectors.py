@@ -473,31 +473,30 @@ def ivfsq_search_half(spark, sf):
     return _sq_search(spark, sf, "fp16")
 
 
-M, CODES = 8, 16
+M = 8
 
 
 def given_codebooks(spark, sf):
-    """The sub-vectors of the first 16 vectors, in id order, as codewords."""
-    first = views.item_vectors(spark, sf).where(F.col("item_idx") < CODES)
+    """The sub-vectors of the label centroids as codewords, one code per label."""
     width = 64 // M
-    return first.select(
+    return label_centroids(spark, sf).select(
         F.explode(F.sequence(F.lit(0), F.lit(M - 1))).alias("sub"),
-        F.col("item_idx").cast("int").alias("code"),
-        F.col("embedding").cast("array<double>").alias("v"),
-    ).select("sub", "code", F.slice("v", F.col("sub") * width + 1, F.lit(width)).alias("codeword"))
+        F.col("cell").cast("int").alias("code"),
+        "centroid",
+    ).select("sub", "code", F.slice("centroid", F.col("sub") * width + 1, F.lit(width)).alias("codeword"))
 
 
 view(
     "v_code",
     f"""select item_idx, sub, code from (
-          select a.item_idx, sub, b.item_idx code, row_number() over (partition by a.item_idx, sub order by
-            round(list_sum(list_transform(range(1, 9), lambda i: (a.embedding[sub * 8 + i] - b.embedding[sub * 8 + i]) * (a.embedding[sub * 8 + i] - b.embedding[sub * 8 + i]))), 9), b.item_idx) r
-          from v_items a, v_items b, (select unnest(range({M})) sub) where b.item_idx < {CODES}) where r = 1""",
+          select a.item_idx, sub, b.cell code, row_number() over (partition by a.item_idx, sub order by
+            round(list_sum(list_transform(range(1, 9), lambda i: (a.embedding[sub * 8 + i] - b.c[sub * 8 + i]) * (a.embedding[sub * 8 + i] - b.c[sub * 8 + i]))), 9), b.cell) r
+          from v_items a, v_cent b, (select unnest(range({M})) sub)) where r = 1""",
 )
 view(
     "v_recon",
-    """select c.item_idx, flatten(list(b.embedding[sub * 8 + 1 : sub * 8 + 8] order by sub)) back
-       from v_code c join v_items b on b.item_idx = c.code group by 1""",
+    """select c.item_idx, flatten(list(b.c[sub * 8 + 1 : sub * 8 + 8] order by sub)) back
+       from v_code c join v_cent b on b.cell = c.code group by 1""",
 )
 
 

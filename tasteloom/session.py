@@ -61,6 +61,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_STORED: list[str] = []
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -70,6 +73,7 @@ def store(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(scratch_dir(spark), f"stage-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,3 +83,13 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *cols)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote; call it when no result is needed any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    dropped = 0
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped
