@@ -152,12 +152,15 @@ def _uniform_sql(n: int) -> str:
         join v_unseenpart using (user_idx, r) where slot <= {n}"""
 
 
-def _weighted_sql(n: int, blocked: str) -> str:
-    """First ``n`` different unblocked items among rows of the training table drawn by place."""
+def _weighted_sql(n: int, blocked: str, tries: int) -> str:
+    """First ``n`` different unblocked items among rows of the training table drawn by place.
+
+    More draws than needed change nothing, as the first ``n`` stay the first.
+    """
     return f"""select user_idx, row_number() over (partition by user_idx order by a) slot, item_idx from (
           select user_idx, item_idx, min(a) a from (
             select user_idx, a, {d_draw('user_idx', 'a', chr(39) + 'w' + chr(39))} % total x
-            from (select distinct user_idx from v_inter), (select unnest(range(1, {4 * n + 1})) a),
+            from (select distinct user_idx from v_inter), (select unnest(range(1, {tries + 1})) a),
               (select sum(cnt)::bigint total from v_icnt)) d
           join v_cdf c on d.x >= c.lo and d.x < c.hi
           anti join {blocked} b using (user_idx, item_idx) group by 1, 2)
@@ -170,13 +173,13 @@ view(
 )
 view("v_target", "select user_idx, 0 slot, item_idx from v_lab where split = 'test'")
 view("v_candu", f"select user_idx, slot, item_idx from v_target union all {_uniform_sql(100)}")
-view("v_candp", f"select user_idx, slot, item_idx from v_target union all {_weighted_sql(100, 'v_pospart')}")
+view("v_candp", f"select user_idx, slot, item_idx from v_target union all {_weighted_sql(100, 'v_pospart', 400)}")
 view("v_half", _uniform_sql(50))
 view("v_halfseen", "select user_idx, item_idx from v_pospart union all select user_idx, item_idx from v_half")
 view(
     "v_candm",
     f"""select user_idx, slot, item_idx from v_target union all select user_idx, slot, item_idx from v_half
-        union all select user_idx, slot + 50, item_idx from ({_weighted_sql(50, 'v_halfseen')})""",
+        union all select user_idx, slot + 50, item_idx from ({_weighted_sql(50, 'v_halfseen', 800)})""",
 )
 
 

@@ -238,7 +238,7 @@ def permute_column(spark, sf):
 
 @query(
     "auroc",
-    """select lang, round((sum(case when quality = 1 then r end) - max(p) * (max(p) + 1) / 2.0) / (max(p) * max(q)), 6) auroc
+    """select lang, round((sum(case when quality = 1 then r end) - max(p) * (max(p) + 1) / 2.0) / nullif(max(p) * max(q), 0), 6) auroc
        from (select lang, quality, rank() over w + (count(*) over (partition by lang, n_chars) - 1) / 2.0 r,
                sum(quality) over (partition by lang) p, sum(1 - quality) over (partition by lang) q
              from labels join documents using (doc_id) window w as (partition by lang order by n_chars)) group by 1""",
