@@ -8,15 +8,15 @@ as often as the sets resemble each other.
 
 1. Equal sets are one class, named by its smallest ``doc_id``; only classes go on.
 2. ``ROWS`` registers make a band; classes that share a band meet. In each meeting every class is
-   paired with the smallest one. The joint likelihood of the counts of larger, smaller and equal registers
+   paired with the one that meets most others. The joint likelihood of the counts of larger, smaller and equal registers
    must not speak for a similarity below ``SCREEN``; what remains is confirmed on full sets.
 3. Meetings that still hold several components are looked at again: all pairs across components are
-   screened inside bounded block tasks (pairs are never rows before the screen), and confirmed.
+   screened inside bounded block tasks, by registers and by samples of the sets, and confirmed.
    So a link that two classes of one meeting have is lost only if it cannot change a component.
 4. Components by alternating stars; the component is the smallest ``doc_id``.
 
 At similarity 0.75 a pair misses all 32 bands of four with probability 5e-6; no other step is approximate
-but the screen, which lies more than five standard deviations below.
+but the screens, which lie five standard deviations below.
 
 Null and empty texts (no words) have an empty set and are linked with nothing. Repeated rows get the
 same result each; rows that share a ``doc_id`` but not a text are looked at separately. Empty table: no rows.
@@ -40,6 +40,8 @@ BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535  # b, a and the largest register
 SCREEN = 0.55
+SAMPLE = 384  # names of a set's sample
+SAMPLE_SCREEN, WHOLE_SCREEN = 0.64, 0.74  # five standard deviations below; whole sets leave name collisions only
 _MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 _CHUNK = 4096
 
@@ -197,25 +199,73 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(joined, ("a", "b", "a_text", "b_text"), make, "a long, b long")
 
 
-def _across(crowded: DataFrame, classes: DataFrame) -> DataFrame:
-    """Screened pairs of different components within a meeting; the pairs live inside block tasks only."""
-    side = crowded.join(classes.select("rep", "n_shingles", "sketch"), "rep").select(
-        "key", "rep", "component", "n_shingles", "sketch"
-    )
+def member_sample(members: np.ndarray) -> np.ndarray:
+    """The ``SAMPLE`` smallest 32-bit names of a set: a small set whole."""
+    return np.unique((members >> np.uint64(32)).astype(np.uint32))[:SAMPLE]
+
+
+def _samples(texts: DataFrame) -> DataFrame:
+    """``(rep, sample)`` from ``(rep, text)``."""
+
+    def make():
+        memo = WordHashes()
+
+        def one(cols: dict) -> dict:
+            return {"rep": cols["rep"], "sample": [member_sample(shingle_set(t, memo)).tobytes() for t in cols["text"]]}
+
+        return one
+
+    return map_batches(texts, ("rep", "text"), make, "rep long, sample binary")
+
+
+def sample_similarity(left: np.ndarray, right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of the similarity of one sample to others, and whether each is of whole sets.
+
+    Below the smaller of the truncated samples' largest names both samples are complete.
+    """
+    sizes = np.array([len(r) for r in right])
+    ends = np.array([r[-1] if len(r) == SAMPLE else 2**32 - 1 for r in right], np.uint64)
+    ends = np.minimum(ends, np.uint64(left[-1]) if len(left) == SAMPLE else np.uint64(2**32 - 1))
+    flat, starts = np.concatenate(right), np.cumsum(sizes) - sizes
+    at = np.minimum(np.searchsorted(left, flat), len(left) - 1)
+    inside = flat <= np.repeat(ends, sizes)
+    common = np.add.reduceat((left[at] == flat) & inside, starts, dtype=np.int64)
+    others = np.add.reduceat(inside, starts, dtype=np.int64)
+    mine = np.searchsorted(left, ends, side="right")
+    whole = (sizes < SAMPLE) & (len(left) < SAMPLE)
+    return common / np.maximum(1, mine + others - common), whole
+
+
+def _across(crowded: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of different components within a meeting that both screens let pass.
+
+    The pairs live inside block tasks only: first the joint likelihood of the registers, then the samples,
+    which are whole sets for most documents. So the pairs that leave a task are close to real links.
+    """
+    wanted = crowded.select("rep").distinct()
+    samples = store(_samples(texts.join(wanted, "rep", "left_semi")).dropDuplicates(["rep"]))
+    side = crowded.join(classes.select("rep", "n_shingles", "sketch"), "rep").join(samples, "rep")
+    side = side.select("key", "rep", "component", "n_shingles", "sketch", "sample")
 
     def kernel(left: dict, right: dict) -> dict:
         x = np.frombuffer(b"".join(left["sketch"]), np.uint16).reshape(-1, REGISTERS)
         y = np.frombuffer(b"".join(right["sketch"]), np.uint16).reshape(-1, REGISTERS)
-        a_out, b_out = [], []
+        members = [np.frombuffer(s, np.uint32) for s in right["sample"]]
+        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(x)):
             far = np.nonzero((right["component"] != left["component"][i]) & (right["rep"] > left["rep"][i]))[0]
-            if len(far):
-                n_left = np.full(len(far), float(left["n_shingles"][i]))
-                near = far[may_be_similar(x[i][None, :], y[far], n_left, right["n_shingles"][far].astype(float))]
-                a_out.append(np.full(len(near), left["rep"][i], np.int64))
-                b_out.append(right["rep"][near].astype(np.int64))
-        empty = np.zeros(0, np.int64)
-        return {"a": np.concatenate(a_out) if a_out else empty, "b": np.concatenate(b_out) if b_out else empty}
+            if not len(far):
+                continue
+            n_left = np.full(len(far), float(left["n_shingles"][i]))
+            near = far[may_be_similar(x[i][None, :], y[far], n_left, right["n_shingles"][far].astype(float))]
+            if not len(near):
+                continue
+            own = np.frombuffer(left["sample"][i], np.uint32)
+            likely, whole = sample_similarity(own, [members[k] for k in near])
+            near = near[likely >= np.where(whole, WHOLE_SCREEN, SAMPLE_SCREEN)]
+            a_out.append(np.full(len(near), left["rep"][i], np.int64))
+            b_out.append(right["rep"][near].astype(np.int64))
+        return {"a": np.concatenate(a_out), "b": np.concatenate(b_out)}
 
     return grid_apply(side, side, kernel, "a long, b long", keys=["key"], left_rows=512, right_rows=512).distinct()
 
@@ -233,22 +283,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("rep", "d1", "d2", "n_shingles", "sketch")
     )
     bands = _bands(classes)
-    meetings = bands.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = store(bands.join(meetings, "key"))
+    meetings = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = store(bands.join(meetings, "key"))
+    # the original of a group of copies meets more of them than they meet each other
+    known = met.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("known"))
+    busiest = F.max(F.struct(F.col("known"), (-F.col("rep")).alias("least")))["least"]
+    centers = met.join(known, "rep").groupBy("key").agg((-busiest).alias("center"))
+    members = store(met.join(centers, "key"))
     # the only shuffle of texts: those that meet another one are stored beside their class
     texts = store(
         docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(
             members.select("rep").distinct(), "rep", "left_semi"
         )
     )
-    pairs = store(members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct())
+    pairs = store(
+        members.where("rep <> center")
+        .select(F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b"))
+        .distinct()
+    )
     links = store(_confirmed(_screened(pairs, classes), texts))
     labels = store(components(links))
     placed = members.where("n > 2").join(labels, F.col("rep") == F.col("node"), "left")
     placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    crowded = placed.join(mixed.select("key"), "key", "left_semi")
-    further = _across(crowded, classes).join(pairs, ["a", "b"], "left_anti")
+    crowded = store(placed.join(mixed.select("key"), "key", "left_semi"))
+    further = _across(crowded, classes, texts).join(pairs, ["a", "b"], "left_anti")
     more = store(_confirmed(further, texts))
     if not more.isEmpty():
         labels = store(components(links.unionByName(more)))
