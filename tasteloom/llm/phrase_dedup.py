@@ -5,10 +5,10 @@ occurs earlier (smaller ``doc_id``, or the same document and an earlier start).
 
 1. Anchors. The least of the ``GRAM``-word hashes in a window is its anchor. Equal windows have equal
    anchors, so a window can only recur if its anchor does. Anchors that occur twice, with the smallest
-   document of each, are found by one aggregation of slim rows (about one for eight words).
+   document of each, are found by one aggregation of slim rows (about one for six words).
 2. Confirming. In documents that hold recurring anchors, the windows of these anchors are hashed; the
-   smallest and the largest place of each hash tell recurring windows and their first place.
-3. Automata. First places are joined with their document; their words become the patterns. A shard holds
+   number of places of each hash tells recurring windows, the smallest document where they start.
+3. Automata. Recurring windows are joined with that document; their words become the patterns. A shard holds
    the patterns whose anchors first occur in its documents, so a copied document meets few shards. Each
    shard is compiled with pyahocorasick over word numbers, and the documents that hold one of the
    shard's anchors stream through it. A shard with many documents is compiled in several tasks, each of which
@@ -18,8 +18,8 @@ occurs earlier (smaller ``doc_id``, or the same document and an earlier start).
    the kept words are joined.
 
 Null texts have no words. Rows that share ``doc_id`` and text are one document listed more than once: each
-gets the same result, and they do not make each other's windows recur. Rows that share only the ``doc_id``
-are ordered by a hash of the text. An empty table gives no rows; other columns are ignored.
+gets the same result, and they do not make each other's windows recur. Of rows that share only the ``doc_id``
+each is judged by place: what starts elsewhere in another of them later is a repeat. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,14 +38,20 @@ from ..session import store
 from .words import WordHashes, gram_hashes, map_batches, split_words
 
 WINDOW = 20
-GRAM = 6
+GRAM = 10
+NULL_ID = -(2**63)
 SHARD_WINDOWS = 30_000  # patterns of one automaton, at the average
 BLOCK_CHARS = 8_000_000  # text that one task streams through one automaton, at the average
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, t, text)``: ``t`` tells apart texts that share an id; a null id is the smallest one."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
+        F.xxhash64(text).alias("t"),
+        text.alias("text"),
+    )
 
 
 def window_anchors(hashes: np.ndarray) -> np.ndarray:
@@ -60,101 +66,95 @@ def window_hashes(hashes: np.ndarray) -> np.ndarray:
     return gram_hashes(hashes, WINDOW).view(np.int64)
 
 
+def _joined(parts: list) -> np.ndarray:
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+
+
 def anchor_rows(rows: DataFrame) -> DataFrame:
-    """``(doc_id, t, anchor, n)``: each anchor of each document with the number of its places."""
+    """``(doc_id, anchor)``: one row for each place that is an anchor."""
 
     def make():
         memo = WordHashes()
 
         def one(cols: dict) -> dict:
-            ids, ts, anchors, counts = [], [], [], []
-            for doc_id, t, text in zip(cols["doc_id"], cols["t"], cols["text"], strict=True):
+            ids, anchors = [], []
+            for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
                 words = split_words(text)
                 if len(words) < WINDOW:
                     continue
                 hashes = memo.array(words)
-                places = np.unique(window_anchors(hashes))
-                found, n = np.unique(gram_hashes(hashes, GRAM)[places], return_counts=True)
-                ids.append(np.full(len(found), doc_id if doc_id is not None else -(2**63)))
-                ts.append(np.full(len(found), t))
+                found = gram_hashes(hashes, GRAM)[np.unique(window_anchors(hashes))]
+                ids.append(np.full(len(found), doc_id))
                 anchors.append(found.view(np.int64))
-                counts.append(n)
-            join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-            return {"doc_id": join(ids), "t": join(ts), "anchor": join(anchors), "n": join(counts)}
+            return {"doc_id": _joined(ids), "anchor": _joined(anchors)}
 
         return one
 
-    return map_batches(rows, ("doc_id", "t", "text"), make, "doc_id long, t long, anchor long, n int")
+    return map_batches(rows, ("doc_id", "text"), make, "doc_id long, anchor long")
 
 
 def recurring_anchors(anchors: DataFrame) -> DataFrame:
     """``(anchor, first)``: anchors with two places or more, and the smallest document of each."""
-    return (
-        anchors.groupBy("anchor")
-        .agg(F.sum("n").alias("n"), F.min("doc_id").alias("first"))
-        .where("n > 1")
-        .select("anchor", "first")
-    )
+    counted = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    return counted.where("n > 1").select("anchor", "first")
 
 
-def _own_anchors(text: str, anchors: list[dict], memo: WordHashes):
-    """Word list, hashes of its windows, and the ``first`` of each window's anchor (None: not recurring)."""
+def _own_windows(text: str, anchors: list[dict], memo: WordHashes):
+    """Words, window hashes, anchor of each window, which anchors recur, and the ``first`` of those."""
     words = split_words(text)
     hashes = memo.array(words)
-    grams = gram_hashes(hashes, GRAM).view(np.int64)
+    if len(words) < WINDOW:  # shares its id with a longer text
+        empty = np.zeros(0, np.int64)
+        return words, empty, empty, np.zeros(0, bool), {}
+    names = gram_hashes(hashes, GRAM).view(np.int64)[window_anchors(hashes)]
     first = {a["anchor"]: a["first"] for a in anchors}
-    at = window_anchors(hashes)
-    names = grams[at]
     mine = np.isin(names, np.fromiter(first, np.int64, len(first)))
-    return words, hashes, names, mine, first
+    return words, window_hashes(hashes), names, mine, first
 
 
 def window_rows(held: DataFrame) -> DataFrame:
-    """``(window, doc_id, t, pos)`` for the windows of recurring anchors."""
+    """``(window, doc_id)`` for the windows of recurring anchors."""
 
     def make():
         memo = WordHashes()
 
         def one(cols: dict) -> dict:
-            out: dict = {"window": [], "doc_id": [], "t": [], "pos": []}
-            for doc_id, t, text, anchors in zip(*(cols[c] for c in ("doc_id", "t", "text", "anchors")), strict=True):
-                _, hashes, _, mine, _ = _own_anchors(text, anchors, memo)
-                places = np.nonzero(mine)[0]
-                out["window"].append(window_hashes(hashes)[places])
-                out["doc_id"].append(np.full(len(places), doc_id))
-                out["t"].append(np.full(len(places), t))
-                out["pos"].append(places)
-            return {k: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for k, v in out.items()}
+            windows, ids = [], []
+            for doc_id, text, anchors in zip(cols["doc_id"], cols["text"], cols["anchors"], strict=True):
+                _, own, _, mine, _ = _own_windows(text, anchors, memo)
+                windows.append(own[mine])
+                ids.append(np.full(int(mine.sum()), doc_id))
+            return {"window": _joined(windows), "doc_id": _joined(ids)}
 
         return one
 
-    return map_batches(held, ("doc_id", "t", "text", "anchors"), make, "window long, doc_id long, t long, pos long")
+    return map_batches(held, ("doc_id", "text", "anchors"), make, "window long, doc_id long")
 
 
-def first_places(windows: DataFrame) -> DataFrame:
-    """``(doc_id, t, places)``: where windows that recur occur first, gathered by document."""
-    place = F.struct("doc_id", "t", "pos")
-    spans = windows.groupBy("window").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    # no more places than the document has words
-    return (
-        spans.where("low <> high")
-        .groupBy(F.col("low.doc_id").alias("doc_id"), F.col("low.t").alias("t"))
-        .agg(F.collect_list("low.pos").alias("places"))
-    )
+def first_documents(windows: DataFrame) -> DataFrame:
+    """``(doc_id, windows)``: the recurring windows that occur first in a document."""
+    spans = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
+    # no more windows than the document has words
+    return spans.where("n > 1").groupBy("doc_id").agg(F.collect_list("window").alias("windows"))
+
 
+def pattern_rows(held: DataFrame, firsts: DataFrame, shards: int) -> DataFrame:
+    """``(shard, doc_id, start, words, anchors)``: runs of recurring windows at their first places.
 
-def pattern_rows(held: DataFrame, places: DataFrame, shards: int) -> DataFrame:
-    """``(shard, doc_id, t, start, words)``: runs of first places that one shard's anchors govern."""
+    A run is governed by one shard; ``anchors`` are those of its windows.
+    """
 
     def make():
         memo = WordHashes()
 
         def one(cols: dict) -> dict:
-            out: dict = {"shard": [], "doc_id": [], "t": [], "start": [], "words": []}
-            columns = (cols[c] for c in ("doc_id", "t", "text", "anchors", "places"))
-            for doc_id, t, text, anchors, firsts in zip(*columns, strict=True):
-                words, _, names, _, first = _own_anchors(text, anchors, memo)
-                spots = sorted(firsts)
+            out: dict = {"shard": [], "doc_id": [], "start": [], "words": [], "anchors": []}
+            columns = (cols[c] for c in ("doc_id", "text", "anchors", "windows"))
+            for doc_id, text, anchors, wanted in zip(*columns, strict=True):
+                words, own, names, mine, first = _own_windows(text, anchors, memo)
+                found, places = np.unique(own, return_index=True)
+                spots = np.sort(places[np.isin(found, np.array(wanted, np.int64))])
+                spots = spots[mine[spots]].tolist()
                 owner = [shard_of(first[int(names[p])], shards) for p in spots]
                 i = 0
                 while i < len(spots):
@@ -163,21 +163,19 @@ def pattern_rows(held: DataFrame, places: DataFrame, shards: int) -> DataFrame:
                         j += 1
                     out["shard"].append(owner[i])
                     out["doc_id"].append(doc_id)
-                    out["t"].append(t)
                     out["start"].append(spots[i])
                     out["words"].append(b" ".join(words[spots[i] : spots[j] + WINDOW]))
+                    out["anchors"].append(np.unique(names[spots[i] : spots[j] + 1]))
                     i = j + 1
             return out
 
         return one
 
-    # identical rows of one document give one set of patterns
-    joined = held.dropDuplicates(["doc_id", "t"]).join(places, ["doc_id", "t"])
     return map_batches(
-        joined,
-        ("doc_id", "t", "text", "anchors", "places"),
+        held.join(firsts, "doc_id"),
+        ("doc_id", "text", "anchors", "windows"),
         make,
-        "shard int, doc_id long, t long, start long, words binary",
+        "shard int, doc_id long, start long, words binary, anchors array<long>",
     )
 
 
@@ -186,26 +184,26 @@ def shard_of(first: int, shards: int) -> int:
 
 
 def compile_shard(patterns: Iterator[tuple]) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
-    """Automaton over word numbers; each window's value is its first place ``(doc_id, t, start)``."""
+    """Automaton over word numbers; each window's value is its first place ``(doc_id, start)``."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     numbers: dict[bytes, int] = {}
-    for doc_id, t, start, joined in patterns:
+    for doc_id, start, joined in patterns:
         codes = [numbers.setdefault(w, len(numbers) + 1) for w in joined.split(b" ")]
         for i in range(len(codes) - WINDOW + 1):
-            key, place = tuple(codes[i : i + WINDOW]), (doc_id, t, start + i)
+            key, place = tuple(codes[i : i + WINDOW]), (doc_id, start + i)
             if key not in automaton or place < automaton.get(key):
                 automaton.add_word(key, place)
     automaton.make_automaton()
     return automaton, numbers
 
 
-def marked_runs(text: str, doc_id: int, t: int, automaton, numbers: dict[bytes, int]) -> list[int]:
+def marked_runs(text: str, doc_id: int, automaton, numbers: dict[bytes, int]) -> list[int]:
     """Flat list start, end, start, end ... of the words that matches mark for removal."""
     codes = tuple([numbers.get(w, 0) for w in split_words(text)])
     runs: list[int] = []
     for last, place in automaton.iter(codes):
         start = last - WINDOW + 1
-        if place == (doc_id, t, start):
+        if place == (doc_id, start):
             continue
         if runs and start <= runs[-1]:
             runs[-1] = last + 1
@@ -216,17 +214,17 @@ def marked_runs(text: str, doc_id: int, t: int, automaton, numbers: dict[bytes,
 
 def located(patterns: DataFrame, visits: DataFrame) -> DataFrame:
     """Stream each block's documents through its shard's automaton: ``(doc_id, t, runs)``."""
-
     schema = "doc_id long, t long, runs array<int>"
     fields = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("runs", pa.list_(pa.int32()))])
 
     def stream(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            automaton, numbers = compile_shard(zip(*(left.column(c).to_pylist() for c in ("doc_id", "t", "start", "words"))))
+            columns = (left.column(c).to_pylist() for c in ("doc_id", "start", "words"))
+            automaton, numbers = compile_shard(zip(*columns, strict=True))
             for at in range(right.num_rows):
                 doc_id, t, text = (right.column(c)[at].as_py() for c in ("doc_id", "t", "text"))
-                if runs := marked_runs(text, doc_id, t, automaton, numbers):
+                if runs := marked_runs(text, doc_id, automaton, numbers):
                     out.append((doc_id, t, runs))
         columns = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.table([pa.array(c, type=f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
@@ -252,38 +250,49 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256[, kept])`` for every row."""
     rows = _keyed(docs)
     anchors = store(anchor_rows(rows))
-    recurring = store(recurring_anchors(anchors))
     # no more anchors than the document has words
     held_anchors = (
-        anchors.join(recurring, "anchor")
-        .groupBy("doc_id", "t")
-        .agg(F.collect_list(F.struct("anchor", "first")).alias("anchors"))
+        anchors.join(recurring_anchors(anchors), "anchor")
+        .groupBy("doc_id")
+        .agg(F.collect_set(F.struct("anchor", "first")).alias("anchors"))
     )
-    floor = F.coalesce("doc_id", F.lit(-(2**63)))
     # the one shuffle of all texts; only documents that hold a recurring anchor go on
-    held = store(rows.withColumn("doc_id", floor).join(held_anchors, ["doc_id", "t"]))
-    places = store(first_places(window_rows(held)))
-    total = places.agg(F.sum(F.size("places"))).first()[0] or 0
+    held = store(rows.join(held_anchors, "doc_id").dropDuplicates(["doc_id", "t"]))
+    firsts = store(first_documents(window_rows(held)))
+    total = firsts.agg(F.sum(F.size("windows"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_WINDOWS))
-    patterns = store(pattern_rows(held, places, shards))
-
-    @F.arrow_udf("array<int>")
-    def shards_of(anchors: pa.Array) -> pa.Array:
-        return pa.array([sorted({shard_of(a["first"], shards) for a in row}) for row in anchors.to_pylist()], pa.list_(pa.int32()))
-
-    used = patterns.select("shard").distinct()
-    visits = store(
-        held.dropDuplicates(["doc_id", "t"])
-        .withColumn("shard", F.explode(shards_of(F.col("anchors"))))
-        .join(used, "shard", "left_semi")
-        .select("shard", "doc_id", "t", "text")
+    patterns = store(pattern_rows(held, firsts, shards))
+
+    @F.arrow_udf("int")
+    def shard_number(firsts: pa.Array) -> pa.Array:
+        return pa.array([shard_of(f, shards) for f in firsts.to_pylist()], pa.int32())
+
+    # a document visits the shards whose confirmed anchors it holds
+    confirmed = patterns.select(F.explode("anchors").alias("anchor")).distinct()
+    visits = (
+        held.select("doc_id", "t", F.length("text").alias("size"), F.explode("anchors").alias("a"))
+        .select("doc_id", "t", "size", F.col("a.anchor").alias("anchor"), F.col("a.first").alias("first"))
+        .join(confirmed, "anchor")
+        .select("doc_id", "t", "size", "first")
+        .distinct()
+        .withColumn("shard", shard_number("first"))
+        .select("doc_id", "t", "size", "shard")
+        .distinct()
     )
+    visits = store(visits)
     # one row per shard: blocks that keep a task's text bounded
-    sizes = visits.groupBy("shard").agg((F.sum(F.length("text")) / F.lit(float(BLOCK_CHARS))).alias("size"))
+    sizes = visits.groupBy("shard").agg((F.sum("size") / F.lit(float(BLOCK_CHARS))).alias("size"))
     sizes = sizes.select("shard", F.ceil(F.greatest("size", F.lit(1.0))).cast("int").alias("blocks"))
-    dealt = visits.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("doc_id", "t"), F.col("blocks")).cast("int"))
+    dealt = (
+        visits.join(sizes, "shard")
+        .withColumn("block", F.pmod(F.xxhash64("doc_id", "t"), F.col("blocks")).cast("int"))
+        .groupBy("doc_id", "t")
+        .agg(F.collect_list(F.struct("shard", "block")).alias("homes"))
+    )
+    sent = held.select("doc_id", "t", "text").join(dealt, ["doc_id", "t"]).withColumn("home", F.explode("homes"))
+    sent = sent.select("home.shard", "home.block", "doc_id", "t", "text")
     copied = patterns.join(sizes, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    marks = located(copied.drop("blocks"), dealt.drop("blocks"))
+    marks = located(copied.select("shard", "block", "doc_id", "start", "words"), sent)
     merged = store(marks.groupBy("doc_id", "t").agg(F.collect_list("runs").alias("runs")))
 
     def make():
@@ -299,7 +308,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         return one
 
     changed = map_batches(
-        held.dropDuplicates(["doc_id", "t"]).join(merged, ["doc_id", "t"]),
+        held.join(merged, ["doc_id", "t"]),
         ("doc_id", "t", "text", "runs"),
         make,
         "doc_id long, t long, n_removed long, new_sha256 string, new_text string",
@@ -323,10 +332,14 @@ def _with_unchanged(rows: DataFrame, changed: DataFrame, with_text: bool) -> Dat
 
     every = map_batches(
         rows, ("doc_id", "t", "text"), make, "doc_id long, t long, n_words long, old_sha256 string, old_text string"
-    ).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
-    joined = every.join(changed.withColumnRenamed("doc_id", "key"), ["key", "t"], "left")
-    out = ["doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed")]
-    out.append(F.coalesce("new_sha256", "old_sha256").alias("kept_sha256"))
+    )
+    joined = every.join(changed, ["doc_id", "t"], "left")
+    out = [
+        F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"),
+        "n_words",
+        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce("new_sha256", "old_sha256").alias("kept_sha256"),
+    ]
     if with_text:
         out.append(F.coalesce("new_text", "old_text").alias("kept"))
     return joined.select(*out)

@@ -27,9 +27,11 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings of these operators: those of the library, and small Arrow batches."""
+    """Session settings of these operators: those of the library, small Arrow batches, no shuffle files left."""
     spark = configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    # texts go through several shuffles: let each job delete its own files when it ends
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
