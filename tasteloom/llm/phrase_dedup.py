@@ -12,8 +12,8 @@ occurs earlier (smaller ``doc_id``, or the same document and an earlier start).
    the patterns whose anchors first occur in its documents, so a copied document meets few shards. Each
    shard is compiled with pyahocorasick over word numbers, and the documents that hold one of the
    shard's anchors stream through it. A shard with many documents is compiled in several tasks, each of which
-   streams a bounded block of them. Matches compare whole word sequences, so a hash collision cannot
-   remove a word.
+   streams a bounded block of them. The automaton holds the anchors of the confirmed windows; at a hit the
+   windows of that anchor are compared word by word, so a hash collision cannot remove a word.
 4. Every match that is not the pattern's first place marks its words; marks of a document are merged, and
    the kept words are joined.
 
@@ -139,19 +139,22 @@ def first_documents(windows: DataFrame) -> DataFrame:
 
 
 def pattern_rows(held: DataFrame, firsts: DataFrame, shards: int) -> DataFrame:
-    """``(shard, doc_id, start, words, anchors)``: runs of recurring windows at their first places.
+    """``(shard, doc_id, start, words, offsets, anchors)``: runs of recurring windows at their first places.
 
-    A run is governed by one shard; ``anchors`` are those of its windows.
+    A run is governed by one shard; ``offsets`` tell where each window's anchor begins in it.
     """
 
     def make():
         memo = WordHashes()
 
         def one(cols: dict) -> dict:
-            out: dict = {"shard": [], "doc_id": [], "start": [], "words": [], "anchors": []}
+            out: dict = {"shard": [], "doc_id": [], "start": [], "words": [], "offsets": [], "anchors": []}
             columns = (cols[c] for c in ("doc_id", "text", "anchors", "windows"))
             for doc_id, text, anchors, wanted in zip(*columns, strict=True):
                 words, own, names, mine, first = _own_windows(text, anchors, memo)
+                if not len(own):
+                    continue
+                offsets = (window_anchors(memo.array(words)) - np.arange(len(own))).astype(np.uint8)
                 found, places = np.unique(own, return_index=True)
                 spots = np.sort(places[np.isin(found, np.array(wanted, np.int64))])
                 spots = spots[mine[spots]].tolist()
@@ -165,6 +168,7 @@ def pattern_rows(held: DataFrame, firsts: DataFrame, shards: int) -> DataFrame:
                     out["doc_id"].append(doc_id)
                     out["start"].append(spots[i])
                     out["words"].append(b" ".join(words[spots[i] : spots[j] + WINDOW]))
+                    out["offsets"].append(offsets[spots[i] : spots[j] + 1].tobytes())
                     out["anchors"].append(np.unique(names[spots[i] : spots[j] + 1]))
                     i = j + 1
             return out
@@ -175,7 +179,7 @@ def pattern_rows(held: DataFrame, firsts: DataFrame, shards: int) -> DataFrame:
         held.join(firsts, "doc_id"),
         ("doc_id", "text", "anchors", "windows"),
         make,
-        "shard int, doc_id long, start long, words binary, anchors array<long>",
+        "shard int, doc_id long, start long, words binary, offsets binary, anchors array<long>",
     )
 
 
@@ -183,33 +187,47 @@ def shard_of(first: int, shards: int) -> int:
     return xxhash.xxh32_intdigest(int(first).to_bytes(8, "little", signed=True)) % shards
 
 
-def compile_shard(patterns: Iterator[tuple]) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
-    """Automaton over word numbers; each window's value is its first place ``(doc_id, start)``."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    numbers: dict[bytes, int] = {}
-    for doc_id, start, joined in patterns:
-        codes = [numbers.setdefault(w, len(numbers) + 1) for w in joined.split(b" ")]
-        for i in range(len(codes) - WINDOW + 1):
-            key, place = tuple(codes[i : i + WINDOW]), (doc_id, start + i)
-            if key not in automaton or place < automaton.get(key):
-                automaton.add_word(key, place)
-    automaton.make_automaton()
-    return automaton, numbers
-
-
-def marked_runs(text: str, doc_id: int, automaton, numbers: dict[bytes, int]) -> list[int]:
-    """Flat list start, end, start, end ... of the words that matches mark for removal."""
-    codes = tuple([numbers.get(w, 0) for w in split_words(text)])
-    runs: list[int] = []
-    for last, place in automaton.iter(codes):
-        start = last - WINDOW + 1
-        if place == (doc_id, start):
-            continue
-        if runs and start <= runs[-1]:
-            runs[-1] = last + 1
-        else:
-            runs += [start, last + 1]
-    return runs
+class PhraseAutomaton:
+    """One shard: an automaton over the anchors of its windows, and the windows with their first place.
+
+    Words are numbered within the shard. The automaton finds each anchor in one pass over a document; at a
+    hit, the windows that have it as their anchor are compared word by word.
+    """
+
+    def __init__(self, patterns: Iterator[tuple]):
+        self.numbers: dict[bytes, int] = {}
+        self.places: dict[tuple, tuple[int, int]] = {}
+        anchors: dict[tuple, set[int]] = {}
+        number = self.numbers
+        for doc_id, start, joined, offsets in patterns:
+            codes = tuple([number.setdefault(w, len(number) + 1) for w in joined.split(b" ")])
+            for i, offset in enumerate(offsets):
+                place = (doc_id, start + i)
+                if self.places.setdefault(codes[i : i + WINDOW], place) > place:
+                    self.places[codes[i : i + WINDOW]] = place
+                anchors.setdefault(codes[i + offset : i + offset + GRAM], set()).add(offset)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for anchor, offsets in anchors.items():
+            self.automaton.add_word(anchor, tuple(offsets))
+        self.automaton.make_automaton()
+
+    def marked_runs(self, text: str, doc_id: int) -> list[int]:
+        """Flat list start, end, start, end ... of the words that later places cover."""
+        number, places = self.numbers.get, self.places.get
+        codes = tuple([number(w, 0) for w in split_words(text)])
+        starts = set()
+        for last, offsets in self.automaton.iter(codes):
+            for offset in offsets:
+                start = last - GRAM + 1 - offset
+                if start >= 0 and places(codes[start : start + WINDOW], (doc_id, start)) != (doc_id, start):
+                    starts.add(start)
+        runs: list[int] = []
+        for start in sorted(starts):
+            if runs and start <= runs[-1]:
+                runs[-1] = start + WINDOW
+            else:
+                runs += [start, start + WINDOW]
+        return runs
 
 
 def located(patterns: DataFrame, visits: DataFrame) -> DataFrame:
@@ -220,11 +238,11 @@ def located(patterns: DataFrame, visits: DataFrame) -> DataFrame:
     def stream(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            columns = (left.column(c).to_pylist() for c in ("doc_id", "start", "words"))
-            automaton, numbers = compile_shard(zip(*columns, strict=True))
+            columns = (left.column(c).to_pylist() for c in ("doc_id", "start", "words", "offsets"))
+            shard = PhraseAutomaton(zip(*columns, strict=True))
             for at in range(right.num_rows):
                 doc_id, t, text = (right.column(c)[at].as_py() for c in ("doc_id", "t", "text"))
-                if runs := marked_runs(text, doc_id, automaton, numbers):
+                if runs := shard.marked_runs(text, doc_id):
                     out.append((doc_id, t, runs))
         columns = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.table([pa.array(c, type=f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
@@ -292,7 +310,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     sent = held.select("doc_id", "t", "text").join(dealt, ["doc_id", "t"]).withColumn("home", F.explode("homes"))
     sent = sent.select("home.shard", "home.block", "doc_id", "t", "text")
     copied = patterns.join(sizes, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    marks = located(copied.select("shard", "block", "doc_id", "start", "words"), sent)
+    marks = located(copied.select("shard", "block", "doc_id", "start", "words", "offsets"), sent)
     merged = store(marks.groupBy("doc_id", "t").agg(F.collect_list("runs").alias("runs")))
 
     def make():
