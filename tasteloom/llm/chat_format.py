@@ -6,7 +6,7 @@ A conversation becomes one string. Each run of adjacent turns with one role is a
     first text<|next|>second text<|end|>
 
 Texts and roles are escaped so that none of these marks can appear inside them: a backslash becomes
-two, and ``<|`` and ``|>`` get a backslash before the bar. Undoing this from left to right gives back
+two, and ``<|`` and ``|>`` get a backslash between their characters. Undoing this from left to right gives back
 the very same text, so ``read_back`` recovers every turn from the string alone.
 
 Nulls: a null text or role is an empty string; a null turn number comes first. Turns with equal
@@ -27,7 +27,7 @@ NEXT, END = "<|next|>", "<|end|>"
 def escape(text: Column) -> Column:
     text = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\"))
     text = F.replace(text, F.lit(OPEN), F.lit("<\\|"))
-    return F.replace(text, F.lit(CLOSE), F.lit("\\|>"))
+    return F.replace(text, F.lit(CLOSE), F.lit("|\\>"))
 
 
 def unescape(text: Column) -> Column:

@@ -2,9 +2,9 @@
 
 Items are queries against all documents. An item of L words belongs to the size class w, the largest
 class size that leaves it a little slack (w <= L); each of its windows of w words gets a 64-bit SimHash
-over its words. Documents are cut into windows of the same class size at a stride no larger than the
-slack of the class's shortest item, so a passage that holds the item has a window that is aligned with one
-of the item's. Fingerprints are compared by multi-index Hamming search: the 64 bits are cut into
+over its words. Documents are cut into windows of the same class size at a stride of half the slack of
+the class's shortest item, so a passage that holds the item has a window aligned with one near the item's
+start and one near its end. Fingerprints are compared by multi-index Hamming search: the 64 bits are cut into
 ``RADIUS + 1`` blocks, and by the pigeonhole principle two fingerprints within ``RADIUS`` bits agree on a
 whole block, so looking up each block in its own table misses none of them.
 
@@ -13,8 +13,8 @@ weighted Jaccard similarity of five-word shingles (weights: how often a shingle
 the document's passage of the item's length, also moved by up to ``SHIFT`` words. ``SIMILARITY`` or more
 is contamination.
 
-Bit counts of all windows come from running byte-wise sums: a window has at most 255 words, so its
-counts are exact in 8 bits. Items longer than the largest class use that class.
+Bit counts of all windows are sums of 64 bytes side by side; a window has at most 192 words, so they are
+exact. Items longer than the largest class use that class.
 
 Words are lower-cased (A-Z). Null texts are empty. Items without words match nothing; items or
 documents of fewer than five words have one shingle, the whole sequence. A document shorter than the item
@@ -25,7 +25,7 @@ reported. Empty tables give no rows.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import reduce
 
 import numpy as np
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from ..session import store
 from .words import WordHashes, map_batches, mix, split_words, word_count
 
-SIZES = (6, 8, 10, 12, 15, 19, 24, 31, 40, 52, 68, 88, 115, 150, 195, 250)  # window size classes
+SIZES = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192)  # window size classes: 2^k and 3 * 2^k
+CHUNK_WORDS = 40_000  # words whose windows are hashed together; a longer document is a chunk of its own
 RADIUS = 7
 SHINGLE = 5
 SIMILARITY = 0.75
@@ -49,18 +50,30 @@ def class_size(n_words: int) -> int:
     return fitting[-1] if fitting else n_words
 
 
-def bit_sums(hashes: np.ndarray) -> np.ndarray:
-    """Running sums (modulo 256) of each of the 64 bits, one row more than there are words."""
-    bits = np.unpackbits(mix(hashes).view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(hashes) + 1, 64), np.uint8)
-    np.cumsum(bits, axis=0, dtype=np.uint8, out=sums[1:])
-    return sums
+class WindowBits:
+    """Fingerprints of all windows of some words, for any class size.
 
+    A row holds the 64 bit counts of a window in 64 bytes. Windows of 2, 4, 8 ... words are sums of two
+    neighbours; other sizes are put together from these.
+    """
 
-def simhashes(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprint of each window of ``size`` words: the majority of every bit."""
-    counts = sums[starts + size] - sums[starts]
-    return np.packbits(counts > size // 2, axis=1).view(np.uint64).ravel()
+    def __init__(self, hashes: np.ndarray):
+        bits = np.unpackbits(mix(hashes).view(np.uint8).reshape(-1, 8), axis=1)
+        self.sums = {1: bits}
+
+    def counts(self, size: int) -> np.ndarray:
+        if size not in self.sums:
+            high = 1 << (size.bit_length() - 1)
+            low = size - high
+            first, second = (size // 2, size // 2) if not low else (high, low)
+            a, b = self.counts(first), self.counts(second)
+            n = len(self.sums[1]) - size + 1
+            self.sums[size] = a[:n] + b[first : first + n]
+        return self.sums[size]
+
+    def prints(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """The majority of every bit in the windows that begin at ``starts``."""
+        return np.packbits(self.counts(size)[starts] > size // 2, axis=1).view(np.uint64).ravel()
 
 
 def shingle_counts(words: list[bytes]) -> Counter:
@@ -95,7 +108,7 @@ class BlockIndex:
         return ((prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.int64)
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(window, entry)`` of all fingerprints within the radius."""
+        """``(window, entry)`` of all fingerprints within the radius; a pair may come more than once."""
         windows, entries = [], []
         for low, high, order, edges in self.blocks:
             values = self._block(prints, low, high)
@@ -112,8 +125,7 @@ class BlockIndex:
             entries.append(right[near])
         if not windows:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate(windows), np.concatenate(entries)]), axis=1)
-        return pairs[0], pairs[1]
+        return np.concatenate(windows), np.concatenate(entries)
 
 
 class ItemIndex:
@@ -131,46 +143,80 @@ class ItemIndex:
         self.shingles = [shingle_counts(w) for w in self.words]
         self.classes = []
         for size, members in sorted(by_size.items()):
+            # with a stride of half the slack an item has two aligned windows, one near each end, so that an
+            # edit seldom spoils both; the offsets cover every remainder of the stride
+            stride = max(1, (1 + min(len(self.words[k]) for k in members) - size) // 2)
             prints, owners, offsets = [], [], []
             for k in members:
-                starts = np.arange(len(self.words[k]) - size + 1)
-                prints.append(simhashes(bit_sums(hashes.array(self.words[k])), starts, size))
+                slack = len(self.words[k]) - size
+                near, far = np.arange(min(stride, slack + 1)), np.arange(max(0, slack + 1 - stride), slack + 1)
+                starts = np.union1d(near, far)
+                prints.append(WindowBits(hashes.array(self.words[k])).prints(starts, size))
                 owners.append(np.full(len(starts), k))
                 offsets.append(starts)
-            stride = 1 + min(len(self.words[k]) for k in members) - size
-            # half the slack: an item has at least two aligned windows, so an edit spoils only one
             self.classes.append(
-                BlockIndex(
-                    size, np.concatenate(prints), np.concatenate(owners), np.concatenate(offsets), max(1, stride // 2)
-                )
+                BlockIndex(size, np.concatenate(prints), np.concatenate(owners), np.concatenate(offsets), stride)
             )
 
-    def matches(self, words: list[bytes], hashes: np.ndarray) -> dict[int, tuple[float, int]]:
-        """``{item: (similarity, start)}`` of the items that the document holds."""
-        found: dict[int, tuple[float, int]] = {}
-        if not words:
-            return found
-        sums = bit_sums(hashes)
+    def candidates(self, hashes: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
+        """``(document, item, place)`` where a window and one of the item's are within the radius.
+
+        The documents' words stand one after another; ``ends`` tells where each document ends. The place
+        is where the item would begin, as a position in all words.
+        """
+        found: set[tuple[int, int, int]] = set()
+        begins = np.append(0, ends[:-1])
+        bits = WindowBits(hashes)
         for index in self.classes:
-            last = len(words) - index.size
-            if last < 0:
+            grid = np.arange(0, len(hashes) - index.size + 1, index.stride)
+            grid = grid[grid + index.size <= ends[np.searchsorted(ends, grid, side="right")]] if len(grid) else grid
+            # the last window of each document, for items that are cut off there
+            tails = (ends - index.size)[ends - index.size >= begins]
+            starts = np.concatenate([grid, tails])
+            if not len(starts):
                 continue
-            starts = np.unique(np.append(np.arange(0, last + 1, index.stride), last))
-            windows, entries = index.search(simhashes(sums, starts, index.size))
-            places = {(int(index.items[e]), int(starts[w] - index.offsets[e])) for w, e in zip(windows, entries, strict=True)}
-            tried: set = set()
-            for k, place in places:
-                length = len(self.words[k])
-                for shift in range(-SHIFT, SHIFT + 1):
-                    start = min(max(0, place + shift), max(0, len(words) - length))
-                    if (k, start) in tried:
-                        continue
-                    tried.add((k, start))
-                    score = weighted_similarity(self.shingles[k], shingle_counts(words[start : start + length]))
-                    if score >= SIMILARITY and (-score, start) < (-found.get(k, (0.0, 0))[0], found.get(k, (0.0, 0))[1]):
-                        found[k] = (score, start)
+            windows, entries = index.search(bits.prints(starts, index.size))
+            docs = np.searchsorted(ends, starts[windows], side="right")
+            places = starts[windows] - index.offsets[entries]
+            found.update(zip(docs.tolist(), index.items[entries].tolist(), places.tolist(), strict=True))
         return found
 
+    def confirmed(self, words: list[bytes], places: list[tuple[int, int]]) -> dict[int, tuple[float, int]]:
+        """``{item: (similarity, start)}`` for the places ``(item, start)`` of one document."""
+        best: dict[int, tuple[float, int]] = {}
+        tried: set = set()
+        for k, place in places:
+            length = len(self.words[k])
+            for shift in range(-SHIFT, SHIFT + 1):
+                start = min(max(0, place + shift), max(0, len(words) - length))
+                if (k, start) in tried:
+                    continue
+                tried.add((k, start))
+                score = weighted_similarity(self.shingles[k], shingle_counts(words[start : start + length]))
+                if score >= SIMILARITY and (k not in best or (-score, start) < (-best[k][0], best[k][1])):
+                    best[k] = (score, start)
+        return best
+
+    def matches(self, documents: list[list[bytes]], memo: WordHashes) -> list[dict[int, tuple[float, int]]]:
+        """The items that each document holds; documents are hashed in chunks of bounded words."""
+        out: list[dict] = [{} for _ in documents]
+        chunk: list[int] = []
+        size = 0
+        for i, words in enumerate([*documents, None]):
+            if chunk and (words is None or size + len(words) > CHUNK_WORDS):
+                ends = np.cumsum([len(documents[j]) for j in chunk])
+                hashes = memo.array([w for j in chunk for w in documents[j]])
+                places = defaultdict(list)
+                for at, k, place in self.candidates(hashes, ends):
+                    places[at].append((k, place - int(ends[at - 1] if at else 0)))
+                for at, spots in places.items():
+                    out[chunk[at]] = self.confirmed(documents[chunk[at]], spots)
+                chunk, size = [], 0
+            if words:
+                chunk.append(i)
+                size += len(words)
+        return out
+
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> DataFrame:
     """``(doc_id, item_id, start_word, similarity)``, the best place of each item in each document."""
@@ -189,9 +235,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item_block: int =
 
             def one(cols: dict) -> dict:
                 out: dict = {"doc_id": [], "item_id": [], "start_word": [], "similarity": []}
-                for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
-                    words = split_words(text, lower=True)
-                    for k, (score, start) in sorted(index.matches(words, memo.array(words)).items()):
+                documents = [split_words(text, lower=True) for text in cols["text"]]
+                for doc_id, found in zip(cols["doc_id"], index.matches(documents, memo), strict=True):
+                    for k, (score, start) in sorted(found.items()):
                         out["doc_id"].append(doc_id)
                         out["item_id"].append(index.ids[k])
                         out["start_word"].append(start)

@@ -130,8 +130,8 @@ with turns as (
   union all select -7, 0, 'user', '\\### Assistant: </turn> ok'
   union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
 esc as (
-  select *, replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), '|>', '\\|>') er,
-         replace(replace(replace(text, '\\', '\\\\'), '<|', '<\\|'), '|>', '\\|>') et,
+  select *, replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), '|>', '|\\>') er,
+         replace(replace(replace(text, '\\', '\\\\'), '<|', '<\\|'), '|>', '|\\>') et,
          lag(role) over (partition by conv_id order by turn, role, text) as prior
   from turns)
 select conv_id, count(*) n_turns,
