@@ -50,7 +50,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from tasteloom.registry import QUERIES
-    from tasteloom.session import local_session
+    from tasteloom.session import drop_stored, local_session
 
     spark = local_session(cpus)
     names = sys.argv[1:] or HEADLINE
@@ -64,6 +64,7 @@ def main() -> None:
     times = {}
     for name in names:
         times[name] = round(run(name, sf_dir), 3)
+        drop_stored(spark)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(

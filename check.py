@@ -64,7 +64,7 @@ def compare(df, sql: str, con) -> str | None:
 
 def main() -> int:
     from tasteloom.registry import QUERIES, oracles
-    from tasteloom.session import local_session
+    from tasteloom.session import drop_stored, local_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names, sqls = sys.argv[2:] or list(QUERIES), oracles()
@@ -80,6 +80,7 @@ def main() -> int:
                 problem, note = None, f"{df.count()} rows (no SQL)"
         except Exception as e:  # report and go on to the next query
             problem = note = f"{type(e).__name__}: {str(e)[:1500]}"
+        drop_stored(spark)
         failed += problem is not None
         print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.perf_counter() - began:.1f}s {note}", flush=True)
     print(f"{len(names) - failed} of {len(names)} ok")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.stat import Summarizer
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, vectors
 from ..schemas import SEED
+from ..session import store
+from .prep import decode_ids, encode_ids
 
 
 def embedding_norm_report(emb: DataFrame, col: str = "embedding") -> DataFrame:
@@ -136,6 +137,22 @@ def encode_histories(
     )
 
 
+def _factorise(cells: DataFrame, row: str, col: str, value: str, rank: int, seed: int, max_iter: int, implicit: bool):
+    """Factors of a sparse table, as ``(raw_id, features)`` of its rows and of its columns.
+
+    ALS takes 32-bit ids, so both sides get dense ones for the fit.
+    """
+    coded, rows = encode_ids(cells, row, out="_row")
+    coded, cols = encode_ids(coded, col, out="_col")
+    als = ALS(
+        rank=rank, maxIter=max_iter, implicitPrefs=implicit, userCol="_row", itemCol="_col", ratingCol=value,
+        seed=seed, checkpointInterval=-1,
+    )
+    model = als.fit(coded.select(F.col("_row").cast("int"), F.col("_col").cast("int"), F.col(value).cast("float")))
+    sides = ((model.userFactors, rows), (model.itemFactors, cols))
+    return [decode_ids(f.withColumnRenamed("id", "_code"), m, "_code").select("raw_id", "features") for f, m in sides]
+
+
 def train_factors(
     inter: DataFrame,
     rank: int = 64,
@@ -144,26 +161,29 @@ def train_factors(
     user: str = "user_idx",
     item: str = "item_idx",
 ) -> tuple[DataFrame, DataFrame]:
-    """Implicit-feedback matrix factorisation; unit user and item vectors."""
-    pairs = inter.groupBy(user, item).agg(F.count(F.lit(1)).cast("float").alias("_w"))
-    als = ALS(
-        rank=rank,
-        maxIter=max_iter,
-        implicitPrefs=True,
-        userCol=user,
-        itemCol=item,
-        ratingCol="_w",
-        seed=seed,
-        checkpointInterval=-1,
-    )
-    model = als.fit(pairs.withColumn(user, F.col(user).cast("int")).withColumn(item, F.col(item).cast("int")))
+    """Implicit-feedback matrix factorisation; unit user and item vectors. Ids may be of any type."""
+    pairs = inter.groupBy(user, item).agg(F.count(F.lit(1)).alias("_w"))
+    users, items = _factorise(pairs, user, item, "_w", rank, seed, max_iter, implicit=True)
 
     def unit(factors: DataFrame, key: str) -> DataFrame:
-        return factors.select(
-            F.col("id").cast("long").alias(key), vectors.l2_normalize("features").alias("embedding")
-        )
+        return factors.select(F.col("raw_id").alias(key), vectors.l2_normalize("features").alias("embedding"))
+
+    return unit(users, user), unit(items, item)
+
 
-    return unit(model.userFactors, user), unit(model.itemFactors, item)
+def item_cooccurrence(seqs: DataFrame, window: int = 5, col: str = "seq") -> DataFrame:
+    """``(a, b, n)``: how often two items stand at most ``window`` places apart, both ways; an item
+    stands beside itself at every place. Counts are combined in the map tasks."""
+    items = arrays.drop_padding(col)
+
+    def at_distance(d: int):
+        left = F.slice("_items", F.lit(1), F.greatest(F.size("_items") - d, F.lit(0)))
+        return F.arrays_zip(left.alias("a"), F.slice("_items", F.lit(1 + d), F.size(left)).alias("b"))
+
+    near = F.flatten(F.array(*[at_distance(d) for d in range(window + 1)]))
+    once = seqs.select(items.alias("_items")).select(F.inline(near)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    back = once.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "n")
+    return once.unionByName(back).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def train_item2vec(
@@ -171,23 +191,26 @@ def train_item2vec(
     dim: int = 64,
     seed: int = SEED,
     window: int = 5,
-    max_iter: int = 1,
+    max_iter: int = 10,
     col: str = "seq",
     item: str = "item_idx",
 ) -> DataFrame:
-    """Unit item vectors from the order of items in padded sequences (bounded length)."""
-    words = seqs.select(
-        F.transform(arrays.drop_padding(col), lambda x: x.cast("string")).alias("_words")
-    )
-    w2v = Word2Vec(
-        vectorSize=dim, minCount=1, windowSize=window, maxIter=max_iter, seed=seed,
-        inputCol="_words", outputCol="_out",
-    )
-    found = w2v.fit(words).getVectors()
-    return found.select(
-        F.col("word").cast("long").alias(item),
-        vectors.l2_normalize(vector_to_array("vector")).alias("embedding"),
-    )
+    """Unit item vectors from the order of items in padded sequences.
+
+    Skip-gram training with negative sampling factorises the pointwise mutual information of items and
+    their neighbours; here the positive part of that table is counted and factorised by ALS, so counting
+    and fitting are spread over the cluster. Every item of the sequences gets a vector.
+    """
+    pairs = store(item_cooccurrence(seqs, window, col))
+    totals = pairs.groupBy("a").agg(F.sum("n").alias("_t"))
+    whole = totals.agg(F.sum("_t").cast("double").alias("_all"))
+    other = totals.select(F.col("a").alias("b"), F.col("_t").alias("_u"))
+    # the whole is one row
+    info = pairs.join(totals, "a").join(other, "b").join(F.broadcast(whole))
+    info = info.withColumn("_pmi", F.log(F.col("n") * F.col("_all") / (F.col("_t") * F.col("_u"))))
+    positive = info.where("_pmi > 0 or a = b").select("a", "b", F.greatest("_pmi", F.lit(0.01)).alias("_pmi"))
+    rows, _ = _factorise(positive, "a", "b", "_pmi", dim, seed, max_iter, implicit=False)
+    return rows.select(F.col("raw_id").alias(item), vectors.l2_normalize("features").alias("embedding"))
 
 
 def build_item_embeddings(vectors_df: DataFrame, n_items: int, dim: int) -> DataFrame:

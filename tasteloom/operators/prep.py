@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,9 +55,7 @@ def drop_padding(col) -> Column:
     return arrays.drop_padding(col)
 
 
-def kcore(
-    df: DataFrame, k: int, user: str = "user_id", item: str = "item_id", max_rounds: int = 100
-) -> DataFrame:
+def kcore(df: DataFrame, k: int, user: str = "user_id", item: str = "item_id") -> DataFrame:
     """Rows left after dropping users and items with fewer than ``k`` rows until nothing changes.
 
     The loop counts (user, item, rows) pairs and writes down only the ids it drops. These are few
@@ -67,7 +66,7 @@ def kcore(
         return df
     kept = store(df.groupBy(user, item).agg(F.count(F.lit(1)).alias("_rows")))
     dropped = {user: [], item: []}
-    for r in range(1, max_rounds + 1):
+    for r in count(1):  # each round but the last drops an id, so this ends
         changed = False
         for side in (user, item):
             few = kept.groupBy(side).agg(F.sum("_rows").alias("_n")).where(F.col("_n") < k)
@@ -81,8 +80,6 @@ def kcore(
             break
         if r % STORE_EVERY == 0:
             kept = store(kept)
-    else:
-        raise RuntimeError(f"k-core did not settle in {max_rounds} rounds")
     out = df
     for side, tables in dropped.items():
         if tables:

@@ -177,7 +177,7 @@ def predict(model, features: DataFrame) -> DataFrame:
     if isinstance(model, Callable) and not hasattr(model, "transform"):
         return features.withColumn("score", model(F.col("features")))
     rows = features.withColumn("_vec", array_to_vector("features"))
-    scored = model.setFeaturesCol("_vec").transform(rows)
+    scored = model.copy().setFeaturesCol("_vec").transform(rows)
     probability = vector_to_array("probability")[1]
     return scored.withColumn("score", probability).drop("_vec", "rawPrediction", "probability", "prediction")
 

@@ -143,8 +143,8 @@ def train_seqs(spark, sf):
 
 @query(
     "inference_windows",
-    f"""select u.user_idx, repeat('0,', {L} - count(h.q)::int) ||
-          coalesce(string_agg((h.item_idx + 1)::varchar, ',' order by h.q desc), '') seq
+    f"""select u.user_idx, rtrim(repeat('0,', {L} - count(h.q)::int) ||
+          coalesce(string_agg((h.item_idx + 1)::varchar, ',' order by h.q desc), ''), ',') seq
         from (select distinct user_idx from v_globaltime) u left join (
           select user_idx, item_idx, row_number() over (partition by user_idx order by {TIE_DESC}) q
           from v_globaltime where split <> 'test') h
@@ -153,10 +153,7 @@ def train_seqs(spark, sf):
 def inference_windows(spark, sf):
     from .prep import global_time
 
-    seqs = text(sequences.inference_windows(global_time(spark, sf), ORDER, L), "seq")
-    # a user without history is all padding, written with the trailing comma of the SQL text
-    zeros = ",".join(["0"] * L)
-    return seqs.withColumn("seq", F.when(F.col("seq") == zeros, zeros + ",").otherwise(F.col("seq")))
+    return text(sequences.inference_windows(global_time(spark, sf), ORDER, L), "seq")
 
 
 @query(
@@ -246,15 +243,16 @@ def ground_truth_catalogue(spark, sf):
 
 @query(
     "sequence_lookup",
-    f"""select user_idx, array_to_string(list(item_idx order by q), ',') history from (
+    f"""select u.user_idx, coalesce(history, '') history
+        from (select distinct user_idx from v_stage where split = 'test') u left join (
+        select user_idx, array_to_string(list(item_idx order by q), ',') history from (
           select user_idx, item_idx, row_number() over (partition by user_idx order by stage desc, p desc) b,
             row_number() over (partition by user_idx order by stage, p) q
           from v_stage where user_idx in (select user_idx from v_stage where split = 'test'))
-        where b between 2 and {L + 1} group by 1""",
+        where b between 2 and {L + 1} group by 1) h on h.user_idx = u.user_idx""",
 )
 def sequence_lookup(spark, sf):
     from .prep import hash_split
 
     seqs = sequences.eval_windows(hash_split(spark, sf), "test", ORDER, L)
-    found = text(sequences.sequence_lookup(seqs, ["position"]), "history")
-    return found.where("history <> ''")
+    return text(sequences.sequence_lookup(seqs, ["position"]), "history")

@@ -231,7 +231,8 @@ def drain(spark, stream, mode="append"):
     base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch, number):
-        batch.withColumn("batch_id", F.lit(number)).write.mode("append").parquet(f"{base}/rows")
+        # a batch that is run again replaces its own folder
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch_id={number}")
 
     job = (
         stream.writeStream.outputMode(mode)

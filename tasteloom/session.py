@@ -18,7 +18,10 @@ SETTINGS = {
     # a hot user or item must be split even if that costs one more exchange later
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # vector work is heavy per byte: let small tables keep all cores busy (large ones do not notice)
+}
+
+# Only for the small tables of tests and the bench: keep all cores busy.
+LOCAL_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
     "spark.sql.files.openCostInBytes": "131072",
 }
@@ -69,23 +72,24 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    for key, value in LOCAL_SETTINGS.items():
+        spark.conf.set(key, value)
     return configure(spark)
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a folder of its own; on a cluster a
-    machine-local folder would not survive the loss of an executor, so that is an error.
+    A cluster has to name one. A local-mode session, where driver and executors are one process, gets a
+    folder of its own if none is named, as in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not named and spark.sparkContext.master.split("[")[0] == "local":
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tasteloom-"))
+        named = spark.sparkContext.getCheckpointDir()
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="tasteloom-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir()
+    return named
 
 
 _STORED: list[str] = []
