@@ -41,16 +41,22 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold no benchmark item."""
     prepare(spark)
     leaks = store(decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark")))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    leaks = leaks.select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (0 to 3 times)."""
+    """Each document as often as the mix takes it (0 to 3 times).
+
+    Rows that share an id stand as one: the first is taken as often as they are together.
+    """
     prepare(spark)
-    taken = pivotal_mix.mix_documents(docs).where("copies > 0").select("doc_id", "copies")
+    taken = pivotal_mix.mix_documents(docs).groupBy(F.col("doc_id").alias("_mixed"))
+    taken = taken.agg(F.sum("copies").alias("_times")).where("_times > 0")
     return (
-        docs.join(taken, "doc_id")
-        .withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        docs.dropDuplicates(["doc_id"])
+        .join(taken, F.col("doc_id").eqNullSafe(F.col("_mixed")))
+        .withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
         .select(*docs.columns)
     )
 
