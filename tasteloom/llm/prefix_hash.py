@@ -199,7 +199,7 @@ def fingerprint_documents(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFr
     ids = docs.select("doc_id")
     ranges = ids.repartitionByRange(cells, "doc_id").groupBy(F.spark_partition_id().alias("range"))
     # one number per range, MAX_CELLS in all: bounded by a constant, not by the table
-    least = [r[0] for r in ranges.agg(F.min("doc_id")).collect() if r[0] is not None]
+    least = [r["least"] for r in ranges.agg(F.min("doc_id").alias("least")).collect() if r["least"] is not None]
     cell = _cell_of(sorted(least)[1:])
 
     ids = ids.withColumn("cell", cell)

@@ -275,6 +275,17 @@ def test_fingerprints_equal_brute_force(llm, odd_texts):
     assert found[4][2] == found[5][2] and found[4][5] == 1.0 and found[0][5] == 1.0 and found[2][5] < 1
 
 
+def test_cells_hold_like_numbers_of_rows(llm, monkeypatch):
+    from pyspark.sql import functions as F
+
+    frame = type(llm.range(1))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a: self)
+    docs = llm.range(4_000).selectExpr("id as doc_id", "'a' as text")
+    dealt = prefix_hash.fingerprint_documents(docs, cell_rows=200)
+    sizes = [r["count"] for r in dealt.where(~F.col("guest")).groupBy("at").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 800 and sum(sizes) == 4_000
+
+
 def test_fingerprints_of_ties(llm):
     docs = llm.createDataFrame([(1, "b" * 10), (1, "a" * 10), (None, "n" * 4)], "doc_id long, text string")
     rows = prefix_hash.fingerprint_documents(docs).collect()
