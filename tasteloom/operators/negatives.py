@@ -13,33 +13,34 @@ from .grid import grid_apply
 from .ordering import running_total, top_per_group, with_position
 
 
-def nth_unseen(draws: DataFrame, seen: DataFrame, user: str = "user_idx", key: str = "draw_id") -> DataFrame:
-    """Turn "the r-th item this user has not seen" into the item: ``(draw_id, item_idx)``.
+def nth_unseen(draws: DataFrame, seen: DataFrame, user: str = "user_idx", keys=("draw_id",)) -> DataFrame:
+    """Turn "the r-th item this user has not seen" into the item: ``(keys, item_idx)``.
 
-    ``draws`` is ``(draw_id, user, r)`` and ``seen`` distinct ``(user, item_idx)``. With the seen
+    ``draws`` is ``(keys, user, r)`` and ``seen`` distinct ``(user, item_idx)``. With the seen
     items s_0 < s_1 < ... of a user, s_j - j unseen items lie below s_j, so the answer is r plus
     the number of j with s_j - j <= r: no rejection, no retry, and it works for users who have
     seen almost everything. The seen list of one user is at most the catalogue; its draws may be
-    any number and are split over blocks.
+    any number and are split over blocks. ``keys`` keep their types.
     """
+    names = list(keys)
 
     def kernel(left: dict, right: dict) -> dict:
         gaps = np.sort(right["item_idx"])
         gaps = gaps[gaps >= 0]  # -1 marks a user without seen items
         gaps = gaps - np.arange(len(gaps))
         r = left["r"]
-        return {"draw_id": left["draw_id"], "item_idx": r + np.searchsorted(gaps, r, side="right")}
+        return {**{k: left[k] for k in names}, "item_idx": r + np.searchsorted(gaps, r, side="right")}
 
     asked = draws.select(user).distinct()
     marks = asked.select(user, F.lit(-1).cast("long").alias("item_idx"))
     right = seen.select(user, "item_idx").join(asked, user, "left_semi").unionByName(marks)
-    left = draws.select(F.col(key).alias("draw_id"), user, "r")
-    kind = dict(left.dtypes)["draw_id"]
+    left = draws.select(*dict.fromkeys([*names, user]), "r")
+    kinds = dict(left.dtypes)
     return grid_apply(
         left,
         right,
         kernel,
-        f"draw_id {kind}, item_idx long",
+        ", ".join(f"{k} {kinds[k]}" for k in names) + ", item_idx long",
         keys=[user],
         left_rows=65_536,
         split_right=False,
@@ -118,19 +119,12 @@ def _random_unseen(
     free = free.withColumn("unseen", F.coalesce("unseen", F.lit(n_items)).cast("long"))
     able = free.where(F.col("unseen") > 0)
     numbers = F.explode(F.sequence(F.lit(1), F.lit(n)))
-    draws = able.select(key, user, "unseen", numbers.alias("_j")).select(
-        F.struct(F.col(key), F.col(user), F.col("_j")).alias("_d"),
-        user,
-        draw_below(F.col("unseen"), key, F.col("_j"), seed=seed).alias("r"),
+    draws = able.select(key, user, "unseen", numbers.alias("j")).select(
+        key, user, "j", draw_below(F.col("unseen"), key, F.col("j"), seed=seed).alias("r")
     )
-    # the draw id travels as text through the numpy kernel
-    packed = draws.select(F.to_json("_d").alias("draw_id"), user, "r")
-    found = nth_unseen(packed, seen, user)
-    shape = rows.select(key, user).schema
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shape) + ", _j int"
-    opened = found.select(F.from_json("draw_id", ddl).alias("d"), "item_idx").select("d.*", "item_idx")
-    wide = [F.max(F.when(F.col("_j") == j, F.col("item_idx"))).alias(f"neg_item_idx_{j}") for j in range(1, n + 1)]
-    return opened.groupBy(key, user).agg(*wide)
+    found = nth_unseen(draws, seen, user, (key, user, "j"))
+    wide = [F.max(F.when(F.col("j") == j, F.col("item_idx"))).alias(f"neg_item_idx_{j}") for j in range(1, n + 1)]
+    return found.groupBy(key, user).agg(*wide)
 
 
 def random_negatives_user(
@@ -169,37 +163,27 @@ def uniform_unseen(
 ) -> DataFrame:
     """``n`` different unseen items per user (all of them if fewer): ``(user, slot, item_idx)``.
 
-    Draws are places among the user's unseen items. With plenty of room, ``2n + 20`` draws hold
-    ``n`` different ones; when the room is below ``8n`` all places are shuffled instead, and a user
-    whose draws do not suffice after all is shuffled too.
+    Floyd's sampling, one rule for every user: step i draws a place among the first
+    ``room - n + i`` unseen items and takes the last of these instead if the draw is taken
+    already. Every set of ``n`` places is equally likely; there is no retry, and a user costs
+    ``n`` steps however many items are unseen.
     """
-    room = store(
-        users.select(user)
-        .join(unseen_counts(seen, n_items, user), user, "left")
-        .select(user, F.coalesce("unseen", F.lit(n_items)).cast("long").alias("room"))
-    )
-    tries = 2 * n + 20
-    roomy = room.where(F.col("room") >= 8 * n)
-    tight = room.where((F.col("room") < 8 * n) & (F.col("room") > 0))
-    attempts = spread(roomy, user).select(user, "room", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("_a"))
-    drawn = attempts.select(user, "_a", draw_below(F.col("room"), user, F.col("_a"), seed=seed).alias("r"))
-    firsts = drawn.groupBy(user, "r").agg(F.min("_a").alias("_a"))
-    picked = store(top_per_group(firsts, [user], ["_a"], n, "slot").select(user, "r", "slot"))
-    if picked.count() < n * roomy.count():  # next to impossible, but then exact all the same
-        full = picked.groupBy(user).count().where(F.col("count") == n).select(user)
-        tight = tight.unionByName(roomy.join(full, user, "left_anti"))
-        picked = picked.join(full, user, "left_semi")
-
-    places = spread(tight, user).select(user, F.explode(F.sequence(F.lit(0).cast("long"), F.col("room") - 1)).alias("r"))
-    shuffled = top_per_group(places, [user], [digest(user, "r", seed=seed), F.col("r")], n, "slot")
-    chosen = picked.unionByName(shuffled.select(user, "r", "slot"))
-
-    draws = chosen.select(
-        F.concat_ws("|", F.col(user), F.col("slot")).alias("draw_id"), user, "r"
-    )
-    found = nth_unseen(draws, seen, user)
-    parts = F.split("draw_id", r"\|")
-    return found.select(parts[0].cast("long").alias(user), parts[1].cast("int").alias("slot"), "item_idx")
+    room = users.select(user).join(unseen_counts(seen, n_items, user), user, "left")
+    room = room.select(user, F.coalesce("unseen", F.lit(n_items)).cast("long").alias("room")).where("room > 0")
+    room = spread(room, user).withColumn("_k", F.least(F.lit(n).cast("long"), F.col("room")))
+
+    def step(i):
+        last = F.col("room") - F.col("_k") + i - 1
+        return F.struct(last.alias("last"), draw_below(last + 1, user, i, seed=seed).alias("r"))
+
+    def take(places, s):
+        return F.concat(places, F.array(F.when(F.array_contains(places, s["r"]), s["last"]).otherwise(s["r"])))
+
+    steps = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_k")), step)
+    places = F.aggregate(steps, F.array().cast("array<bigint>"), take)
+    chosen = room.select(user, F.posexplode(places).alias("slot", "r"))
+    draws = chosen.select(user, (F.col("slot") + 1).alias("slot"), "r")
+    return nth_unseen(draws, seen, user, (user, "slot"))
 
 
 def weighted_unseen(

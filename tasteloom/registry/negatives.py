@@ -140,16 +140,15 @@ view(
 
 
 def _uniform_sql(n: int) -> str:
-    """First ``n`` different places of a user's draws, or all places in hash order if few."""
+    """``n`` different places of each user (all if fewer) by Floyd's sampling, one step a round."""
     return f"""select user_idx, slot, item_idx from (
-          select user_idx, r, row_number() over (partition by user_idx order by a) slot from (
-            select user_idx, {d_draw('user_idx', 'a')} % m r, min(a) a
-            from (select distinct user_idx, m from v_unseenpart where m >= {8 * n}), (select unnest(range(1, {2 * n + 21})) a)
-            group by user_idx, r)
-          union all
-          select user_idx, r, row_number() over (partition by user_idx order by {d_digest('user_idx', 'r')}, r)
-          from v_unseenpart where m < {8 * n})
-        join v_unseenpart using (user_idx, r) where slot <= {n}"""
+          with recursive floyd as (
+            select distinct user_idx, m, least(m, {n}) k, 0::bigint i, []::bigint[] places from v_unseenpart
+            union all
+            select user_idx, m, k, i + 1, list_append(places, case when list_contains(places, r) then j else r end)
+            from (select *, m - k + i j, {d_draw('user_idx', '(i + 1)')} % (m - k + i + 1) r from floyd where i < k))
+          select user_idx, unnest(places) r, unnest(range(1, k + 1)) slot from floyd where i = k)
+        join v_unseenpart using (user_idx, r)"""
 
 
 def _weighted_sql(n: int, blocked: str, tries: int) -> str:

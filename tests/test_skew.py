@@ -210,6 +210,33 @@ def test_unseen_draws(spark):
     assert len(third) == len(set(third)) == 5
 
 
+@pytest.mark.parametrize("n_items", [4, 12, 60])
+def test_uniform_unseen_is_uniform_for_any_room(spark, n_items):
+    """Three of ``n_items`` less the seen one: different, and every item and pair equally often. Ids are strings."""
+    n, users = 3, 3000
+    asked = spark.range(users).select(F.concat(F.lit("u|"), "id").alias("user_idx"))
+    seen = asked.select("user_idx", F.lit(2).cast("long").alias("item_idx"))
+    by_user = {}
+    for r in negatives.uniform_unseen(asked, seen, n_items, n).collect():
+        by_user.setdefault(r["user_idx"], {})[r["slot"]] = r["item_idx"]
+    assert len(by_user) == users
+    items, pairs = np.zeros(n_items), np.zeros((n_items, n_items))
+    for slots in by_user.values():
+        assert sorted(slots) == [1, 2, 3] and len(set(slots.values())) == n
+        for a in slots.values():
+            items[a] += 1
+            for b in slots.values():
+                pairs[a, b] += a != b
+    room = n_items - 1
+    assert items[2] == 0
+    rest = [i for i in range(n_items) if i != 2]
+    p = n / room
+    assert np.abs(items[rest] / users - p).max() <= 5 * np.sqrt(p * (1 - p) / users)
+    q = p * (n - 1) / (room - 1)
+    off = pairs[np.ix_(rest, rest)][~np.eye(room, dtype=bool)]
+    assert np.abs(off / users - q).max() <= 5 * np.sqrt(q * (1 - q) / users)
+
+
 def test_weighted_draws_when_little_is_left(spark):
     """The only unseen item with any popularity is found; zero-count items are never drawn."""
     counts = spark.createDataFrame([(0, 5000), (1, 3000), (2, 1), (3, 0)], "item_idx long, cnt long")
