@@ -25,7 +25,9 @@ each is judged by place: what starts elsewhere in another of them later is a rep
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -42,6 +44,7 @@ GRAM = 10
 NULL_ID = -(2**63)
 SHARD_WINDOWS = 30_000  # patterns of one automaton, at the average
 BLOCK_CHARS = 8_000_000  # text that one task streams through one automaton, at the average
+CODE = array("i").itemsize  # bytes of a word's number
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -55,11 +58,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def window_anchors(hashes: np.ndarray) -> np.ndarray:
-    """Start of the least gram of each window; the first one if several are equal."""
-    grams = gram_hashes(hashes, GRAM)
-    span = WINDOW - GRAM + 1
-    views = np.lib.stride_tricks.sliding_window_view(grams, span)
-    return np.arange(len(views)) + views.argmin(axis=1)
+    """Start of the least gram of each window; the first one if several are equal.
+
+    The least of a span is the lesser of the least of two spans that cover it, so spans are doubled.
+    """
+    least = gram_hashes(hashes, GRAM)
+    at = np.arange(len(least), dtype=np.int32)
+    width, span = 1, WINDOW - GRAM + 1
+    while width < span:
+        step = min(width, span - width)
+        first = least[:-step] <= least[step:]
+        least, at = np.where(first, least[:-step], least[step:]), np.where(first, at[:-step], at[step:])
+        width += step
+    return at
 
 
 def window_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -190,21 +201,24 @@ def shard_of(first: int, shards: int) -> int:
 class PhraseAutomaton:
     """One shard: an automaton over the anchors of its windows, and the windows with their first place.
 
-    Words are numbered within the shard. The automaton finds each anchor in one pass over a document; at a
+    Words are numbered within the shard (0: in none of its windows), a window's key is its numbers side by
+    side. The automaton finds each anchor in one pass over a document; at a
     hit, the windows that have it as their anchor are compared word by word.
     """
 
     def __init__(self, patterns: Iterator[tuple]):
         self.numbers: dict[bytes, int] = {}
-        self.places: dict[tuple, tuple[int, int]] = {}
+        self.places: dict[bytes, tuple[int, int]] = {}
         anchors: dict[tuple, set[int]] = {}
         number = self.numbers
         for doc_id, start, joined, offsets in patterns:
             codes = tuple([number.setdefault(w, len(number) + 1) for w in joined.split(b" ")])
+            packed = array("i", codes).tobytes()
             for i, offset in enumerate(offsets):
                 place = (doc_id, start + i)
-                if self.places.setdefault(codes[i : i + WINDOW], place) > place:
-                    self.places[codes[i : i + WINDOW]] = place
+                window = packed[CODE * i : CODE * (i + WINDOW)]
+                if self.places.setdefault(window, place) > place:
+                    self.places[window] = place
                 anchors.setdefault(codes[i + offset : i + offset + GRAM], set()).add(offset)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for anchor, offsets in anchors.items():
@@ -215,11 +229,15 @@ class PhraseAutomaton:
         """Flat list start, end, start, end ... of the words that later places cover."""
         number, places = self.numbers.get, self.places.get
         codes = tuple([number(w, 0) for w in split_words(text)])
+        packed = array("i", codes).tobytes()
         starts = set()
         for last, offsets in self.automaton.iter(codes):
             for offset in offsets:
                 start = last - GRAM + 1 - offset
-                if start >= 0 and places(codes[start : start + WINDOW], (doc_id, start)) != (doc_id, start):
+                if start < 0:
+                    continue
+                place = places(packed[CODE * start : CODE * (start + WINDOW)])
+                if place is not None and place != (doc_id, start):
                     starts.add(start)
         runs: list[int] = []
         for start in sorted(starts):
@@ -257,11 +275,11 @@ def _digest(words: list[bytes]) -> str:
 def kept_words(text: str, runs: list[list[int]] | None) -> tuple[list[bytes], int]:
     """Words that stay, and the number of all words."""
     words = split_words(text)
-    gone = np.zeros(len(words), bool)
+    kept = bytearray(b"\x01") * len(words)
     for flat in runs or ():
         for start, end in zip(flat[::2], flat[1::2], strict=True):
-            gone[start:end] = True
-    return [w for w, g in zip(words, gone, strict=True) if not g], len(words)
+            kept[start:end] = bytes(end - start)
+    return list(compress(words, kept)), len(words)
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:

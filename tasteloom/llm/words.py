@@ -65,16 +65,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _poly(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial in ``_ODD`` of each ``n`` consecutive hashes, put together from two halves."""
+    if n == 1:
+        return hashes
+    low = n // 2
+    high = n - low
+    right = _poly(hashes, low)
+    left = right if low == high else _poly(hashes, high)
+    last = len(hashes) - n + 1
+    out = left[:last] * np.uint64(pow(int(_ODD), low, 1 << 64))
+    out += right[high : high + last]
+    return out
+
+
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each ``n`` consecutive words; one of the whole sequence if it is shorter."""
     if not len(hashes):
         return hashes
     n = min(n, len(hashes))
-    last = len(hashes) - n + 1
-    out = np.zeros(last, np.uint64)
-    for j in range(n):
-        out = out * _ODD + hashes[j : j + last]
-    return mix(out + np.uint64(n))
+    return mix(_poly(hashes, n) + np.uint64(n))
 
 
 def map_batches(
