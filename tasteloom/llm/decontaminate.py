@@ -13,6 +13,10 @@ weighted Jaccard similarity of five-word shingles (weights: how often a shingle
 the document's passage of the item's length, also moved by up to ``SHIFT`` words. ``SIMILARITY`` or more
 is contamination.
 
+A document shorter than the item may have no window of the item's class, or none at the item's ends, so it
+is found by its shingles: at 0.75 it lacks at most a quarter of the item's shingles, so it holds one of any
+quarter and one more of them. ``ShortIndex`` keeps the rarest such part of each item; this misses none.
+
 Bit counts of all windows are sums of 64 bytes side by side; a window has at most 192 words, so they are
 exact. Items longer than the largest class use that class.
 
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import store
-from .words import WordHashes, map_batches, mix, split_words, word_count
+from .words import WordHashes, gram_hashes, map_batches, mix, split_words, word_count
 
 SIZES = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192)  # window size classes: 2^k and 3 * 2^k
 CHUNK_WORDS = 40_000  # words whose windows are hashed together; a longer document is a chunk of its own
@@ -128,6 +132,41 @@ class BlockIndex:
         return np.concatenate(windows), np.concatenate(entries)
 
 
+class ShortIndex:
+    """The rarest shingles of each item, so many that a shorter document at ``SIMILARITY`` holds one of them."""
+
+    def __init__(self, hashed: list[np.ndarray]):
+        """``hashed``: the word hashes of each item."""
+        self.lengths = np.array([len(h) for h in hashed], np.int64)
+        grams = [gram_hashes(h, SHINGLE) if len(h) >= SHINGLE else h[:0] for h in hashed]
+        sizes = np.array([len(g) for g in grams], np.int64)
+        every, owners = np.concatenate([np.zeros(0, np.uint64), *grams]), np.repeat(np.arange(len(grams)), sizes)
+        _, which, counts = np.unique(every, return_inverse=True, return_counts=True)
+        order = np.lexsort((every, counts[which], owners))
+        rank = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        wanted = sizes - np.ceil(SIMILARITY * sizes).astype(np.int64) + 1
+        chosen = order[rank < wanted[owners]]
+        chosen = chosen[np.argsort(every[chosen], kind="stable")]
+        self.grams, self.owners = every[chosen], owners[chosen]
+
+    def search(self, hashes: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
+        """``(document, item)`` with a shared shingle, where the document is shorter and long enough for the similarity."""
+        if not len(self.grams) or len(hashes) < SHINGLE:
+            return set()
+        sizes = np.diff(ends, prepend=0)
+        starts = np.arange(len(hashes) - SHINGLE + 1)
+        docs = np.searchsorted(ends, starts, side="right")
+        inside = (starts + SHINGLE <= ends[docs]) & (sizes[docs] < self.lengths.max())
+        docs, grams = docs[inside], gram_hashes(hashes, SHINGLE)[inside]
+        first = np.searchsorted(self.grams, grams, side="left")
+        n = np.searchsorted(self.grams, grams, side="right") - first
+        docs, begun = np.repeat(docs, n), np.repeat(first - np.cumsum(n) + n, n)
+        items = self.owners[begun + np.arange(n.sum())]
+        less, whole = sizes[docs], self.lengths[items]
+        fits = (less < whole) & (less - SHINGLE + 1 >= SIMILARITY * (whole - SHINGLE + 1))
+        return set(zip(docs[fits].tolist(), items[fits].tolist(), strict=True))
+
+
 class ItemIndex:
     def __init__(self, items: list[tuple[int, str]]):
         hashes = WordHashes()
@@ -141,6 +180,8 @@ class ItemIndex:
             self.words.append(words)
             by_size.setdefault(class_size(len(words)), []).append(k)
         self.shingles = [shingle_counts(w) for w in self.words]
+        hashed = [hashes.array(w) for w in self.words]
+        self.short = ShortIndex(hashed)
         self.classes = []
         for size, members in sorted(by_size.items()):
             # with a stride of half the slack an item has two aligned windows, one near each end, so that an
@@ -151,7 +192,7 @@ class ItemIndex:
                 slack = len(self.words[k]) - size
                 near, far = np.arange(min(stride, slack + 1)), np.arange(max(0, slack + 1 - stride), slack + 1)
                 starts = np.union1d(near, far)
-                prints.append(WindowBits(hashes.array(self.words[k])).prints(starts, size))
+                prints.append(WindowBits(hashed[k]).prints(starts, size))
                 owners.append(np.full(len(starts), k))
                 offsets.append(starts)
             self.classes.append(
@@ -159,13 +200,15 @@ class ItemIndex:
             )
 
     def candidates(self, hashes: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
-        """``(document, item, place)`` where a window and one of the item's are within the radius.
+        """``(document, item, place)`` where a window and one of the item's are within the radius, or the
+        document is shorter than the item and shares a rare shingle.
 
         The documents' words stand one after another; ``ends`` tells where each document ends. The place
         is where the item would begin, as a position in all words.
         """
         found: set[tuple[int, int, int]] = set()
         begins = np.append(0, ends[:-1])
+        found.update((d, k, int(begins[d])) for d, k in self.short.search(hashes, ends))
         bits = WindowBits(hashes)
         for index in self.classes:
             grid = np.arange(0, len(hashes) - index.size + 1, index.stride)

@@ -415,6 +415,21 @@ def test_leaks_on_documents(llm, sf):
         assert {k for k, item in held if item in text} <= {k for d, k in found if d == r["doc_id"]}
 
 
+def test_leaks_in_documents_shorter_than_the_item(llm):
+    lengths = [4, 5, 9, 15, 29, 39, 40, 58, 61, 231, 250, 400]
+    items = [(i, prose(n, 600 + i, 4_000)) for i, n in enumerate(lengths)] + [(50, prose(39, 605, 4_000)), (51, "la " * 39)]
+    texts = ["la " * 31, "la " * 20]
+    for _, item in items[: len(lengths)]:
+        w = item.split()
+        least = int(0.75 * (len(w) - 4)) + 4
+        for d in {least - 1, least, least + 1, (least + len(w)) // 2, len(w) - 1}:
+            texts += [" ".join(w[a : a + d]) for a in {0, (len(w) - d) // 2, len(w) - d}]
+    found = decontaminate.find_contamination(table(llm, texts), llm.createDataFrame(items, "item_id long, text string"))
+    want = brute.leaks(list(enumerate(texts)), items)
+    assert {k for _, k in want} == {k for k, _ in items}
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
 def test_blocks_find_all_within_radius():
     draw = np.random.default_rng(4)
     prints = draw.integers(0, 2**63, 200, dtype=np.uint64)
