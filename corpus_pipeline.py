@@ -30,32 +30,46 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("keep").select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the hash of the text beside the id: ids may be null or stand for several texts."""
+    return docs.withColumn("_text", F.xxhash64("text"))
+
+
+def _same(docs: DataFrame, other: DataFrame):
+    return docs["doc_id"].eqNullSafe(other["doc_id"]) & (docs["_text"] == other["text_key"])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; repeated rows go too."""
+    """The document with the smallest id of each group of near-duplicates; rows with equal id and text stand as one.
+
+    Rows that share an id but not a text are documents of their own, and so are those with a null id.
+    """
     prepare(spark)
-    kept = setsketch.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    kept = setsketch.near_duplicates(docs, identity=True).where("first").select("doc_id", "text_key").distinct()
+    keyed = _keyed(docs)
+    return keyed.join(kept, _same(keyed, kept), "left_semi").dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     prepare(spark)
-    leaks = store(decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark")))
-    leaks = leaks.select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti").select(*docs.columns)
+    leaks = store(decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark"), identity=True))
+    leaks, keyed = leaks.select("doc_id", "text_key").distinct(), _keyed(docs)
+    return keyed.join(leaks, _same(keyed, leaks), "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0 to 3 times).
 
-    Rows that share an id stand as one: the first is taken as often as they are together.
+    Rows with equal id, text and source stand as one: the first is taken as often as they are together.
     """
     prepare(spark)
-    taken = pivotal_mix.mix_documents(docs).groupBy(F.col("doc_id").alias("_mixed"))
+    taken = pivotal_mix.mix_documents(docs).groupBy("doc_id", "text_key", "source")
     taken = taken.agg(F.sum("copies").alias("_times")).where("_times > 0")
+    keyed = _keyed(docs).dropDuplicates(["doc_id", "_text", "source"])
     return (
-        docs.dropDuplicates(["doc_id"])
-        .join(taken, F.col("doc_id").eqNullSafe(F.col("_mixed")))
+        keyed.join(taken, _same(keyed, taken) & keyed["source"].eqNullSafe(taken["source"]))
+        .select(*[keyed[c] for c in docs.columns], "_times")
         .withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
         .select(*docs.columns)
     )

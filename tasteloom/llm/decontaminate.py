@@ -261,13 +261,20 @@ class ItemIndex:
         return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> DataFrame:
-    """``(doc_id, item_id, start_word, similarity)``, the best place of each item in each document."""
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK, identity: bool = False
+) -> DataFrame:
+    """``(doc_id, item_id, start_word, similarity)``, the best place of each item in each document.
+
+    With ``identity`` also ``text_key``, a hash of the text, which tells rows with one id apart.
+    """
     spark = docs.sparkSession
     items = store(benchmark.select(F.col("item_id").cast("long"), "text", word_count(F.col("text")).alias("n")))
     total = items.agg(F.sum("n")).first()[0] or 0
     blocks = -(-total // item_block)
-    schema = "doc_id long, item_id long, start_word long, similarity double"
+    keys = ["doc_id", "text_key"] if identity else ["doc_id"]
+    schema = ", ".join(f"{k} long" for k in keys) + ", item_id long, start_word long, similarity double"
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").select(*keys, "text")
     passes = []
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).where("n > 0")
@@ -277,11 +284,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item_block: int =
             index, memo = ItemIndex(held.value), WordHashes()
 
             def one(cols: dict) -> dict:
-                out: dict = {"doc_id": [], "item_id": [], "start_word": [], "similarity": []}
+                out: dict = {k: [] for k in keys} | {"item_id": [], "start_word": [], "similarity": []}
                 documents = [split_words(text, lower=True) for text in cols["text"]]
-                for doc_id, found in zip(cols["doc_id"], index.matches(documents, memo), strict=True):
+                for at, found in enumerate(index.matches(documents, memo)):
                     for k, (score, start) in sorted(found.items()):
-                        out["doc_id"].append(doc_id)
+                        for name in keys:
+                            out[name].append(cols[name][at])
                         out["item_id"].append(index.ids[k])
                         out["start_word"].append(start)
                         out["similarity"].append(score)
@@ -289,7 +297,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item_block: int =
 
             return one
 
-        passes.append(map_batches(docs, ("doc_id", "text"), make, schema))
+        passes.append(map_batches(rows, (*keys, "text"), make, schema))
     if not passes:
         return spark.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, passes)

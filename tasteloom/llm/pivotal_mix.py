@@ -136,7 +136,7 @@ def settle(sizes: list[float], decided: dict[int, int], over: float, exchanges:
     return turned
 
 
-CARRIED = "doc_id long, source string, size long, source_size long, target double, whole long"
+CARRIED = "doc_id long, text_key long, source string, size long, source_size long, target double, whole long"
 
 
 def _reduce_blocks(rows: DataFrame, step: int, last: bool, seed: int) -> DataFrame:
@@ -145,8 +145,8 @@ def _reduce_blocks(rows: DataFrame, step: int, last: bool, seed: int) -> DataFra
 
     def run(block: pa.Table) -> pa.Table:
         columns = {c: block.column(c).to_pylist() for c in block.column_names}
-        ids, sizes, parts = columns["doc_id"], columns["size"], list(columns["fraction"])
-        order = sorted(range(len(ids)), key=lambda i: (-sizes[i], ids[i] is not None, ids[i] or 0))
+        ids, keys, sizes, parts = columns["doc_id"], columns["text_key"], columns["size"], list(columns["fraction"])
+        order = sorted(range(len(ids)), key=lambda i: (-sizes[i], ids[i] is not None, ids[i] or 0, keys[i]))
         entries = [(ids[i], float(sizes[i]), parts[i]) for i in order]
         decided, held = pair_off(entries, seed, step)
         extra: list = [None] * len(ids)
@@ -171,8 +171,15 @@ def _reduce_blocks(rows: DataFrame, step: int, last: bool, seed: int) -> DataFra
 def mix_documents(
     docs: DataFrame, weights=WEIGHTS, most: int = MAX_REPEATS, seed: int = SEED, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies, taken)`` for every row of ``docs``."""
-    sizes = store(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size")))
+    """``(doc_id, text_key, source, size, source_size, target, copies, taken)`` for every row of ``docs``.
+
+    ``text_key`` is a hash of the text, which tells rows with one id apart.
+    """
+    sizes = store(
+        docs.select(
+            F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "source", word_count(F.col("text")).alias("size")
+        )
+    )
     targets = source_targets(sizes, weights, most).withColumnRenamed("source", "_source")
     wanted = F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))
     wanted = F.when(F.col("size") > 0, wanted).otherwise(0.0)
@@ -195,7 +202,7 @@ def mix_documents(
             break
         current = out.where(F.col("extra").isNull()).withColumn("block", F.expr(f"block div {FAN_IN}"))
         blocks, step = -(-blocks // FAN_IN), step + 1
-    names = ["doc_id", "source", "size", "source_size", "target"]
+    names = ["doc_id", "text_key", "source", "size", "source_size", "target"]
     copies = (F.col("whole") + F.col("extra")).alias("copies")
     every = [d.select(*names, copies) for d in done]
     return reduce(DataFrame.unionByName, every).withColumn("taken", F.col("copies") * F.col("size"))

@@ -6,7 +6,8 @@ where x_i is the smallest of exponential draws of the set's members: registers a
 truncated minima. The sketch of a union is the larger register of both, and two registers are equal about
 as often as the sets resemble each other.
 
-1. Equal sets are one class, named by its smallest ``doc_id``; only classes go on.
+1. Equal sets are one class, led by its smallest ``doc_id`` (of several texts of that id, the one with the smallest
+   hash) and named by its place among all leaders; only classes go on.
 2. ``ROWS`` registers make a band; classes that share a band meet. In each meeting every class is
    paired with the one that meets most others. The joint likelihood of the counts of larger, smaller and equal registers
    must not speak for a similarity below ``SCREEN``; what remains is confirmed on full sets.
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.grid import grid_apply
+from ..operators.ordering import with_position
 from ..session import store
 from .components import components
 from .words import WordHashes, gram_hashes, map_batches, mix, split_words
@@ -101,13 +103,13 @@ def may_be_similar(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_ri
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, d1, d2, sketch)``: set size, digest of the set, registers."""
+    """``(doc_id, text_key, n_shingles, d1, d2, sketch)``: hash of the text, set size, digest of the set, registers."""
 
     def make():
         memo = WordHashes()
 
         def one(cols: dict) -> dict:
-            out: dict = {"doc_id": cols["doc_id"], "n_shingles": [], "d1": [], "d2": [], "sketch": []}
+            out: dict = {c: cols[c] for c in ("doc_id", "text_key")} | {"n_shingles": [], "d1": [], "d2": [], "sketch": []}
             for text in cols["text"]:
                 members = shingle_set(text, memo)
                 out["n_shingles"].append(len(members))
@@ -119,8 +121,9 @@ def sketches(docs: DataFrame) -> DataFrame:
 
         return one
 
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), ("doc_id", "text"), make, schema)
+    schema = "doc_id long, text_key long, n_shingles long, d1 long, d2 long, sketch binary"
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    return map_batches(rows, ("doc_id", "text_key", "text"), make, schema)
 
 
 def set_digest(members: np.ndarray) -> tuple[int, int]:
@@ -270,17 +273,24 @@ def _across(crowded: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     return grid_apply(side, side, kernel, "a long, b long", keys=["key"], left_rows=512, right_rows=512).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row."""
+def near_duplicates(docs: DataFrame, identity: bool = False) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for every row.
+
+    With ``identity`` also ``text_key`` (hash of the text) and ``first``: true for one pair of id and text of each
+    component, and for all rows that are in none. Ids need not be unique for that.
+    """
     rows = store(sketches(docs))
     found = rows.where("n_shingles > 0")
-    named = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    # a null id cannot name a class; its rows are their own component
+    # a null id cannot lead a class; its rows are their own component
+    leaders = found.where("doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key")).alias("_l"))
+    leaders = leaders.select("d1", "d2", F.col("_l.doc_id").alias("lead_id"), F.col("_l.text_key").alias("lead_key"))
+    # an id may lead several classes, so their names are places; these are in the order of ids
+    named = with_position(leaders, ["lead_id", "lead_key", "d1", "d2"], name="rep")
     classes = store(
         found.join(named, ["d1", "d2"])
-        .where("doc_id = rep")
-        .dropDuplicates(["rep", "d1", "d2"])
-        .select("rep", "d1", "d2", "n_shingles", "sketch")
+        .where("doc_id = lead_id and text_key = lead_key")
+        .dropDuplicates(["rep"])
+        .select("rep", "d1", "d2", "lead_id", "lead_key", "n_shingles", "sketch")
     )
     bands = _bands(classes)
     meetings = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -292,9 +302,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = store(met.join(centers, "key"))
     # the only shuffle of texts: those that meet another one are stored beside their class
     texts = store(
-        docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(
-            members.select("rep").distinct(), "rep", "left_semi"
+        docs.select(F.col("doc_id").cast("long").alias("lead_id"), F.xxhash64("text").alias("lead_key"), "text")
+        .join(
+            classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "lead_id", "lead_key"),
+            ["lead_id", "lead_key"],
         )
+        .select("rep", "text")
     )
     pairs = store(
         members.where("rep <> center")
@@ -314,13 +327,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_class = (
         classes.select("rep", "d1", "d2")
         .join(labels, F.col("rep") == F.col("node"), "left")
-        .select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+        .select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+        .join(
+            classes.select(
+                F.col("rep").alias("component"), F.col("lead_id").alias("component_id"), F.col("lead_key").alias("component_key")
+            ),
+            "component",
+        )
+        .drop("component")
     )
     linked = found.drop("sketch").join(of_class, ["d1", "d2"], "left")
-    alone = rows.where("n_shingles = 0").drop("sketch").withColumn("component_id", F.col("doc_id"))
+    alone = rows.where("n_shingles = 0").drop("sketch")
+    alone = alone.withColumn("component_id", F.col("doc_id")).withColumn("component_key", F.col("text_key"))
+    own = F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True))
+    first = own & F.coalesce((F.col("component_key") == F.col("text_key")) | F.col("doc_id").isNull(), F.lit(True))
     return linked.unionByName(alone).select(
         "doc_id",
         "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+        own.alias("kept"),
+        *(["text_key", first.alias("first")] if identity else []),
     )

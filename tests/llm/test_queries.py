@@ -51,6 +51,27 @@ def test_stages_take_effect(spark, sf, tmp_path):
     assert sorted(r["doc_id"] for r in sharded) == sorted(r["doc_id"] for r in mixed)
 
 
+def test_stages_keep_texts_that_share_an_id(spark, tmp_path):
+    prepare(spark)
+    say = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    near = say(3).split()
+    near[-1] = "other"
+    rows = [(None, say(1)), (None, say(2)), (None, say(2)), (3, say(3)), (7, " ".join(near)), (7, say(4)), (8, say(4))]
+    rows += [(9, say(5)), (9, say(6)), (9, say(7) + " " + say(8)), (10, say(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'a' source", "1L n_chars")
+    item = spark.createDataFrame([(0, say(8))], "item_id long, text string")
+    item.write.parquet(f"{tmp_path}/benchmark.parquet")
+    unique = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    want = {(None, say(1)), (None, say(2)), (3, say(3)), (7, say(4)), (9, say(5)), (9, say(6)), (9, say(7) + " " + say(8))}
+    found = [(r["doc_id"], r["text"]) for r in unique.collect()]
+    assert len(found) == len(want) and set(found) == want
+    clean = corpus_pipeline.decontamination(spark, unique, str(tmp_path))
+    assert {(r["doc_id"], r["text"]) for r in clean.collect()} == want - {(9, say(7) + " " + say(8))}
+    # one source: its target is its size, so each text is taken once
+    mixed = [(r["doc_id"], r["text"]) for r in corpus_pipeline.mixing(spark, docs, str(tmp_path)).collect()]
+    assert sorted(mixed, key=str) == sorted(rows, key=str)
+
+
 def test_stages_stand_odd_rows(spark, tmp_path):
     prepare(spark)
     rows = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "a", 0), (3, "x " * 30, "en", "a", 60)]
