@@ -2,16 +2,18 @@
 
 A page is parsed into an element tree. Two rules delete subtrees:
 
-* structure: elements that are never article text (menus, headers, footers, sidebars, forms, scripts,
-  styles), and elements whose role, class or id says that they are an advert, notice, menu or comment;
-* templates: every other container outside the article body is hashed with its whole subtree; Spark
-  counts on how many distinct articles of a host each hash appears, and subtrees that recur on
+* templates: every container of the page, inside and outside the article, is hashed with its whole subtree;
+  Spark counts on how many distinct articles of a host each hash appears, and subtrees that recur on
   ``TEMPLATE_PAGES`` or more are deleted from that host's pages. Pages with one and the same article
   count once, so copies of an article do not make its own text a template.
+* structure, the complement for what does not recur: elements that are never article text (menus, headers,
+  footers, sidebars, forms, scripts, styles), and elements whose role, class or id says that they are an
+  advert, notice, menu or comment.
 
 What is left is read from the article element(s), else ``main``, else the body. Inside the article,
-headings, paragraphs and other text blocks are never deleted for recurring, as an author may repeat
-them. Blocks are text between block-level tags or line breaks, white space inside a block is one space,
+headings, paragraphs and other single text blocks are never deleted for recurring, as an author may repeat
+them; recurring lists and tables are. ``n_templates`` counts the different subtrees of the page, nested ones too,
+that recur. Blocks are text between block-level tags or line breaks, white space inside a block is one space,
 blocks are joined by a line feed.
 
 Null or empty html gives an empty text; broken or unclosed markup is closed where its parent ends; a null
@@ -45,8 +47,11 @@ DROPPED = set(
     "script style noscript template head title nav header footer aside form menu button select input textarea "
     "iframe object embed svg canvas audio video dialog link meta xmp noembed noframes option".split()
 )
-TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 blockquote pre table figure figcaption dl dt dd ol ul li tr td th thead tbody".split())
-CONTAINERS = set("div section ul ol dl table p span center details fieldset figure a li blockquote".split())
+TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dt dd li tr td th thead tbody".split())
+CONTAINERS = set(
+    "div section ul ol dl table p span center details fieldset figure a li blockquote nav header footer aside form menu "
+    "dialog".split()
+)
 # An open element of the key is closed by the start of one of the values.
 CLOSED_BY = {
     "p": BLOCK - {"br", "body", "html", "head", "td", "th", "tr", "option"},
@@ -146,18 +151,23 @@ def prune(node: Node) -> None:
         work += [c for c in here.children if not isinstance(c, str)]
 
 
-def subtree_hash(node: Node) -> int:
-    """Hash of tags, attributes and text of a subtree."""
-    out, work = xxhash.xxh64(), [node]
+def subtree_hashes(root: Node) -> dict[int, int]:
+    """Hash of tags, attributes and text of the subtree of each node, by the node's ``id``; each node is visited once."""
+    order, work = [], [root]
     while work:
         here = work.pop()
-        if isinstance(here, str):
-            out.update(" ".join(here.split()).encode("utf-8", "surrogatepass"))
-        else:
-            out.update(f"<{here.tag} {here.attrs.strip()}>".encode("utf-8", "surrogatepass"))
-            work.append("</>")
-            work += reversed(here.children)
-    return out.intdigest() - (1 << 63)
+        order.append(here)
+        work += [c for c in here.children if not isinstance(c, str)]
+    found: dict[int, int] = {}
+    for here in reversed(order):  # children before parents
+        out = xxhash.xxh64(f"<{here.tag} {here.attrs.strip()}>".encode("utf-8", "surrogatepass"))
+        for child in here.children:
+            if isinstance(child, str):
+                out.update(b"t" + " ".join(child.split()).encode("utf-8", "surrogatepass") + b"\0")
+            else:
+                out.update(b"n" + (found[id(child)] + (1 << 63)).to_bytes(8, "big"))
+        found[id(here)] = out.intdigest() - (1 << 63)
+    return found
 
 
 def _find(node: Node, tag: str) -> list[Node]:
@@ -180,17 +190,18 @@ def bodies(root: Node) -> list[Node]:
     return [root]
 
 
-def containers(top: Node, whole_article: bool) -> Iterator[tuple[Node, Node]]:
-    """``(parent, element)`` that may be a template. In an article, text blocks never are."""
-    work = [top]
+def containers(root: Node) -> Iterator[tuple[Node, Node]]:
+    """``(parent, element)`` of the page that may be a template. In an article, single text blocks never are."""
+    work = [(root, False)]
     while work:
-        here = work.pop()
+        here, inside = work.pop()
+        inside = inside or here.tag in ("article", "main")
         for child in here.children:
             if isinstance(child, str):
                 continue
-            if child.tag in CONTAINERS and not (whole_article and (child.tag in TEXT_BLOCKS or child.tag in ("a", "span"))):
+            if child.tag in CONTAINERS and not (inside and (child.tag in TEXT_BLOCKS or child.tag in ("a", "span"))):
                 yield here, child
-            work.append(child)
+            work.append((child, inside))
 
 
 def text_of(tops: list[Node]) -> str:
@@ -225,25 +236,25 @@ def text_of(tops: list[Node]) -> str:
 def candidate_hashes(page: str | None) -> tuple[list[int], int]:
     """Hashes of the subtrees that may be templates, and the hash of the article they stand beside."""
     root = parse(page or "")
+    hashes = subtree_hashes(root)
+    found = {hashes[id(child)] for _, child in containers(root)}
     prune(root)
-    tops = bodies(root)
-    inside = tops[0].tag in ("article", "main")
-    found = {subtree_hash(child) for top in tops for _, child in containers(top, inside)}
-    return sorted(found), xxhash.xxh64_intdigest(text_of(tops).encode("utf-8", "surrogatepass")) - (1 << 63)
+    return sorted(found), xxhash.xxh64_intdigest(text_of(bodies(root)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def extract(page: str | None, templates: set[int] | frozenset = frozenset()) -> str:
     """Main text of one page without the given template subtrees."""
     root = parse(page or "")
-    prune(root)
-    tops = bodies(root)
     if templates:
-        inside = tops[0].tag in ("article", "main")
-        for top in tops:
-            for parent, child in list(containers(top, inside)):
-                if child in parent.children and subtree_hash(child) in templates:
-                    parent.children = [c for c in parent.children if c is not child]
-    return text_of(tops)
+        hashes = subtree_hashes(root)
+        doomed = {id(child) for _, child in containers(root) if hashes[id(child)] in templates}
+        work = [root]
+        while work:
+            here = work.pop()
+            here.children = [c for c in here.children if id(c) not in doomed]
+            work += [c for c in here.children if not isinstance(c, str)]
+    prune(root)
+    return text_of(bodies(root))
 
 
 def host_of(url):

@@ -383,6 +383,17 @@ def test_recurring_subtrees_go(llm):
     assert found[300] == "" and template_html.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_templates_of_whole_pages_are_counted(llm):
+    notice, menu = "<ul><li>Read more</li><li>Join us</li></ul>", "<div class='top'><a href='/'>Home</a></div><nav>menu</nav>"
+    rows = [
+        (i, "https://a.example/x", f"<body>{menu}<article><p>{prose(20, i)}</p>{notice}<p>Thank you.</p></article></body>")
+        for i in range(8)
+    ]
+    pages = llm.createDataFrame(rows, "page_id long, url string, html string")
+    for r in template_html.extract_pages(pages).collect():
+        assert r["text"] == prose(20, r["page_id"]) + "\nThank you." and r["n_templates"] >= 3
+
+
 # benchmark leaks
 
 
