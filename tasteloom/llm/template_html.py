@@ -3,16 +3,18 @@
 A page is parsed into an element tree. Two rules delete subtrees:
 
 * templates: every container of the page, inside and outside the article, is hashed with its whole subtree;
-  Spark counts on how many distinct articles of a host each hash appears, and subtrees that recur on
-  ``TEMPLATE_PAGES`` or more are deleted from that host's pages. Pages with one and the same article
+  Spark counts on how many distinct articles of a host each hash appears, and subtrees that recur on a share of
+  ``TEMPLATE_SHARE`` of these, ``TEMPLATE_PAGES`` at least, are deleted from that host's pages. Pages with one and the same article
   count once, so copies of an article do not make its own text a template.
 * structure, the complement for what does not recur: elements that are never article text (menus, headers,
   footers, sidebars, forms, scripts, styles), and elements whose role, class or id says that they are an
   advert, notice, menu or comment.
 
-What is left is read from the article element(s), else ``main``, else the body. Inside the article,
-headings, paragraphs and other single text blocks are never deleted for recurring, as an author may repeat
-them; recurring lists and tables are. ``n_templates`` counts the different subtrees of the page, nested ones too,
+Neither rule deletes the longest article (or ``main``) of a page or an element that holds it.
+
+What is left is read from the article element(s), else ``main``, else the body. Headings, paragraphs, other single
+text blocks and inline elements are never deleted for recurring, as an author may repeat them; recurring lists
+and tables are. ``n_templates`` counts the different subtrees of the page, nested ones too,
 that recur. Blocks are text between block-level tags or line breaks, white space inside a block is one space,
 blocks are joined by a line feed.
 
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from ..session import store
 from .words import map_batches
 
-TEMPLATE_PAGES = 5  # distinct articles of a host that share a subtree before it is a template
+TEMPLATE_SHARE = 0.1  # share of a host's distinct articles that hold a subtree before it is a template
+TEMPLATE_PAGES = 3  # and the least number of these
 
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,11 +50,7 @@ DROPPED = set(
     "script style noscript template head title nav header footer aside form menu button select input textarea "
     "iframe object embed svg canvas audio video dialog link meta xmp noembed noframes option".split()
 )
-TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dt dd li tr td th thead tbody".split())
-CONTAINERS = set(
-    "div section ul ol dl table p span center details fieldset figure a li blockquote nav header footer aside form menu "
-    "dialog".split()
-)
+CONTAINERS = set("div section ul ol dl table center details fieldset figure nav header footer aside form menu dialog".split())
 # An open element of the key is closed by the start of one of the values.
 CLOSED_BY = {
     "p": BLOCK - {"br", "body", "html", "head", "td", "th", "tr", "option"},
@@ -142,12 +141,41 @@ def unwanted(node: Node) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", node.attrs))
 
 
+def protected(root: Node) -> set[int]:
+    """The ``id`` of the longest article (else ``main``), if there is one, and of the elements that hold it.
+
+    Articles whose own class is unwanted (a comment) come after the others; of equal ones the first counts.
+    """
+    above: dict[int, Node] = {}
+    order, work = [], [root]
+    while work:
+        here = work.pop()
+        order.append(here)
+        for child in reversed(here.children):
+            if not isinstance(child, str) and child.tag not in ("template", "noscript", "head"):
+                above[id(child)] = here
+                work.append(child)
+    sizes: dict[int, int] = {}
+    for here in reversed(order):
+        sizes[id(here)] = sum(len(c.strip()) if isinstance(c, str) else sizes.get(id(c), 0) for c in here.children)
+    for tag in ("article", "main"):
+        found = [n for n in order if n.tag == tag]
+        if found:
+            best = max(found, key=lambda n: (sizes[id(n)] > 0, not unwanted(n), sizes[id(n)]))
+            keep = {id(best)}
+            while id(best) in above:
+                best = above[id(best)]
+                keep.add(id(best))
+            return keep
+    return set()
+
+
 def prune(node: Node) -> None:
     """Delete the subtrees that structure alone rules out."""
-    work = [node]
+    keep, work = protected(node), [node]
     while work:
         here = work.pop()
-        here.children = [c for c in here.children if isinstance(c, str) or not unwanted(c)]
+        here.children = [c for c in here.children if isinstance(c, str) or id(c) in keep or not unwanted(c)]
         work += [c for c in here.children if not isinstance(c, str)]
 
 
@@ -191,17 +219,16 @@ def bodies(root: Node) -> list[Node]:
 
 
 def containers(root: Node) -> Iterator[tuple[Node, Node]]:
-    """``(parent, element)`` of the page that may be a template. In an article, single text blocks never are."""
-    work = [(root, False)]
+    """``(parent, element)`` of the page that may be a template."""
+    keep, work = protected(root), [root]
     while work:
-        here, inside = work.pop()
-        inside = inside or here.tag in ("article", "main")
+        here = work.pop()
         for child in here.children:
             if isinstance(child, str):
                 continue
-            if child.tag in CONTAINERS and not (inside and (child.tag in TEXT_BLOCKS or child.tag in ("a", "span"))):
+            if child.tag in CONTAINERS and id(child) not in keep:
                 yield here, child
-            work.append((child, inside))
+            work.append(child)
 
 
 def text_of(tops: list[Node]) -> str:
@@ -261,7 +288,7 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def site_templates(pages: DataFrame, least: int = TEMPLATE_PAGES) -> tuple[DataFrame, DataFrame]:
+def site_templates(pages: DataFrame, least: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> tuple[DataFrame, DataFrame]:
     """``(templates, subtrees)``: recurring ``(host, subtree)``, and ``(page_id, host, article, subtree)``."""
 
     def make():
@@ -269,7 +296,7 @@ def site_templates(pages: DataFrame, least: int = TEMPLATE_PAGES) -> tuple[DataF
             out: dict = {"page_id": [], "host": [], "article": [], "subtree": []}
             for page_id, host, page in zip(cols["page_id"], cols["host"], cols["html"], strict=True):
                 hashes, article = candidate_hashes(page)
-                for h in hashes:
+                for h in [None, *hashes]:  # the row without a subtree counts the host's articles
                     out["page_id"].append(page_id)
                     out["host"].append(host)
                     out["article"].append(article)
@@ -285,7 +312,9 @@ def site_templates(pages: DataFrame, least: int = TEMPLATE_PAGES) -> tuple[DataF
     # distinct articles first (a hot host is spread by subtree and article), then a small count
     seen = subtrees.select("host", "subtree", "article").distinct()
     counted = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("articles"))
-    return counted.where(F.col("articles") >= least).select("host", "subtree"), subtrees
+    totals = counted.where("subtree is null").select("host", F.col("articles").alias("all"))
+    often = counted.where((F.col("articles") >= least) & F.col("subtree").isNotNull()).join(totals, "host")
+    return often.where(F.col("articles") >= F.col("all") * share).select("host", "subtree"), subtrees
 
 
 def extract_pages(pages: DataFrame, least: int = TEMPLATE_PAGES) -> DataFrame:

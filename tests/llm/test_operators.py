@@ -394,6 +394,29 @@ def test_templates_of_whole_pages_are_counted(llm):
         assert r["text"] == prose(20, r["page_id"]) + "\nThank you." and r["n_templates"] >= 3
 
 
+def test_templates_are_a_share_of_the_host(llm):
+    rows = []
+    for i in range(90):
+        box = "<div><p>Sign up</p></div>" if i < 6 else ""
+        link = "<a href='/de'>de</a>" if i % 3 else "<p>Thank you.</p>"
+        rows.append((i, "https://a.example/x", f"<body><div>{box}<p>{prose(20, i)} {link}</p></div></body>"))
+    rows += [(100 + i, "https://b.example/x", f"<article><div>Sign up</div><p>{prose(9, i)}</p></article>") for i in range(3)]
+    found = {r["page_id"]: r["text"] for r in template_html.extract_pages(llm.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(90):
+        assert found[i] == ("Sign up\n" if i < 6 else "") + prose(20, i) + (" de" if i % 3 else "\nThank you.")
+    assert [found[100 + i] for i in range(3)] == [prose(9, i) for i in range(3)]
+
+
+def test_classes_never_delete_what_holds_the_article():
+    comments = "<section id='comments'><article class='comment'>me too</article></section>"
+    for page in (
+        f"<body><div class='layout with-sidebar'><article><p>text of it</p></article>{comments}</div></body>",
+        f"<body><article class='post comments-open'><p>text of it</p>{comments}</article></body>",
+        "<body><div class='entry has-header'><main><p>text of it</p><div class='share'>x</div></main></div></body>",
+    ):
+        assert template_html.extract(page) == "text of it"
+
+
 # benchmark leaks
 
 
