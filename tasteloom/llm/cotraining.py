@@ -4,13 +4,13 @@
 * Metadata view: logistic regression on language, source, size and page layout (line and word lengths,
   shares of capitals, digits and marks, share of repeated words); it sees no word.
 
-Labelled rows (good: quality 1 and not toxic) train both. In each round a fresh pool of unlabelled rows is
-scored by both views; rows that one view is confident about become training rows of the *other* view.
+Labelled rows (good: quality 1 and not toxic) train both. In each round all unlabelled rows are scored by both
+views; rows that one view is confident about become training rows of the *other* view, beside the labelled ones.
 At the end both views are calibrated on labelled rows that were held out of training, and a logistic
 combination of the two calibrated logits, fitted on the same rows, scores every document.
 
-Fitting uses at most about ``MAX_LABELLED`` labelled and ``POOL_ROWS`` unlabelled rows per round, chosen by
-a hash of the id; these are the documented bounds. Scoring covers every row and the whole text.
+Fitting uses at most about ``MAX_LABELLED`` labelled rows, chosen by a hash of the id; this is the documented
+bound. Unlabelled rows are not sampled: their features are stored once, and each fit reads them. Scoring covers every row and the whole text.
 
 Null texts are empty, null metadata is a value of its own. Null labels are no labels; of repeated labels the
 worst counts. Without two classes among the labels every document gets a score of 1 and is kept. Repeated rows
@@ -36,9 +36,8 @@ DIM = 1 << 16  # hashed text features
 SIDE = 64  # hashed values of language and source
 LAYOUT = 12
 MAX_LABELLED = 20_000
-POOL_ROWS = 4_000
 ROUNDS = 2
-FIT_PARTS = 12  # partitions of the bounded training rows
+FIT_PARTS = 12  # partitions of the bounded labelled rows
 CONFIDENT = 0.97
 THRESHOLD = 0.5
 _LETTERS = re.compile(rb"[^A-Za-z\x80-\xff]+")
@@ -141,24 +140,22 @@ def _share(seed: int):
     return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / F.lit(1_000_000.0)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Stored ``(doc_id, good, fold, text, meta)``. Folds: 0 train, 1 held out, 2.. pool of each round."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Stored ``(doc_id, good, fold, text, meta)``. Folds: 0 train, 1 held out, 2 every unlabelled row."""
     labelled = store(labels_of(labels))
-    n_labels, n_docs = labelled.count(), max(1, docs.count())
+    n_labels = labelled.count()
     sample = labelled.where(_share(1) < min(1.0, MAX_LABELLED / max(1, n_labels)))
     sample = sample.withColumn("fold", F.when(_share(2) < 0.25, 1).otherwise(0))
-    # both sides of these joins are samples of bounded size, so the small side may be broadcast
+    # the sample is of bounded size, so it may be broadcast
     picked = docs.select("doc_id", "text", "lang", "source")
     known = picked.join(F.broadcast(sample), "doc_id")
-    rate = min(0.5, rounds * POOL_ROWS / n_docs)
-    pool_ids = docs.select("doc_id").where(_share(3) < rate).join(labelled, "doc_id", "left_anti").distinct()
-    pool = picked.join(F.broadcast(pool_ids), "doc_id").select(
-        *picked.columns, F.lit(None).cast("double").alias("good"),
-        (F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(rounds)) + 2).cast("int").alias("fold"),
-    )
-    rows = _features(known.unionByName(pool), ["doc_id", "good", "fold"], "doc_id long, good double, fold int")
+    pool = picked.join(labelled, "doc_id", "left_anti").select(
+        *picked.columns, F.lit(None).cast("double").alias("good"), F.lit(2).alias("fold")
+    )
+    rows = known.repartition(FIT_PARTS).unionByName(pool)
+    rows = _features(rows, ["doc_id", "good", "fold"], "doc_id long, good double, fold int")
     vectors = rows.select("doc_id", "good", "fold", _sparse("text_ids").alias("text"), _dense("meta").alias("meta"))
-    return store(vectors.repartition(FIT_PARTS))
+    return store(vectors)
 
 
 def _fit(rows: DataFrame, column: str, strength: float):
@@ -210,11 +207,11 @@ class CoTrained:
 
 def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> CoTrained | None:
     """Fit both views; None if the labels do not hold both classes."""
-    rows = training_rows(docs, labels, rounds)
+    rows = training_rows(docs, labels)
     classes = {(r["fold"], r["good"]) for r in rows.where("fold < 2").select("fold", "good").distinct().collect()}
     if not {(0, 0.0), (0, 1.0), (1, 0.0), (1, 1.0)} <= classes:
         return None
-    base, held = rows.where("fold = 0").select("doc_id", "good", "text", "meta"), rows.where("fold = 1")
+    base, held, pool = (rows.where(F.col("fold") == f).select("doc_id", "good", "text", "meta") for f in range(3))
     text_rows = meta_rows = base
 
     def fit_both():
@@ -225,22 +222,18 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> CoTrai
         cal = [_platt(found[c].to_numpy()[:, None], good) for c in ("a", "b")]
         return text_model, meta_model, cal, found
 
-    for r in range(rounds):
-        text_model, meta_model, cal, _ = fit_both()
-        pool = rows.where(F.col("fold") == r + 2)
-        margins = _margins(pool, text_model, meta_model)
-        chance = [1.0 / (1.0 + F.exp(-(F.col(c) * float(w[0]) + float(w[1])))) for c, w in zip("ab", cal, strict=True)]
-        marked = pool.drop("good").join(
-            margins.select("doc_id", chance[0].alias("pa"), chance[1].alias("pb")), "doc_id"
-        )
-
-        def taught(name: str, marked=marked):
-            sure = (F.col(name) >= CONFIDENT) | (F.col(name) <= 1.0 - CONFIDENT)
-            good = (F.col(name) >= 0.5).cast("double").alias("good")
-            return marked.where(sure).select("doc_id", good, "text", "meta")
+    def taught(model, column: str, w):
+        """Labelled rows, and the unlabelled ones that this view is sure of. It reads stored rows and is not stored itself."""
+        chance = 1.0 / (1.0 + F.exp(-(vector_to_array(column + "_raw")[1] * float(w[0]) + float(w[1]))))
+        marked = model.transform(pool).withColumn("_p", chance)
+        sure = (F.col("_p") >= CONFIDENT) | (F.col("_p") <= 1.0 - CONFIDENT)
+        good = (F.col("_p") >= 0.5).cast("double").alias("good")
+        return base.unionByName(marked.where(sure).select("doc_id", good, "text", "meta"))
 
+    for _ in range(rounds):
+        text_model, meta_model, cal, _ = fit_both()
         # the text view learns from what the metadata view is sure of, and the other way round
-        text_rows, meta_rows = store(text_rows.unionByName(taught("pb"))), store(meta_rows.unionByName(taught("pa")))
+        text_rows, meta_rows = taught(meta_model, "meta", cal[1]), taught(text_model, "text", cal[0])
     text_model, meta_model, cal, found = fit_both()
     logits = np.column_stack([found[c].to_numpy() * w[0] + w[1] for c, w in zip("ab", cal, strict=True)])
     joint = _platt(logits, found["good"].to_numpy())

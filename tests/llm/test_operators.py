@@ -122,6 +122,13 @@ def test_cotraining_keeps_good_and_rejects_bad(llm):
     assert np.mean(right) > 0.95
 
 
+def test_every_unlabelled_row_may_teach(llm):
+    docs = table(llm, [prose(9, i) for i in range(300)])
+    labels = llm.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    pool = cotraining.training_rows(docs, labels).where("fold >= 2")
+    assert sorted(r["doc_id"] for r in pool.select("doc_id").collect()) == list(range(100, 300))
+
+
 def test_cotraining_without_two_classes_keeps_all(llm):
     docs = table(llm, ["a b", None])
     for rows in ([], [(0, 1, 0)]):
