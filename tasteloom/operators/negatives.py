@@ -94,20 +94,25 @@ def pool_after_skip(negs: DataFrame, owner: str, skip_top: int) -> DataFrame:
 def hard_negatives_position(
     pairs: DataFrame,
     topk: DataFrame,
+    n_items: int,
     skip_top: int = MINING_SKIP_TOP,
     seed: int = SEED,
     key: str = "example_id",
 ) -> DataFrame:
     """One hard negative per training position; only the position's own target is excluded.
 
-    ``topk`` holds top-(k+1) lists with ``query_id`` = the position's key.
+    ``topk`` holds top-(k+1) lists with ``query_id`` = the position's key. A position without a pool gets a
+    random item other than its target; with a single item there is none.
     """
     lists = topk.select(F.col("query_id").alias(key), "item_idx", "rank")
     targets = pairs.select(key, F.col("target").alias("item_idx"))
     negs = lists.join(targets, [key, "item_idx"], "left_anti")
     pools = pool_after_skip(negs, key, skip_top)
     pick = F.element_at("pool", (draw_below(F.size("pool").cast("long"), key, seed=seed) + 1).cast("int"))
-    return pairs.select(key).join(pools, key).select(key, pick.alias("neg_item_idx"))
+    spare = F.pmod(F.col("target") + 1 + draw_below(max(1, n_items - 1), key, F.lit(1), seed=seed), F.lit(n_items))
+    found = pairs.select(key, "target").join(pools, key, "left")
+    found = found.select(key, "target", F.when(F.col("pool").isNull(), spare).otherwise(pick).alias("neg_item_idx"))
+    return found.where(F.col("neg_item_idx") != F.col("target")).select(key, "neg_item_idx")
 
 
 def _random_unseen(

@@ -99,7 +99,8 @@ def hard_negatives_position(spark, sf):
     pairs = position_pairs(spark, sf)
     top = user_top(spark, sf, 41).withColumnRenamed("query_id", "user_idx")
     lists = pairs.select(F.col("example_id").alias("query_id"), "user_idx").join(top, "user_idx")
-    return negatives.hard_negatives_position(pairs, lists, SKIP)
+    n = views.item_vectors(spark, sf).count()
+    return negatives.hard_negatives_position(pairs, lists, n, SKIP)
 
 
 @query(

@@ -220,3 +220,14 @@ def test_genre_of_missing_item(spark):
     assert vocab == ["Unknown", "", "A", "B"]
     hot = {r["item_idx"]: r["genre_multihot"] for r in features.genre_multihot(cat, vocab).collect()}
     assert hot[1] == hot[2] == [1.0, 0.0, 0.0, 0.0] and hot[3] == [0.0, 0.0, 1.0, 1.0]
+
+
+def test_positions_without_a_pool_get_a_random_item(spark):
+    from tasteloom.operators import negatives
+
+    pairs = spark.createDataFrame([(0, 5), (1, 5), (2, 7)], "example_id long, target long")
+    top = spark.createDataFrame([(0, 5, 1), (2, 7, 1), (2, 3, 2)], "query_id long, item_idx long, rank int")
+    rows = negatives.hard_negatives_position(pairs, top, n_items=9).collect()
+    found = {r["example_id"]: r["neg_item_idx"] for r in rows}
+    assert set(found) == {0, 1, 2} and found[2] == 3
+    assert all(0 <= found[i] < 9 and found[i] != 5 for i in (0, 1))
