@@ -15,7 +15,9 @@ VIEWS: dict[str, str] = {}
 
 
 def view(name: str, body: str) -> None:
-    """A named sub-query; ``ask`` pulls in the ones a statement mentions."""
+    """A named sub-query; ``ask`` pulls in the ones a statement mentions. A name is given once."""
+    if name in VIEWS:
+        raise ValueError(f"the view {name} is registered already")
     VIEWS[name] = body.strip()
 
 

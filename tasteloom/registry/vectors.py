@@ -206,12 +206,12 @@ def checked(df, *ids):
     return df.select(*ids, F.size("embedding").alias("dim"), F.round(length, 6).alias("length"))
 
 
-view("v_vocab", "select distinct item_idx from (select unnest(seq) - 1 item_idx from v_seq) where item_idx >= 0")
+view("v_seqitem", "select distinct item_idx from (select unnest(seq) - 1 item_idx from v_seq) where item_idx >= 0")
 
 
 @query(
     "build_item_embeddings",
-    """select i::bigint item_idx, 32 dim, case when i in (select item_idx from v_vocab) then 1.0::double else 0.0::double end as length
+    """select i::bigint item_idx, 32 dim, case when i in (select item_idx from v_seqitem) then 1.0::double else 0.0::double end as length
        from range(0, (select count(*) from part)) t(i)""",
 )
 def build_item_embeddings(spark, sf):
@@ -234,7 +234,7 @@ def train_factors(spark, sf):
     return checked(both, "side", "id")
 
 
-@query("train_item2vec", "select item_idx, 32 dim, 1.0::double as length from v_vocab")
+@query("train_item2vec", "select item_idx, 32 dim, 1.0::double as length from v_seqitem")
 def train_item2vec(spark, sf):
     return checked(embeddings.train_item2vec(train_seqs(spark, sf), dim=32), "item_idx")
 
