@@ -11,12 +11,15 @@ from . import (
     chat_format,
     cotraining,
     decontaminate,
+    iceberg_terms,
+    language_id,
     phrase_dedup,
     pivotal_mix,
     prefix_hash,
     secret_scan,
     setsketch,
     sharding,
+    target_resampling,
     template_html,
 )
 from .words import prepare
@@ -165,3 +168,61 @@ def _chats(spark, sf_dir):
         F.sha2(loss, 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query("op11_target_resampling")
+def _resample(spark, sf_dir):
+    """Documents drawn towards the benchmark's distribution of word runs."""
+    return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_language_id")
+def _languages(spark, sf_dir):
+    """Predicted language of each document."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+_P = f"(1 + {iceberg_terms.SCALE}::hugeint * (n + 1) // (total + n_terms))::bigint"
+_AUDIT = f"""
+with d as (
+  select row_number() over () rid, coalesce(lang, '') lang, coalesce(source, '') source, coalesce(text, '') body
+  from documents),
+w as (
+  select rid, lang, source, unnest(regexp_extract_all(
+    translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) term from d),
+kept as (
+  select lang, term from (select distinct rid, lang, term from w)
+  group by all having count(*) >= {iceberg_terms.MIN_DOCUMENTS}),
+v as (select lang, count(*) n_terms from kept group by all),
+c as (select lang, source, term, count(*) n from w join kept using (lang, term) group by all),
+t as (select lang, source, sum(n) total from c group by all),
+g as (
+  select lang, source, coalesce(total, 0) total, coalesce(n_terms, 0) n_terms
+  from (select distinct lang, source from d) left join t using (lang, source) left join v using (lang)),
+lc as (select lang, term, sum(n) n from c group by all),
+lg as (select lang, sum(total) total, any_value(n_terms) n_terms from g group by all),
+q as (select lang, term, {_P} q from lc join lg using (lang)),
+seen as (select lang, source, term, {_P} p from c join g using (lang, source)),
+p as (
+  select lang, source, term, {_P} p
+  from (select g.*, kept.term, coalesce(c.n, 0) n from g join kept using (lang) left join c using (lang, source, term))),
+f as (
+  select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) as val
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+scored as (
+  select a.lang, a.source, 'pair' part, b.source item, coalesce(val, 0)::bigint as val
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+  union all
+  select lang, source, 'term', term, (p - q) * (p - q) // q from seen join q using (lang, term) where p > q)
+select lang, source, part, item, val as "value", "rank"::int as "rank" from (
+  select *, row_number() over (partition by lang, source, part order by val desc, item) as "rank" from scored)
+where part = 'pair' or "rank" <= {iceberg_terms.TOP_TERMS}
+"""
+
+
+@query("op13_iceberg_terms", _AUDIT)
+def _audit(spark, sf_dir):
+    """Divergence of the sources of each language, and the terms that make it."""
+    return iceberg_terms.audit_sources(table(spark, sf_dir, "documents"))

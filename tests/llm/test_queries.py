@@ -18,7 +18,7 @@ def test_registered():
     import __spark_entry__ as e
 
     assert {*QUERIES, "pipeline"} <= set(e.queries()) and set(SQL) <= set(e.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_take_effect(spark, sf, tmp_path):
