@@ -182,9 +182,9 @@ def audit(docs, least=3, top=200):
 
 
 def test_terms_odd_rows(llm, monkeypatch):
-    monkeypatch.setattr(iceberg_terms, "FLUSH", 50)  # partial counts are sent early
     monkeypatch.setattr(iceberg_terms, "PIECE", 400)
-    monkeypatch.setattr(iceberg_terms, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(iceberg_terms, "MEMO", 10)
+    monkeypatch.setattr(iceberg_terms, "BLOCK_TERMS", 20)
     giant = "Ab" * 3000
     rows = [(i, f"Alpha alphabet ALPHABETS x{i % 4} é éa éab {'zeta ' * (i % 7)}", "en", f"s{i % 3}") for i in range(20)]
     rows += [(i, f"{giant} {'y' * (i + 1)}", "de", f"s{i % 2}") for i in range(4)]
