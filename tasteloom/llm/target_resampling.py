@@ -4,11 +4,10 @@ Texts are lower-cased (A-Z only) and cut into words by an untrained ``Split`` pr
 pattern, which returns every word with its offsets. Windows of one to ``RUN`` consecutive offset pairs are the
 features; a feature's bucket is the CRC-32 of its words joined by one space, modulo ``BUCKETS``.
 
-1. One pass over the documents and one over the target texts: every task counts its buckets in one array and
-   sends it when it ends, so at most ``BUCKETS`` rows leave a task.
-2. A bucket's gain is the floor of 1000 times the log ratio of its smoothed shares in target and documents.
-   The gains are ``BUCKETS`` numbers and travel with the second pass, which sums them over each document's
-   features. Nothing else is kept of a document, so the texts are read twice and never shuffled.
+1. Texts are cut once; a document's bucket numbers are stored, two bytes for each. Texts are never shuffled.
+2. Every task counts its buckets in one array and sends it when it ends, so at most ``BUCKETS`` rows leave a task.
+   A bucket's gain is the floor of 1000 times the log ratio of its smoothed shares in target and documents.
+   The gains are ``BUCKETS`` numbers; a pass over the stored buckets sums them for each document.
 3. The score adds Gumbel noise of the id, and the best ``SHARE`` percent of the documents with at least
    ``MIN_WORDS`` words are drawn: a global order of slim rows, cut into ranges.
 
@@ -101,19 +100,48 @@ class Buckets:
             last = (last + own)[-(self.run - 1) :] if self.run > 1 else []
 
 
-def bucket_counts(rows: DataFrame, buckets: int = BUCKETS, run: int = RUN) -> np.ndarray:
-    """How many features of all texts fall into each bucket."""
+def bucket_rows(rows: DataFrame, columns: tuple[str, ...] = (), buckets: int = BUCKETS, run: int = RUN) -> DataFrame:
+    """``(*columns, n_words, buckets)``: the bucket numbers of all features of a text, side by side."""
+    code = _code(buckets)
+
+    def make():
+        of = Buckets(buckets, run)
+
+        def one(cols: dict) -> dict:
+            out: dict = {c: cols[c] for c in columns} | {"n_words": [], "buckets": []}
+            for text in cols["text"]:
+                words, parts = 0, []
+                for n, found in of.pieces(text):
+                    words += n
+                    parts.append(found.astype(code).tobytes())
+                out["n_words"].append(words)
+                out["buckets"].append(b"".join(parts))
+            return out
+
+        return one
+
+    types = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in columns)
+    return map_batches(rows, (*columns, "text"), make, types + "n_words long, buckets binary")
+
+
+def _code(buckets: int) -> str:
+    """How a bucket's number is stored."""
+    return "<u2" if buckets <= 1 << 16 else "<u4"
+
+
+def bucket_counts(cut: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """How many features fall into each bucket."""
+    code = _code(buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, total = Buckets(buckets, run), np.zeros(buckets, np.int64)
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                for _, found in of.pieces(text.as_py()):
-                    total += np.bincount(found, minlength=buckets)
+            for found in batch.column("buckets"):
+                total += np.bincount(np.frombuffer(found.as_buffer(), code), minlength=buckets)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
 
-    summed = rows.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    summed = cut.select("buckets").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(buckets, np.int64)
     for r in summed.collect():  # at most ``buckets`` rows
         out[r["bucket"]] = r["n"]
@@ -133,30 +161,29 @@ def noise(doc_id: int | None, seed: int = SEED) -> int:
     return math.floor(-1000 * math.log(-math.log((int(digest[:8], 16) + 0.5) / 4294967296)))
 
 
-def weigh_documents(docs: DataFrame, gain: np.ndarray, run: int = RUN, seed: int = SEED) -> DataFrame:
+def weigh_documents(cut: DataFrame, gain: np.ndarray, seed: int = SEED) -> DataFrame:
     """``(doc_id, n_words, n_features, weight, score)`` of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(gain)  # one number for each bucket
+    held = cut.sparkSession.sparkContext.broadcast(gain)  # one number for each bucket
+    code = _code(len(gain))
 
     def make():
-        of, gain = Buckets(len(held.value), run), held.value
+        gain = held.value
 
         def one(cols: dict) -> dict:
-            out: dict = {"doc_id": cols["doc_id"], "n_words": [], "n_features": [], "weight": [], "score": []}
-            for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
-                words = features = weight = 0
-                for n, found in of.pieces(text):
-                    words, features, weight = words + n, features + len(found), weight + int(gain[found].sum())
-                out["n_words"].append(words)
-                out["n_features"].append(features)
-                out["weight"].append(weight)
-                out["score"].append(weight + noise(doc_id, seed))
-            return out
+            own = [np.frombuffer(b, code) for b in cols["buckets"]]
+            weight = [int(gain[found].sum()) for found in own]
+            return {
+                "doc_id": cols["doc_id"],
+                "n_words": cols["n_words"],
+                "n_features": [len(found) for found in own],
+                "weight": weight,
+                "score": [w + noise(i, seed) for w, i in zip(weight, cols["doc_id"], strict=True)],
+            }
 
         return one
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_words long, n_features long, weight long, score long"
-    return map_batches(rows, ("doc_id", "text"), make, schema)
+    return map_batches(cut, ("doc_id", "n_words", "buckets"), make, schema)
 
 
 def resample(
@@ -164,8 +191,10 @@ def resample(
     buckets: int = BUCKETS, run: int = RUN, seed: int = SEED,
 ) -> DataFrame:
     """``(doc_id, n_features, weight, score, rank)`` of every row; ``rank`` is null where it is not drawn."""
-    gain = gains(bucket_counts(docs, buckets, run), bucket_counts(target, buckets, run))
-    scored = store(weigh_documents(docs, gain, run, seed))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cut = store(bucket_rows(rows, ("doc_id",), buckets, run))
+    gain = gains(bucket_counts(cut, buckets), bucket_counts(bucket_rows(target, (), buckets, run), buckets))
+    scored = store(weigh_documents(cut, gain, seed))
     fit = F.col("n_words") >= min_words
     n = scored.where(fit).count()
     best = [F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("n_features"), F.asc("n_words")]
