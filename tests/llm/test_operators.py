@@ -123,10 +123,65 @@ def test_cotraining_keeps_good_and_rejects_bad(llm):
 
 
 def test_every_unlabelled_row_may_teach(llm):
-    docs = table(llm, [prose(9, i) for i in range(300)])
+    docs = table(llm, [prose(30, i) for i in range(300)])
     labels = llm.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
-    pool = cotraining.training_rows(docs, labels).where("fold >= 2")
-    assert sorted(r["doc_id"] for r in pool.select("doc_id").collect()) == list(range(100, 300))
+    known = np.array(sorted(r["doc_id"] for r in cotraining.labelled_sample(labels).collect()))
+    assert known.tolist() == list(range(100))
+    sure = cotraining.View()
+    sure.text[cotraining.DIM] = 9.0  # the text view is sure of every row, the metadata view of none
+    combination = cotraining.Combination(np.array([[-9.0, 0.0], [9.0, 0.0]] * 50), np.array([0.0, 1.0] * 50))
+    taught = cotraining.exchange(cotraining.feature_rows(docs), known, [sure] * cotraining.MODELS, combination)
+    for text, meta in taught:
+        assert text[:, -1].tolist() == [0, 0] and meta[:, -1].tolist() == [0, 200]
+
+
+def test_what_a_view_learns_is_dropped_if_it_hurts():
+    draw = np.random.default_rng(1)
+    good = (draw.random(300) < 0.5).astype(float)
+    signal = np.column_stack([good * 4 - 2 + draw.normal(0, 1, 300), draw.normal(0, 1, 300)])
+    fold = np.arange(300) % cotraining.FOLDS
+    noisy = signal + [[5.0, 0.0]] * draw.normal(0, 1, (300, 1))
+    assert cotraining.cross_fitted_loss(signal, good, fold) < cotraining.cross_fitted_loss(noisy, good, fold)
+
+
+def plain_features(texts):
+    """For each text the sets of its words' letters and of its words' shapes."""
+    out = []
+    for text in texts:
+        words = [w for w in (text or "").encode().split()]
+        cores = {bytes(c for c in w.lower() if chr(c).isalpha() and c < 128 or c >= 128) for w in words}
+        out.append((len(words), cores))
+    return out
+
+
+def test_cotraining_features_are_those_of_the_words(odd_texts, monkeypatch):
+    texts = [(t or "").encode() for t in odd_texts] + [b"Word wOrd, WORD 12 w-ord!", b"a,b a;b"]
+    langs, sources = ["en", None] * 10, ["s"] * 20
+    langs, sources = langs[: len(texts)], sources[: len(texts)]
+    ids, offsets, meta = cotraining.Features().of(texts, langs, sources)
+    for i, (n, cores) in enumerate(plain_features(t.decode() for t in texts)):
+        own = ids[offsets[i] : offsets[i + 1]]
+        assert len(own) == len(set(own.tolist())) >= min(1, n)
+        # buckets may collide, and shapes come on top
+        assert len(cores) * 0.9 <= len(own) <= len(cores) + 40
+    same = [offsets[i : i + 2] for i in (len(texts) - 2, len(texts) - 1)]
+    assert len(ids[slice(*same[0])]) == 2 + 5 and len(ids[slice(*same[1])]) == 1 + 2  # letters "word" and none; five shapes
+    monkeypatch.setattr(cotraining, "PIECE", 100)
+    cut = cotraining.Features().of(texts, langs, sources)
+    assert (cut[0] == ids).all() and (cut[1] == offsets).all()
+    layout = [c for c in range(cotraining.META) if c != 5]  # distinct words are counted in each piece
+    assert np.allclose(cut[2][:, layout], meta[:, layout], atol=1e-5)
+
+
+def test_cotraining_odd_rows(llm, odd_texts):
+    rows = [(i % 40, t, "en" if i % 3 else None, None if i % 4 else "s", 1) for i, t in enumerate(odd_texts * 6)]
+    docs = llm.createDataFrame([*rows, (None, "null id", None, None, None)], DOCS)
+    clash = docs.selectExpr("*", "1 keep", "'x' score", "2 good", "3 fold", "4 ids", "5 meta", "6 hash", "7 model")
+    labels = llm.createDataFrame([(i % 40, int(i % 3 > 0), 0) for i in range(50)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    scored = cotraining.score_documents(clash, labels).collect()
+    assert len(scored) == len(rows) + 1 and all(0 <= r["score"] <= 1 for r in scored)
+    kept = cotraining.keep_good(clash, labels)
+    assert kept.schema == clash.schema and kept.count() == sum(r["keep"] for r in scored)
 
 
 def test_cotraining_without_two_classes_keeps_all(llm):
