@@ -25,9 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
     prepare(spark)
-    carry = tuple(c for c in docs.columns if c != "doc_id")
-    scored = cotraining.score_documents(docs, _table(spark, sf_dir, "labels"), carry)
-    return scored.where("keep").select(*docs.columns)
+    return cotraining.keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
