@@ -47,6 +47,7 @@ MEMO = 1_000_000  # tested prefixes that a task remembers
 MAX_BITS = 1 << 27
 BLOCK_TERMS = 20_000  # kept terms in one block, at the average
 PIECE = 8_000_000  # bytes of text that are cut into terms at a time
+SLICE = 12_000_000  # bytes of term lists that are unfolded at a time
 CELL = 40  # bits of a count in a cell; the source's number stands above them
 _OTHER = re.compile(rb"[^A-Za-z\x80-\xff]")
 
@@ -132,16 +133,15 @@ def term_lists(docs: DataFrame) -> DataFrame:
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
-    """The rows of each language of a batch."""
+    """The rows of each language of a batch, in slices whose terms are unfolded together."""
     order = pc.sort_indices(batch.column("lang"))
     batch = batch.take(order)
     lang = batch.column("lang").dictionary_encode()
     codes = lang.indices.to_numpy()
-    ends = np.append(np.flatnonzero(np.diff(codes)) + 1, len(codes))
-    low = 0
-    for high in ends.tolist():
-        if high > low:
-            yield lang.dictionary[codes[low]].as_py(), batch.slice(low, high - low)
+    low, step = 0, max(1, len(codes) * SLICE // max(1, batch.nbytes))
+    for high in [*(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]:
+        for at in range(low, high, step):
+            yield lang.dictionary[codes[at]].as_py(), batch.slice(at, min(step, high - at))
         low = high
 
 
