@@ -35,6 +35,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,7 @@ SEEN_IN = 3  # documents that a bucket needs
 MOST = 3.0  # bound of the log ratio
 STEPS = 200  # mini-batches at least
 SLICES = 16  # parts in which gradients are added up
-PIECE = 1 << 20  # bytes of text whose words are cut and hashed side by side
+PIECE = 1 << 19  # bytes of text whose words are cut and hashed side by side
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _MEMO = 100_000
 
@@ -208,6 +209,12 @@ class Features:
         return self.of(texts, batch.column(lang).to_pylist(), batch.column(source).to_pylist())
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of a few rows, whose features are made together."""
+    for low in range(0, batch.num_rows, rows):
+        yield batch.slice(low, rows)
+
+
 def _text_of(docs: DataFrame, *names: str) -> list:
     return [F.col(c).cast("string").alias(c) for c in names]
 
@@ -217,7 +224,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in batches:
+        for batch in chain.from_iterable(map(_parts, batches)):
             ids, offsets, meta = features.of_batch(batch, "text", "lang", "source")
             packed = pa.Array.from_buffers(
                 pa.binary(), len(meta), [None, pa.py_buffer((offsets * 2).astype(np.int32)), pa.py_buffer(ids)]
@@ -237,9 +244,14 @@ def _unpacked(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, offsets, np.frombuffer(b"".join(batch.column("meta").to_pylist()), np.float32).reshape(len(ids), META)
 
 
-def _row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+def _row_sums(weights: np.ndarray, ids: np.ndarray, offsets: np.ndarray, rows: int = 512) -> np.ndarray:
+    """Sum of the weights of each row's buckets, some rows at a time."""
+    out = np.zeros(len(offsets) - 1)
+    for low in range(0, len(out), rows):
+        bounds = offsets[low : low + rows + 1]
+        total = np.concatenate([[0.0], np.cumsum(weights[ids[bounds[0] : bounds[-1]]])])
+        out[low : low + rows] = np.diff(total[bounds - bounds[0]])
+    return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -254,7 +266,7 @@ class View:
         self.meta = np.zeros(META) if meta is None else meta
 
     def margins(self, ids: np.ndarray, offsets: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _row_sums(self.text[ids], offsets) + self.text[DIM], meta @ self.meta
+        return _row_sums(self.text, ids, offsets) + self.text[DIM], meta @ self.meta
 
 
 def _bucket_gradient(error: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -270,8 +282,9 @@ def log_ratios(ids: np.ndarray, offsets: np.ndarray, good: np.ndarray, taught: n
 
     ``taught``: for both classes the frequencies of the buckets among pseudo-labels, and their number at the end.
     """
-    row = np.repeat(good, np.diff(offsets))
-    held, total = [np.bincount(ids, row == c, DIM) for c in (0, 1)], [(good == c).sum() for c in (0, 1)]
+    lengths = np.diff(offsets)
+    held = [np.bincount(ids[np.repeat(good == c, lengths)], minlength=DIM).astype(float) for c in (0, 1)]
+    total = [(good == c).sum() for c in (0, 1)]
     if taught is not None:
         for c in (0, 1):
             weight = min(1.0, PSEUDO * total[c] / max(1.0, taught[c, -1]))
@@ -291,7 +304,7 @@ def fit_text(ids: np.ndarray, offsets: np.ndarray, good: np.ndarray, taught: np.
             rows = np.sort(order[low : low + BATCH])
             own = np.concatenate([ids[offsets[r] : offsets[r + 1]] for r in rows])
             bounds = np.cumsum([0] + [offsets[r + 1] - offsets[r] for r in rows])
-            error = sigmoid(_row_sums((w * ratio)[own], bounds) + w[DIM]) - good[rows]
+            error = sigmoid(_row_sums(w * ratio, own, bounds) + w[DIM]) - good[rows]
             gradient = _bucket_gradient(error / len(rows), own, bounds) * ratio + RIDGE * w
             seen += gradient**2
             w -= RATE / (1 + epoch) ** 0.5 * gradient / np.sqrt(seen)
@@ -396,7 +409,7 @@ def fit_folds(sample: DataFrame, views: list[View], taught: list) -> tuple[list[
         good, fold = rows.column("good").to_numpy(), rows.column("fold").to_numpy()
         inside = np.flatnonzero(fold != f)
         lengths = np.diff(offsets)
-        own = np.concatenate([ids[offsets[r] : offsets[r + 1]] for r in inside]) if len(inside) else ids[:0]
+        own = ids[np.repeat(fold != f, lengths)]
         bounds = np.cumsum(np.concatenate([[0], lengths[inside]]))
         done = View(fit_text(own, bounds, good[inside], for_text), fit_meta(view.meta, meta[inside], good[inside], for_meta))
         text, side = done.margins(ids, offsets, meta)
@@ -439,7 +452,7 @@ def exchange(features: DataFrame, sample_ids: np.ndarray, views: list[View], com
             if not batch.num_rows:
                 continue
             ids, offsets, meta = _unpacked(batch)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            lengths = np.diff(offsets)
             for f, view in enumerate(views):
                 a, b = view.margins(ids, offsets, meta)
                 p, q, _ = combination.scores(np.column_stack([a, b]))
@@ -448,7 +461,7 @@ def exchange(features: DataFrame, sample_ids: np.ndarray, views: list[View], com
                     allows = [(x > 1 - OPPOSED) if c else (x < OPPOSED) for x in (p, q)]
                     for_text, for_meta = says[1] & allows[0], says[0] & allows[1]
                     x, chance, out = meta[for_meta], sigmoid(b[for_meta]), sums[f, c]
-                    out[:DIM] += np.bincount(ids[for_text[row]], minlength=DIM)
+                    out[:DIM] += np.bincount(ids[np.repeat(for_text, lengths)], minlength=DIM)
                     out[DIM] += for_text.sum()
                     out[DIM + 1 : DIM + 1 + META] += (chance - c) @ x
                     out[DIM + 1 + META : -1] += ((x * (chance * (1 - chance))[:, None]).T @ x).ravel()
@@ -517,7 +530,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, model = Features(), held.value
-        for batch in batches:
+        for batch in chain.from_iterable(map(_parts, batches)):
             if model is None:
                 found = [np.ones(batch.num_rows)] * 3
             else:
@@ -535,7 +548,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, model = Features(), held.value
-        for batch in batches:
+        for batch in chain.from_iterable(map(_parts, batches)):
             if model is not None:
                 batch = batch.filter(pa.array(model.scores(*features.of_batch(batch, "text", "lang", "source"))[2] >= threshold))
             yield batch

@@ -22,14 +22,17 @@ exact. Items longer than the largest class use that class.
 
 Words are lower-cased (A-Z). Null texts are empty. Items without words match nothing; items or
 documents of fewer than five words have one shingle, the whole sequence. A document shorter than the item
-is compared as a whole. Items come in blocks of ``ITEM_BLOCK`` words, one pass over the documents each,
-so what is broadcast is bounded. Repeated documents are reported each; items that repeat are each
-reported. Empty tables give no rows.
+is compared as a whole. Distinct items come in blocks of ``ITEM_BLOCK`` words, one pass over the documents each,
+so what is broadcast is bounded; the ids of equal items are joined to what was found. Repeated documents are
+reported each; items that repeat are each reported. A very long document is read in pieces of ``PIECE`` bytes that
+overlap by the longest item, and only the words of one piece are held. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -40,7 +43,8 @@ from ..session import store
 from .words import WordHashes, gram_hashes, map_batches, mix, split_words, word_count
 
 SIZES = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192)  # window size classes: 2^k and 3 * 2^k
-CHUNK_WORDS = 40_000  # words whose windows are hashed together; a longer document is a chunk of its own
+CHUNK_WORDS = 40_000  # words whose windows are hashed together; a longer piece is a chunk of its own
+PIECE = 400_000  # bytes of a document that are read at a time
 RADIUS = 7
 SHINGLE = 5
 SIMILARITY = 0.75
@@ -48,6 +52,24 @@ SHIFT = 2
 ITEM_BLOCK = 500_000  # words of the items handled in one pass over the documents
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_pieces(text: str | None, size: int, overlap: int) -> Iterator[tuple[list[bytes], int]]:
+    """(words, number of the first) of pieces of about ``size`` bytes; each begins with the last ``overlap`` words."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    at = first = 0
+    kept: list[bytes] = []
+    while True:
+        cut = _SPACE.search(data, at + size) if len(data) - at > size else None
+        words = kept + data[at : cut.start() if cut else len(data)].split()
+        yield words, first
+        if not cut:
+            return
+        kept = words[-overlap:] if overlap else []
+        first, at = first + len(words) - len(kept), cut.start()
+
+
 def class_size(n_words: int) -> int:
     """Window size for an item: the largest class of at most 5/6 of it, itself if there is none."""
     fitting = [s for s in SIZES if s * 6 <= n_words * 5]
@@ -168,7 +190,8 @@ class ShortIndex:
 
 
 class ItemIndex:
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple]):
+        """``items``: (key, text) of distinct texts."""
         hashes = WordHashes()
         self.ids, self.words, by_size = [], [], {}
         for item_id, text in items:
@@ -240,24 +263,38 @@ class ItemIndex:
                     best[k] = (score, start)
         return best
 
-    def matches(self, documents: list[list[bytes]], memo: WordHashes) -> list[dict[int, tuple[float, int]]]:
-        """The items that each document holds; documents are hashed in chunks of bounded words."""
-        out: list[dict] = [{} for _ in documents]
-        chunk: list[int] = []
+    def matches(self, texts: list[str | None], memo: WordHashes) -> list[dict[int, tuple[float, int]]]:
+        """The items that each document holds; pieces of documents are hashed in chunks of bounded words."""
+        out: list[dict] = [{} for _ in texts]
+        overlap = max((len(w) for w in self.words), default=0) + 2 * SHIFT
+        chunk: list[tuple[int, list[bytes], int]] = []
         size = 0
-        for i, words in enumerate([*documents, None]):
-            if chunk and (words is None or size + len(words) > CHUNK_WORDS):
-                ends = np.cumsum([len(documents[j]) for j in chunk])
-                hashes = memo.array([w for j in chunk for w in documents[j]])
-                places = defaultdict(list)
-                for at, k, place in self.candidates(hashes, ends):
-                    places[at].append((k, place - int(ends[at - 1] if at else 0)))
-                for at, spots in places.items():
-                    out[chunk[at]] = self.confirmed(documents[chunk[at]], spots)
-                chunk, size = [], 0
-            if words:
-                chunk.append(i)
-                size += len(words)
+
+        def flush() -> None:
+            ends = np.cumsum([len(words) for _, words, _ in chunk])
+            hashes = memo.array([w for _, words, _ in chunk for w in words])
+            places = defaultdict(list)
+            for at, k, place in self.candidates(hashes, ends):
+                places[at].append((k, place - int(ends[at - 1] if at else 0)))
+            for at, spots in places.items():
+                i, words, first = chunk[at]
+                for k, (score, start) in self.confirmed(words, spots).items():
+                    best = out[i].get(k)
+                    if best is None or (-score, start + first) < (-best[0], best[1]):
+                        out[i][k] = (score, start + first)
+            chunk.clear()
+
+        for i, text in enumerate(texts):
+            # an item may be longer than a piece: then the pieces grow with it
+            for words, first in word_pieces(text, max(PIECE, 64 * overlap), overlap):
+                if chunk and size + len(words) > CHUNK_WORDS:
+                    flush()
+                    size = 0
+                if words:
+                    chunk.append((i, words, first))
+                    size += len(words)
+        if chunk:
+            flush()
         return out
 
 
@@ -269,28 +306,30 @@ def find_contamination(
     With ``identity`` also ``text_key``, a hash of the text, which tells rows with one id apart.
     """
     spark = docs.sparkSession
-    items = store(benchmark.select(F.col("item_id").cast("long"), "text", word_count(F.col("text")).alias("n")))
-    total = items.agg(F.sum("n")).first()[0] or 0
+    items = store(benchmark.select(F.col("item_id").cast("long"), "text", word_count(F.col("text")).alias("n")).where("n > 0"))
+    named = items.select("item_id", F.sha2("text", 256).alias("item_key"))
+    distinct = store(items.select(F.sha2("text", 256).alias("item_key"), "text", "n").dropDuplicates(["item_key"]))
+    total = distinct.agg(F.sum("n")).first()[0] or 0
     blocks = -(-total // item_block)
     keys = ["doc_id", "text_key"] if identity else ["doc_id"]
-    schema = ", ".join(f"{k} long" for k in keys) + ", item_id long, start_word long, similarity double"
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").select(*keys, "text")
+    types = ", ".join(f"{k} long" for k in keys)
+    schema = types + ", item_key string, start_word long, similarity double"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").select(*keys, "text")
     passes = []
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).where("n > 0")
-        held = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.select("item_id", "text").collect()])
+        part = distinct.where(F.pmod(F.xxhash64("item_key"), F.lit(blocks)) == b)
+        held = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.select("item_key", "text").collect()])
 
         def make(held=held):
             index, memo = ItemIndex(held.value), WordHashes()
 
             def one(cols: dict) -> dict:
-                out: dict = {k: [] for k in keys} | {"item_id": [], "start_word": [], "similarity": []}
-                documents = [split_words(text, lower=True) for text in cols["text"]]
-                for at, found in enumerate(index.matches(documents, memo)):
+                out: dict = {k: [] for k in keys} | {"item_key": [], "start_word": [], "similarity": []}
+                for at, found in enumerate(index.matches(cols["text"], memo)):
                     for k, (score, start) in sorted(found.items()):
                         for name in keys:
                             out[name].append(cols[name][at])
-                        out["item_id"].append(index.ids[k])
+                        out["item_key"].append(index.ids[k])
                         out["start_word"].append(start)
                         out["similarity"].append(score)
                 return out
@@ -299,5 +338,6 @@ def find_contamination(
 
         passes.append(map_batches(rows, (*keys, "text"), make, schema))
     if not passes:
-        return spark.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, passes)
+        return spark.createDataFrame([], types + ", item_id long, start_word long, similarity double")
+    found = reduce(DataFrame.unionByName, passes)
+    return found.join(named, "item_key").select(*keys, "item_id", "start_word", "similarity")

@@ -526,6 +526,32 @@ def test_leaks_in_documents_shorter_than_the_item(llm):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
 
 
+def test_leaks_in_pieces_of_long_documents(llm, monkeypatch):
+    items = [(i, prose(12 + 7 * i, 900 + i, 4_000)) for i in range(6)]
+    items += [(20, items[3][1]), (21, items[3][1]), (None, items[2][1])]  # equal items
+    texts = []
+    for i in range(12):
+        inside = items[i % 6][1].split()
+        if i % 2:
+            inside[len(inside) // 2] = "edited"
+        texts.append(" ".join([prose(150 + 37 * i, 950 + i, 4_000), *inside, prose(211, 970 + i, 4_000), items[(i + 1) % 6][1]]))
+    whole = decontaminate.find_contamination(table(llm, texts), llm.createDataFrame(items, "item_id long, text string"))
+    columns = ("doc_id", "item_id", "start_word", "similarity")
+    want = sorted((tuple(r[c] for c in columns) for r in whole.collect()), key=str)
+    assert {(d, i) for d, i, _, _ in want} == brute.leaks(list(enumerate(texts)), items)
+    index = decontaminate.ItemIndex([(i, t) for i, t in items[:6]])
+    monkeypatch.setattr(decontaminate, "PIECE", 700)
+    longest = max(len(w) for w in index.words) + 2 * decontaminate.SHIFT
+    for text in texts:  # every run of the longest item's length lies in a piece
+        pieces = list(decontaminate.word_pieces(text, 700, longest))
+        assert len(pieces) > 1 and pieces[0][0] + [w for p, _ in pieces[1:] for w in p[longest:]] == text.encode().split()
+        assert all(p == text.encode().split()[at : at + len(p)] for p, at in pieces)
+    cut = index.matches(texts, decontaminate.WordHashes())
+    assert [(d, index.ids[k], start) for d, found in enumerate(cut) for k, (_, start) in sorted(found.items())] == sorted(
+        {(d, i, start) for d, i, start, _ in want if i is not None and i < 6}
+    )
+
+
 def test_blocks_find_all_within_radius():
     draw = np.random.default_rng(4)
     prints = draw.integers(0, 2**63, 200, dtype=np.uint64)
