@@ -1,7 +1,8 @@
 """Inverted-file search with plain, product-quantised and scalar-quantised vectors.
 
 Cells are join keys: a query is sent to its ``nprobe`` nearest cells and meets only their items, in
-block products that split hot cells. Centroids and codebooks are tables of a size set by a
+block products that split hot cells. Codes are those of residuals, the difference of a vector to its cell's
+centre: in a cell the query is moved by the same centre, so distances stay what they are. Centroids and codebooks are tables of a size set by a
 parameter (``nlist``, ``2^nbits``), checked before they are broadcast.
 """
 
@@ -71,8 +72,21 @@ def ivf_search(
     return rank_scored(candidates_by_block(probes, assigned, k, metric, keys=["cell"]), k, metric)
 
 
+MAX_CENTRES = 1 << 24  # numbers in the centroids that are broadcast
+
+
+def to_residuals(rows: DataFrame, centroids: DataFrame) -> DataFrame:
+    """``embedding`` less the centre of the row's ``cell``."""
+    count, width = centroids.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
+    centres = centroids.select("cell", F.col("centroid").alias("_centre"))
+    if count * (width or 0) <= MAX_CENTRES:
+        centres = F.broadcast(centres)
+    moved = F.zip_with(F.col("embedding").cast("array<double>"), "_centre", lambda x, c: x - c)
+    return rows.join(centres, "cell").withColumn("embedding", moved).drop("_centre")
+
+
 def pq_train(items: DataFrame, m: int = 8, nbits: int = 8, seed: int = SEED) -> DataFrame:
-    """Codebooks per sub-space: ``(sub, code, codeword)``."""
+    """Codebooks per sub-space: ``(sub, code, codeword)``; for a search in cells, of residuals."""
     dim = len(items.select("embedding").first()[0])
     check_pq(dim, m)
     width, rows = dim // m, []
@@ -144,7 +158,7 @@ def ivfpq_search(
     nprobe: int = NPROBE,
     k: int = RETRIEVAL_K,
 ) -> DataFrame:
-    """IVF search on codes: distance is a sum of look-ups in per-query tables."""
+    """IVF search on codes of residuals: distance is a sum of look-ups in a table for each query and cell."""
     books = queries.sparkSession.sparkContext.broadcast(_codebook_matrix(codebooks))
 
     def kernel(left: dict, right: dict) -> dict:
@@ -158,7 +172,7 @@ def ivfpq_search(
         rows, cols, best = best_rows(-np.round(dist, DECIMALS), right["item_idx"], np.full(len(x), k))
         return {"query_id": left["query_id"][rows], "item_idx": right["item_idx"][cols], "score": -best}
 
-    probes = probe_cells(queries, centroids, nprobe).select("query_id", "embedding", "cell")
+    probes = to_residuals(probe_cells(queries, centroids, nprobe).select("query_id", "embedding", "cell"), centroids)
     found = grid_apply(probes, codes.select("cell", "item_idx", "codes"), kernel, RESULT, keys=["cell"])
     return rank_scored(found, k, "l2")
 
@@ -177,7 +191,7 @@ def sq_encode(items: DataFrame, bits: int | str = 8, ranges: DataFrame | None =
     """Scalar codes per dimension: 8 or 4 bits, or half precision; any other name means 8 bits."""
     bits = bits if bits in (4, 8, "fp16") else 8
     if bits == "fp16":
-        return items.withColumn("codes", F.col("embedding").cast("array<double>")).withColumn("bits", F.lit("fp16"))
+        return _converted(items, "embedding", "codes", "array<smallint>", _half_bits).withColumn("bits", F.lit("fp16"))
     row = (ranges if ranges is not None else sq_ranges(items)).first()
     top = float((1 << bits) - 1)
     lo, hi = (F.array(*[F.lit(float(x)) for x in row[c]]) for c in ("lo", "hi"))
@@ -194,8 +208,7 @@ def sq_decode(codes: DataFrame, bits: int | str, ranges: DataFrame) -> DataFrame
     """Vectors back from codes."""
     bits = bits if bits in (4, 8, "fp16") else 8
     if bits == "fp16":
-        half = _to_half
-        return half(codes)
+        return _converted(codes, "codes", "embedding", "array<double>", _from_half_bits).drop("bits")
     row = ranges.first()
     top = float((1 << bits) - 1)
     lo, hi = (F.array(*[F.lit(float(x)) for x in row[c]]) for c in ("lo", "hi"))
@@ -207,12 +220,31 @@ def sq_decode(codes: DataFrame, bits: int | str, ranges: DataFrame) -> DataFrame
     return codes.withColumn("embedding", back).drop("codes", "bits")
 
 
-def _to_half(codes: DataFrame) -> DataFrame:
-    @F.pandas_udf("array<double>")
-    def half(col):  # Spark has no 16-bit float
-        return col.map(lambda v: np.asarray(v, dtype=np.float16).astype(np.float64))
+def _half_bits(x: np.ndarray) -> np.ndarray:
+    """The sixteen bits of the nearest half-precision numbers."""
+    return x.astype(np.float16).view(np.int16)
+
+
+def _from_half_bits(bits: np.ndarray) -> np.ndarray:
+    return bits.astype(np.int16).view(np.float16).astype(np.float64)
+
+
+def _converted(df: DataFrame, column: str, name: str, kind: str, convert) -> DataFrame:
+    """Replace an array column by another one of the same lengths, a whole Arrow batch at a time."""
+    kept = [f for f in df.schema if f.name != column]
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + f"{name} {kind}"
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(column)
+            flat = pa.array(convert(lists.flatten().to_numpy(zero_copy_only=False)))
+            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            out = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), out], [*(f.name for f in kept), name])
 
-    return codes.withColumn("embedding", half("codes")).drop("codes", "bits")
+    return df.select(*[f.name for f in kept], column).mapInArrow(run, ddl)
 
 
 def ivfsq_search(
@@ -224,8 +256,10 @@ def ivfsq_search(
     k: int = RETRIEVAL_K,
     bits: int | str = 8,
 ) -> DataFrame:
-    """IVF search on decoded scalar codes (``codes`` carries ``cell``)."""
-    return ivf_search(queries, sq_decode(codes, bits, ranges), centroids, nprobe, k)
+    """IVF search on decoded scalar codes of residuals (``codes`` carries ``cell``)."""
+    probes = to_residuals(probe_cells(queries, centroids, nprobe).select("query_id", "embedding", "cell"), centroids)
+    decoded = sq_decode(codes, bits, ranges)
+    return rank_scored(candidates_by_block(probes, decoded, k, "l2", keys=["cell"]), k, "l2")
 
 
 def ann_recall(exact: DataFrame, approx: DataFrame, k: int) -> DataFrame:
@@ -313,16 +347,17 @@ def ann_sweep(
             centres[nlist] = ivf_train(items, nlist, seed)
         assigned = store(ivf_assign(items, centres[nlist]))
         probes = [n for n in nprobes if n <= nlist]
+        own = to_residuals(assigned, centres[nlist])
         if kind == "pq":
-            books = pq_train(items, int(conf.get("m", 8)), int(conf.get("nbits", 8)), seed)
-            codes = store(pq_encode(assigned, books))
+            books = pq_train(own, int(conf.get("m", 8)), int(conf.get("nbits", 8)), seed)
+            codes = store(pq_encode(own, books))
             runs = {n: ivfpq_search(queries, codes, books, centres[nlist], n, k) for n in probes}
+        elif kind == "sq":
+            ranges, bits = store(sq_ranges(own)), conf.get("bits", 8)
+            codes = store(sq_encode(own, bits, ranges))
+            runs = {n: ivfsq_search(queries, codes, ranges, centres[nlist], n, k, bits) for n in probes}
         else:
-            base = assigned
-            if kind == "sq":
-                ranges, bits = sq_ranges(items), conf.get("bits", 8)
-                base = sq_decode(sq_encode(assigned, bits, ranges), bits, ranges)
-            runs = {n: ivf_search(queries, base, centres[nlist], n, k) for n in probes}
+            runs = {n: ivf_search(queries, assigned, centres[nlist], n, k) for n in probes}
         for n, run in runs.items():
             began = time.perf_counter()
             recall = ann_recall(exact, run, k).first()[0]

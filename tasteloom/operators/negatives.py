@@ -2,49 +2,47 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.portable import digest, draw, draw_below
 from ..schemas import MINING_SKIP_TOP, RANDOM_NEGATIVES, SEED
 from ..session import spread, store
-from .grid import grid_apply
 from .ordering import running_total, top_per_group, with_position
 
 
+def past_gaps(draws: DataFrame, gaps: DataFrame, user: str, keys) -> DataFrame:
+    """Move each draw past the gaps of its user: ``(keys, user, x, y)``.
+
+    ``draws`` is ``(keys, user, x)``, a place among what the user may still get; ``gaps`` is
+    ``(user, at, width)``: before place ``at`` comes a gap of ``width`` that the user may not get.
+    y is x plus the widths of all gaps with ``at`` <= x. Gaps and draws are put in one order and
+    the widths are a running sum, so a user's gaps and draws may be split over tasks.
+    """
+    names = list(dict.fromkeys([*keys, user]))
+    kinds = dict(draws.dtypes)
+    mine = draws.select(*names, F.col("x").cast("long").alias("_x"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_w"))
+    others = [F.lit(None).cast(kinds[c]).alias(c) if c != user else F.col(c) for c in names]
+    theirs = gaps.select(*others, F.col("at").cast("long").alias("_x"), F.lit(0).alias("_kind"), F.col("width").cast("long").alias("_w"))
+    # written once: the largest group is looked for before the sums are made
+    total = running_total(store(mine.unionByName(theirs)), "_w", ["_x", "_kind"], [user], name="_past")
+    return total.where("_kind = 1").select(*names, F.col("_x").alias("x"), (F.col("_x") + F.col("_past")).alias("y"))
+
+
 def nth_unseen(draws: DataFrame, seen: DataFrame, user: str = "user_idx", keys=("draw_id",)) -> DataFrame:
     """Turn "the r-th item this user has not seen" into the item: ``(keys, item_idx)``.
 
     ``draws`` is ``(keys, user, r)`` and ``seen`` distinct ``(user, item_idx)``. With the seen
     items s_0 < s_1 < ... of a user, s_j - j unseen items lie below s_j, so the answer is r plus
     the number of j with s_j - j <= r: no rejection, no retry, and it works for users who have
-    seen almost everything. The seen list of one user is at most the catalogue; its draws may be
-    any number and are split over blocks. ``keys`` keep their types.
+    seen almost everything. Neither the seen list nor the draws of a user need to fit a task.
+    ``keys`` keep their types.
     """
-    names = list(keys)
-
-    def kernel(left: dict, right: dict) -> dict:
-        gaps = np.sort(right["item_idx"])
-        gaps = gaps[gaps >= 0]  # -1 marks a user without seen items
-        gaps = gaps - np.arange(len(gaps))
-        r = left["r"]
-        return {**{k: left[k] for k in names}, "item_idx": r + np.searchsorted(gaps, r, side="right")}
-
     asked = draws.select(user).distinct()
-    marks = asked.select(user, F.lit(-1).cast("long").alias("item_idx"))
-    right = seen.select(user, "item_idx").join(asked, user, "left_semi").unionByName(marks)
-    left = draws.select(*dict.fromkeys([*names, user]), "r")
-    kinds = dict(left.dtypes)
-    return grid_apply(
-        left,
-        right,
-        kernel,
-        ", ".join(f"{k} {kinds[k]}" for k in names) + ", item_idx long",
-        keys=[user],
-        left_rows=65_536,
-        split_right=False,
-    )
+    listed = with_position(store(seen.select(user, "item_idx").join(asked, user, "left_semi")), ["item_idx"], [user], name="_j")
+    gaps = listed.select(user, (F.col("item_idx") - F.col("_j")).alias("at"), F.lit(1).alias("width"))
+    found = past_gaps(draws.withColumnRenamed("r", "x"), gaps, user, keys)
+    return found.select(*keys, F.col("y").alias("item_idx"))
 
 
 def unseen_counts(seen: DataFrame, n_items: int, user: str = "user_idx") -> DataFrame:
@@ -198,60 +196,50 @@ def weighted_unseen(
     n: int,
     seed: int = SEED,
     user: str = "user_idx",
-    max_tries: int = 6,
 ) -> DataFrame:
     """``n`` different unseen items per user, drawn by raw popularity: ``(user, slot, item_idx)``.
 
-    A draw is a uniform row of the training table, found through intervals of the running count;
-    intervals are cut into buckets of the mean width, so the look-up is an equi-join. Seen items
-    and repeats are rejected. Users still short try again with four times the draws, and in the
-    end rank every item that has any popularity by an exponential key (the same distribution).
-    A user with fewer than ``n`` such items gets all of them.
+    Items lie side by side as intervals of the running count. A draw is a uniform place in the weight that the
+    user has not seen: it is moved past the user's seen intervals (``past_gaps``), so no draw meets a seen item.
+    Intervals are cut into buckets of the mean width, so the look-up is an equi-join. Different items are
+    taken in the order of the draws; they are gaps for users who are still short. As a user's first draw of a round
+    always gives a new item, the rounds end. A user with fewer than ``n`` items of any popularity gets all.
     """
     live = store(running_total(counts.where(F.col("cnt") > 0), "cnt", ["item_idx"], name="lo"))
     total, n_live = live.agg(F.sum("cnt"), F.count(F.lit(1))).first()
+    if not n_live:
+        return users.select(user, F.lit(1).alias("slot"), F.lit(0).cast("long").alias("item_idx")).limit(0)
     width = max(1, -(-total // n_live))
-    buckets = live.select(
-        "item_idx",
-        "lo",
-        (F.col("lo") + F.col("cnt")).alias("hi"),
-        F.explode(
-            F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("lo") + F.col("cnt") - 1) / width))
-        ).alias("_bucket"),
-    )
-    blocked = (
-        seen.join(live.select("item_idx"), "item_idx", "left_semi")
-        .groupBy(user)
-        .agg(F.count(F.lit(1)).alias("_blocked"))
-    )
-    needs = users.select(user).join(blocked, user, "left").select(
-        user, F.least(F.lit(n), F.lit(n_live) - F.coalesce("_blocked", F.lit(0))).alias("need")
-    ).where(F.col("need") > 0)
-    done, tries = None, 4 * n
-    for _ in range(max_tries):
-        attempts = spread(needs, user).select(user, "need", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("_a"))
-        drawn = attempts.withColumn("_x", draw_below(int(total), user, F.col("_a"), F.lit("w"), seed=seed))
-        hit = drawn.withColumn("_bucket", F.floor(F.col("_x") / width)).join(buckets, "_bucket").where(
-            (F.col("_x") >= F.col("lo")) & (F.col("_x") < F.col("hi"))
-        )
-        fresh = hit.join(seen.select(user, "item_idx"), [user, "item_idx"], "left_anti")
-        firsts = fresh.groupBy(user, "item_idx", "need").agg(F.min("_a").alias("_a"))
-        taken = store(top_per_group(firsts, [user], ["_a"], n, "slot").select(user, "need", "slot", "item_idx"))
-        full = taken.groupBy(user, "need").agg(F.count(F.lit(1)).alias("_got")).where(F.col("_got") >= F.col("need"))
-        got = taken.join(full.select(user), user, "left_semi").select(user, "slot", "item_idx")
-        done = got if done is None else done.unionByName(got)
-        needs = store(needs.join(full.select(user), user, "left_anti"))
-        if needs.isEmpty():
+    ends = F.floor(F.col("lo") / width), F.floor((F.col("lo") + F.col("cnt") - 1) / width)
+    buckets = live.select("item_idx", "cnt", "lo", F.explode(F.sequence(*ends)).alias("_bucket"))
+    asked = users.select(user).distinct()
+    blocked = store(seen.select(user, "item_idx").distinct().join(asked, user, "left_semi").join(live, "item_idx"))
+    short, done, rounds = asked.withColumn("_got", F.lit(0).cast("long")), None, 0
+    while True:
+        sums = blocked.groupBy(user).agg(F.sum("cnt").alias("_w"), F.count(F.lit(1)).alias("_b"))
+        room = short.join(sums, user, "left").select(
+            user, "_got", (F.lit(total) - F.coalesce("_w", F.lit(0))).alias("_room"),
+            F.least(F.lit(n) - F.col("_got"), F.lit(n_live) - F.coalesce("_b", F.lit(0))).cast("int").alias("need"),
+        ).where("need > 0")
+        tries = F.explode(F.sequence(F.lit(1), F.col("need") * 4)).alias("_a")
+        place = draw_below(F.col("_room"), user, F.col("_a"), F.lit(f"w{rounds or ''}"), seed=seed)
+        draws = spread(room, user).select(user, "_got", "need", "_room", tries).withColumn("x", place)
+        before = running_total(blocked, "cnt", ["lo"], [user], name="_before")
+        gaps = before.select(user, (F.col("lo") - F.col("_before")).alias("at"), F.col("cnt").alias("width"))
+        moved = past_gaps(draws, gaps, user, (user, "_got", "need", "_a")).withColumn("_bucket", F.floor(F.col("y") / width))
+        hit = moved.join(buckets, "_bucket").where("y >= lo and y < lo + cnt")
+        firsts = hit.groupBy(user, "item_idx", "cnt", "lo", "_got", "need").agg(F.min("_a").alias("_a"))
+        best = top_per_group(firsts, [user], ["_a"], n, "_slot").where("_slot <= need")
+        taken = store(best.withColumn("slot", (F.col("_got") + F.col("_slot")).cast("int")))
+        part = taken.select(user, "slot", "item_idx")
+        done = part if done is None else done.unionByName(part)
+        full = taken.groupBy(user, "need", "_got").agg(F.count(F.lit(1)).alias("_n")).where("_n < need")
+        short = store(full.select(user, (F.col("_got") + F.col("_n")).alias("_got")))
+        if short.isEmpty():
             return done
-        tries *= 4
-    everything = spread(needs, user).select(user, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(counts.agg(F.max("item_idx")).first()[0]))).alias("item_idx"))
-    keyed = everything.join(live, "item_idx").join(seen.select(user, "item_idx"), [user, "item_idx"], "left_anti")
-    u01 = (draw(user, "item_idx", seed=seed) + 1) / F.lit(float(16**13 + 1))
-    return done.unionByName(
-        top_per_group(keyed, [user], [-F.log(u01) / F.col("cnt"), F.col("item_idx")], n, "slot").select(
-            user, "slot", "item_idx"
-        )
-    )
+        rounds += 1
+        more = taken.select("item_idx", user, "cnt", "lo").join(short.select(user), user, "left_semi")
+        blocked = store(blocked.select("item_idx", user, "cnt", "lo").join(short.select(user), user, "left_semi").unionByName(more.select("item_idx", user, "cnt", "lo")))
 
 
 def sampled_candidates(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,14 +13,15 @@ from ..functions import vectors
 from ..functions.portable import digest
 from ..schemas import RETRIEVAL_K, SEED, TEMPERATURE
 from ..session import spread
-from .grid import best_rows, grid_apply
+from .grid import best_rows, column_array, grid_apply
 from .ordering import top_per_group, with_position
 
-DECIMALS = 6  # scores are rounded before ranking, so that equal scores are equal on every engine
+DECIMALS = 12  # what sums in another order may differ by is cut off before ranking; outputs may round more
+RESIDENT_BYTES = 64 << 20  # item vectors of at most this size stay in every task, beside the queries
 
 
 def score_matrix(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndarray:
-    """Rounded scores, larger is better; L2 is negated for ranking."""
+    """Scores, larger is better; L2 is negated for ranking."""
     dots = queries @ items.T
     if metric == "ip":
         return np.round(dots, DECIMALS)
@@ -27,7 +31,8 @@ def score_matrix(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndar
 
 def _topk_kernel(k: int, metric: str, scale: float = 1.0, carry=()):
     def kernel(left: dict, right: dict) -> dict:
-        scores = score_matrix(left["embedding"], right["embedding"], metric)
+        vectors = left["embedding"] * scale if scale != 1.0 else left["embedding"]
+        scores = score_matrix(vectors, right["embedding"], metric)
         if "bias" in right:
             scores = np.round(
                 (left["embedding"] @ right["embedding"].T) * scale + right["bias"][None, :], DECIMALS
@@ -78,15 +83,74 @@ def rank_scored(scored: DataFrame, k: int, metric: str = "ip") -> DataFrame:
     return top_per_group(scored, ["query_id"], [best, F.col("item_idx")], k)
 
 
+def _resident(items: DataFrame) -> dict | None:
+    """Ids, vectors and biases of all items by rising id, or None if they are beyond ``RESIDENT_BYTES``."""
+    n, width = items.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    if n * ((width or 0) + 2) * 8 > RESIDENT_BYTES:
+        return None
+    columns = ["item_idx", "embedding", *[c for c in ("bias",) if c in items.columns]]
+    table = items.select(F.col("item_idx").cast("long").alias("item_idx"), *columns[1:]).toArrow()
+    side = {c: column_array(table, c) for c in columns}
+    order = np.argsort(side["item_idx"], kind="stable")
+    return {c: v[order] for c, v in side.items()}
+
+
+def resident_topk(
+    queries: DataFrame, items: dict, k: int, metric: str = "ip", scale: float = 1.0, seen: str | None = None
+) -> DataFrame:
+    """``(query_id, item_idx, score, rank)`` with all items in every task: queries stream past them.
+
+    A list is complete where it is made, so neither vectors nor results are shuffled. ``seen`` names a column
+    with the ids a query must not get; their scores are masked inside the kernel.
+    """
+    held = queries.sparkSession.sparkContext.broadcast(items)  # at most RESIDENT_BYTES
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = held.value["item_idx"]
+        rows = max(1, 2_000_000 // max(1, len(ids)))
+        for batch in batches:
+            for low in range(0, batch.num_rows if len(ids) else 0, rows):
+                part = pa.Table.from_batches([batch.slice(low, rows)])
+                vectors = column_array(part, "embedding")
+                if "bias" in held.value:
+                    scores = np.round(vectors @ held.value["embedding"].T * scale + held.value["bias"][None, :], DECIMALS)
+                else:
+                    scores = score_matrix(vectors * scale if scale != 1.0 else vectors, held.value["embedding"], metric)
+                if seen is not None:
+                    lists = part.column(seen).combine_chunks()
+                    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                    hidden = lists.flatten().to_numpy(zero_copy_only=False)
+                    at = np.minimum(np.searchsorted(ids, hidden), len(ids) - 1)
+                    known = ids[at] == hidden
+                    scores[owner[known], at[known]] = -np.inf
+                r, c, best = best_rows(scores, ids, np.full(len(scores), k))
+                found = np.isfinite(best)
+                r, c, best = r[found], c[found], best[found]
+                order = np.lexsort((c, -best, r))
+                r, c, best = r[order], c[order], best[order]
+                rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
+                query = part.column("query_id").combine_chunks().take(pa.array(r))
+                score = pa.array(-best if metric == "l2" else best)
+                columns = [query, pa.array(ids[c]), score, pa.array(rank, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "item_idx", "score", "rank"])
+
+    columns = [F.col("query_id").cast("long").alias("query_id"), "embedding", *([seen] if seen else [])]
+    return queries.select(*columns).mapInArrow(search, RESULT + ", rank int")
+
+
 def exact_topk(
-    queries: DataFrame, items: DataFrame, k: int = RETRIEVAL_K, metric: str = "ip", **blocks
+    queries: DataFrame, items: DataFrame, k: int = RETRIEVAL_K, metric: str = "ip", scale: float = 1.0, **blocks
 ) -> DataFrame:
-    """Brute-force nearest items: ``(query_id, item_idx, score, rank)``.
+    """Brute-force nearest items: ``(query_id, item_idx, score, rank)``; query ids are distinct.
 
-    Every query meets every item inside matrix products; only the best ``k`` per query and item
-    block are ever rows.
+    Items whose vectors fit a task stay there and queries stream past them: nothing is shuffled. A larger
+    catalogue is cut into blocks that meet blocks of queries; only the best ``k`` per query and item block are
+    ever rows.
     """
-    return rank_scored(candidates_by_block(queries, items, k, metric, **blocks), k, metric)
+    resident = _resident(items)
+    if resident is not None:
+        return resident_topk(queries, resident, k, metric, scale)
+    return rank_scored(candidates_by_block(queries, items, k, metric, scale=scale, **blocks), k, metric)
 
 
 def masked_topk(
@@ -98,12 +162,24 @@ def masked_topk(
     owner: str = "query_id",
     **blocks,
 ) -> DataFrame:
-    """Top ``k`` among the items not in the history of the query's ``owner``.
+    """Top ``k`` among the items not in the history of the query's ``owner``; query ids are distinct.
 
-    A query fetches ``k`` plus the number of its distinct history items, which is always enough.
-    Several queries may share an owner; the history is joined to results, never copied per query.
+    With items that stay in the tasks, a query brings its seen ids along (never more than the catalogue) and they are
+    masked before the best ``k`` are taken. Beyond that size a query fetches ``k`` plus the number of its distinct
+    history items, which is always enough, and the history is joined to results.
     """
     seen = history.select(owner, "item_idx").distinct()
+    resident = _resident(items)
+    if resident is not None:
+        known = queries.sparkSession.sparkContext.broadcast(resident["item_idx"])  # a part of the resident items
+
+        def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(np.isin(batch.column("item_idx").to_numpy(zero_copy_only=False), known.value)))
+
+        listed = seen.select(owner, F.col("item_idx").cast("long").alias("item_idx")).where("item_idx is not null")
+        listed = listed.mapInArrow(within, listed.schema).groupBy(owner).agg(F.collect_list("item_idx").alias("_seen"))
+        return resident_topk(queries.join(listed, owner, "left"), resident, k, scale=scale, seen="_seen")
     counts = seen.groupBy(owner).agg(F.count(F.lit(1)).alias("_seen"))
     asking = queries.join(counts, owner, "left").withColumn(
         "fetch", F.coalesce("_seen", F.lit(0)) + k

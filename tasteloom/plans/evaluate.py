@@ -86,7 +86,7 @@ def eval_retrieval(
         elif history is not None:
             preds = retrieval.masked_topk(queries, items, history, k, scale)
         else:
-            preds = retrieval.rank_scored(retrieval.candidates_by_block(queries, items, k, scale=scale), k)
+            preds = retrieval.exact_topk(queries, items, k, scale=scale)
         return _report(preds, truth, k_list, prefix, n)
 
     out = report(item_emb, 1.0, "Standard_")
@@ -120,7 +120,7 @@ def eval_sequential_retrieval(
 
     def report(items: DataFrame, scale: float, prefix: str) -> DataFrame:
         if history is None:
-            preds = retrieval.rank_scored(retrieval.candidates_by_block(vectors, items, k, scale=scale), k)
+            preds = retrieval.exact_topk(vectors, items, k, scale=scale)
         else:
             preds = retrieval.masked_topk(vectors, items, history, k, scale, owner="user_idx")
         return _report(preds, truth, k_list, prefix, n)

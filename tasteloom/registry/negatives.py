@@ -26,7 +26,7 @@ view("v_exam", "select event_id example_id, user_idx, item_idx, rating from v_ev
 view("v_evpos", "select distinct user_idx, item_idx from v_evlab")
 view(
     "v_usertop",
-    topk_sql("round(raw, 6)", 100, "desc", "from (select user_idx query_id, item_idx, raw from v_scores)"),
+    topk_sql("raw", 100, "desc", "from (select user_idx query_id, item_idx, raw from v_scores)"),
 )
 view(
     "v_userpool",
@@ -152,34 +152,31 @@ def _uniform_sql(n: int) -> str:
         join v_unseenpart using (user_idx, r)"""
 
 
-def _weighted_sql(n: int, blocked: str, tries: int) -> str:
-    """First ``n`` different unblocked items among rows of the training table drawn by place.
-
-    More draws than needed change nothing, as the first ``n`` stay the first.
-    """
+def _weighted_sql(n: int, blocked: str) -> str:
+    """First ``n`` different items at places drawn in the weight that a user has not seen, as running counts tell."""
     return f"""select user_idx, row_number() over (partition by user_idx order by a) slot, item_idx from (
-          select user_idx, item_idx, min(a) a from (
-            select user_idx, a, {d_draw('user_idx', 'a', chr(39) + 'w' + chr(39))} % total x
-            from (select distinct user_idx from v_inter), (select unnest(range(1, {tries + 1})) a),
-              (select sum(cnt)::bigint total from v_icnt)) d
-          join v_cdf c on d.x >= c.lo and d.x < c.hi
-          anti join {blocked} b using (user_idx, item_idx) group by 1, 2)
+          with free as (
+            select user_idx, item_idx, cnt, sum(cnt) over (partition by user_idx order by item_idx) - cnt lo
+            from (select * from (select distinct user_idx from v_inter), (select * from v_icnt where cnt > 0))
+            anti join {blocked} using (user_idx, item_idx)),
+          room as (select user_idx, sum(cnt)::bigint m, least(count(*), {n}) need from free group by 1),
+          drawn as (
+            select user_idx, a, {d_draw('user_idx', 'a', chr(39) + 'w' + chr(39))} % m x
+            from room, (select unnest(range(1, {4 * n} + 1)) a) where a <= 4 * need)
+          select d.user_idx, f.item_idx, min(a) a
+          from drawn d asof join free f on d.user_idx = f.user_idx and d.x >= f.lo group by 1, 2)
         qualify slot <= {n}"""
 
 
-view(
-    "v_cdf",
-    "select item_idx, (sum(cnt) over (order by item_idx) - cnt)::bigint lo, (sum(cnt) over (order by item_idx))::bigint hi from v_icnt where cnt > 0",
-)
 view("v_target", "select user_idx, 0 slot, item_idx from v_lab where split = 'test'")
 view("v_candu", f"select user_idx, slot, item_idx from v_target union all {_uniform_sql(100)}")
-view("v_candp", f"select user_idx, slot, item_idx from v_target union all {_weighted_sql(100, 'v_pospart', 400)}")
+view("v_candp", f"select user_idx, slot, item_idx from v_target union all {_weighted_sql(100, 'v_pospart')}")
 view("v_half", _uniform_sql(50))
 view("v_halfseen", "select user_idx, item_idx from v_pospart union all select user_idx, item_idx from v_half")
 view(
     "v_candm",
     f"""select user_idx, slot, item_idx from v_target union all select user_idx, slot, item_idx from v_half
-        union all select user_idx, slot + 50, item_idx from ({_weighted_sql(50, 'v_halfseen', 800)})""",
+        union all select user_idx, slot + 50, item_idx from ({_weighted_sql(50, 'v_halfseen')})""",
 )
 
 

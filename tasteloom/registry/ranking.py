@@ -385,7 +385,7 @@ def sampled_softmax_loss(spark, sf):
 # --- metrics
 
 view("v_evtruth", "select user_idx query_id, item_idx from v_ev where rating >= 2")
-view("v_evpred", topk_sql("round(raw, 6)", 100, "desc", "from (select user_idx query_id, item_idx, raw from v_scores)"))
+view("v_evpred", topk_sql("raw", 100, "desc", "from (select user_idx query_id, item_idx, raw from v_scores)"))
 
 
 def repeated_truth(spark, sf):
@@ -466,8 +466,8 @@ def in_batch_hit_rate(spark, sf):
     "sampled_hit_rate",
     """select round(avg(case when above < 10 then 1.0::double else 0 end), 6) hit_rate from (
          select p.user_idx, p.pos, count(case when n.s > p.s then 1 end) above from
-           (select user_idx, pos, round(raw, 6) s from v_pospairs join v_scores s using (user_idx) where s.item_idx = target) p
-         join (select n.user_idx, slot, round(raw, 6) s from v_negs n join v_scores s on s.user_idx = n.user_idx and s.item_idx = n.neg) n
+           (select user_idx, pos, round(raw, 12) s from v_pospairs join v_scores s using (user_idx) where s.item_idx = target) p
+         join (select n.user_idx, slot, round(raw, 12) s from v_negs n join v_scores s on s.user_idx = n.user_idx and s.item_idx = n.neg) n
            on n.user_idx = p.user_idx group by 1, 2)""",
 )
 def sampled_hit_rate(spark, sf):
@@ -482,7 +482,7 @@ def sampled_hit_rate(spark, sf):
         joined = rows.join(users, "query_id").join(
             items.select(F.col("item_idx").alias(item), F.col("embedding").alias("_i")), item
         )
-        return joined.withColumn("score", F.round(vectors.dot("embedding", "_i"), 6)).drop("embedding", "_i")
+        return joined.withColumn("score", F.round(vectors.dot("embedding", "_i"), 12)).drop("embedding", "_i")
 
     negs = negatives.training_negatives(seqs, items.count(), 50).withColumnRenamed("user_idx", "query_id")
     per_position = pairs.select("query_id", "row_id").join(scored(negs, "neg_item_idx"), "query_id")
@@ -548,8 +548,8 @@ def eval_popularity_unmasked(spark, sf):
 
 
 view("v_evtest", "select user_idx query_id, item_idx from v_evlab where split = 'test'")
-view("v_stdpred", topk_sql("round(raw, 6)", 100, "desc", UNSEEN))
-view("v_logqpred", topk_sql("round(raw / 0.05::double + log_prob, 6)", 100, "desc", UNSEEN))
+view("v_stdpred", topk_sql("raw", 100, "desc", UNSEEN))
+view("v_logqpred", topk_sql("raw / 0.05::double + log_prob", 100, "desc", UNSEEN))
 N_EV = "(select count(distinct query_id)::double from v_evtest)"
 
 
@@ -572,14 +572,14 @@ def eval_retrieval(spark, sf):
 
 view(
     "v_candscore",
-    """select user_idx query_id, item_idx, round(raw, 6) s, log_prob from (
+    """select user_idx query_id, item_idx, round(raw, 12) s, log_prob from (
          select user_idx, item_idx from v_seen union select query_id, item_idx from v_evtest)
        join v_scores using (user_idx, item_idx) join v_evprob using (item_idx)""",
 )
 view("v_stdcand", "select query_id, item_idx, row_number() over (partition by query_id order by s desc, item_idx) rank from v_candscore")
 view(
     "v_logqcand",
-    """select query_id, item_idx, row_number() over (partition by query_id order by round(s / 0.05::double + log_prob, 6) desc, item_idx) rank
+    """select query_id, item_idx, row_number() over (partition by query_id order by round(s / 0.05::double + log_prob, 12) desc, item_idx) rank
        from v_candscore""",
 )
 
@@ -613,7 +613,7 @@ view(
 view(
     "v_seqpred",
     topk_sql(
-        "round(raw, 6)", 100, "desc",
+        "raw", 100, "desc",
         """from (select user_idx query_id, item_idx, list_dot_product(u.embedding, i.embedding) raw
                  from v_seqvec u, v_items i) s anti join v_seen h on h.user_idx = s.query_id and h.item_idx = s.item_idx""",
     ),

@@ -79,7 +79,7 @@ view(
     """select user_idx, coalesce(list({'id': item_idx + 5000, 's': s} order by s desc, item_idx) filter (fresh), []) l from (
          select t.user_idx, t.item_idx, s, h.item_idx is null fresh from (
            select *, row_number() over (partition by user_idx order by s desc, item_idx) r from (
-             select user_idx, item_idx, round(list_dot_product(u.embedding, i.embedding), 6) s from v_servevec u, v_items i)) t
+             select user_idx, item_idx, round(list_dot_product(u.embedding, i.embedding), 12) s from v_servevec u, v_items i)) t
          left join v_seen h on h.user_idx = t.user_idx and h.item_idx = t.item_idx where r <= 100) group by 1""",
 )
 view(

@@ -31,6 +31,9 @@ def seen_items(spark, sf, key="user_idx"):
 
 
 def long_rank(df):
+    """Ranks as the SQL has them; scores of six decimals, as sums in another order differ in the last ones."""
+    if dict(df.dtypes).get("score") == "double":
+        df = df.withColumn("score", F.round("score", 6))
     return df.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -240,16 +243,18 @@ def train_item2vec(spark, sf):
 
 
 def topk_sql(score: str, k: int, order: str = "desc", source: str = "") -> str:
-    return f"""select query_id, item_idx, score, rank from (
+    """Ranked by the score at 12 decimals, which cuts off the order of summation; 6 are told."""
+    score = f"round({score}, 12)"
+    return f"""select query_id, item_idx, round(score, 6) score, rank from (
         select *, row_number() over (partition by query_id order by score {order}, item_idx) rank
         from (select {score} score, query_id, item_idx {source})) where rank <= {k}"""
 
 
 PAIRS = "from (select a.item_idx query_id, a.embedding q, b.item_idx, b.embedding e from v_items a, v_items b)"
-L2 = "round(list_sum(list_transform(range(1, 65), lambda i: (q[i] - e[i]) * (q[i] - e[i]))), 6)"
+L2 = "list_sum(list_transform(range(1, 65), lambda i: (q[i] - e[i]) * (q[i] - e[i])))"
 
 
-@query("exact_topk", topk_sql("round(list_dot_product(q, e), 6)", 20, "desc", PAIRS))
+@query("exact_topk", topk_sql("list_dot_product(q, e)", 20, "desc", PAIRS))
 def exact_topk(spark, sf):
     items = views.item_vectors(spark, sf)
     return long_rank(retrieval.exact_topk(as_queries(items), items, 20))
@@ -266,7 +271,7 @@ UNSEEN = """from (select s.user_idx query_id, s.item_idx, raw, log_prob from v_s
             on h.user_idx = s.user_idx and h.item_idx = s.item_idx)"""
 
 
-@query("topk_masked", topk_sql("round(raw, 6)", 20, "desc", UNSEEN))
+@query("topk_masked", topk_sql("raw", 20, "desc", UNSEEN))
 def topk_masked(spark, sf):
     return long_rank(
         retrieval.masked_topk(
@@ -278,7 +283,7 @@ def topk_masked(spark, sf):
     )
 
 
-@query("topk_logq", topk_sql("round(raw / 0.05::double + log_prob, 6)", 20, "desc", UNSEEN))
+@query("topk_logq", topk_sql("raw / 0.05::double + log_prob", 20, "desc", UNSEEN))
 def topk_logq(spark, sf):
     items = retrieval.with_logq_bias(views.item_vectors(spark, sf), event_probs(spark, sf))
     return long_rank(
@@ -290,20 +295,21 @@ def topk_logq(spark, sf):
 
 @query(
     "score_with_logq",
-    """select user_idx query_id, item_idx, round(round(raw, 6) / 0.05::double + log_prob, 6) score
+    """select user_idx query_id, item_idx, round(raw / 0.05::double + log_prob, 6) score
        from v_scores join v_seen using (user_idx, item_idx) join v_evprob using (item_idx)""",
 )
 def score_with_logq(spark, sf):
     scored = retrieval.score_pairs(
         seen_items(spark, sf, "query_id"), user_vectors(spark, sf, "query_id"), views.item_vectors(spark, sf)
     )
-    return retrieval.score_with_logq(scored, event_probs(spark, sf)).select("query_id", "item_idx", "score")
+    found = retrieval.score_with_logq(scored, event_probs(spark, sf))
+    return found.select("query_id", "item_idx", F.round("score", 6).alias("score"))
 
 
 @query(
     "score_candidates",
     topk_sql(
-        "round(raw, 6)", 10, "desc",
+        "raw", 10, "desc",
         "from (select user_idx query_id, item_idx, raw from v_scores join v_seen using (user_idx, item_idx))",
     ),
 )
@@ -401,7 +407,7 @@ view(
 view(
     "v_celldist",
     """select item_idx, cell, row_number() over (partition by item_idx order by d, cell) r from (
-         select item_idx, cell, round(list_sum(list_transform(range(1, 65), lambda i: (embedding[i] - c[i]) * (embedding[i] - c[i]))), 6) d
+         select item_idx, cell, round(list_sum(list_transform(range(1, 65), lambda i: (embedding[i] - c[i]) * (embedding[i] - c[i]))), 12) d
          from v_items, v_cent)""",
 )
 view("v_cell", "select item_idx, cell from v_celldist where r = 1")
@@ -429,10 +435,15 @@ def ivf_search(spark, sf):
     return long_rank(_ivf(spark, sf))
 
 
+view(
+    "v_res",
+    """select item_idx, e.cell, c, list_transform(range(1, 65), lambda i: embedding[i] - c[i]) r
+       from v_items join v_cell e using (item_idx) join v_cent k on k.cell = e.cell""",
+)
 view(
     "v_range",
     """select pos, min(x) lo, max(x) hi from (
-         select unnest(embedding) x, generate_subscripts(embedding, 1) pos from v_items) group by 1""",
+         select unnest(r) x, generate_subscripts(r, 1) pos from v_res) group by 1""",
 )
 
 
@@ -440,13 +451,20 @@ def _sq_view(name: str, bits: int) -> None:
     top = float((1 << bits) - 1)
     view(
         name,
-        f"""select item_idx, list(code order by pos) codes, list(lo + code / {top}::double * (hi - lo) order by pos) back from (
-              select item_idx, pos, lo, hi, floor((x - lo) / (hi - lo) * {top} + 0.5)::int code from (
-                select item_idx, unnest(embedding) x, generate_subscripts(embedding, 1) pos from v_items)
+        f"""select item_idx, list(code order by pos) codes, list(base + lo + code / {top}::double * (hi - lo) order by pos) back from (
+              select item_idx, pos, base, lo, hi, floor((x - lo) / (hi - lo) * {top} + 0.5)::int code from (
+                select item_idx, unnest(r) x, unnest(c) base, generate_subscripts(r, 1) pos from v_res)
               join v_range using (pos)) group by 1""",
     )
 
 
+# the nearest half-precision number: eleven digits, fewer below 2^-14
+view(
+    "v_half16",
+    """select item_idx, list(base + case when x = 0 then 0 else round_even(x / q, 0) * q end order by pos) back from (
+         select *, pow(2, greatest(floor(log2(abs(nullif(x, 0)))), -14) - 10) q from (
+           select item_idx, unnest(r) x, unnest(c) base, generate_subscripts(r, 1) pos from v_res)) group by 1""",
+)
 _sq_view("v_sqeight", 8)
 _sq_view("v_sqfour", 4)
 
@@ -457,15 +475,20 @@ _sq_view("v_sqfour", 4)
        union all select item_idx, '4', array_to_string(codes, ',') from v_sqfour""",
 )
 def sq_encode(spark, sf):
-    items = views.item_vectors(spark, sf)
+    items = residual_items(spark, sf)
     both = ann.sq_encode(items, 8).unionByName(ann.sq_encode(items, 4))
     return both.select("item_idx", "bits", arrays.joined("codes").alias("codes"))
 
 
+def residual_items(spark, sf):
+    cents = label_centroids(spark, sf)
+    return ann.to_residuals(ann.ivf_assign(views.item_vectors(spark, sf), cents), cents)
+
+
 def _sq_search(spark, sf, bits):
-    items, cents = views.item_vectors(spark, sf), label_centroids(spark, sf)
-    ranges = ann.sq_ranges(items)
-    codes = ann.sq_encode(ann.ivf_assign(items, cents), bits, ranges)
+    items, cents, own = views.item_vectors(spark, sf), label_centroids(spark, sf), residual_items(spark, sf)
+    ranges = ann.sq_ranges(own)
+    codes = ann.sq_encode(own, bits, ranges)
     return long_rank(ann.ivfsq_search(as_queries(items), codes, ranges, cents, 3, 10, bits))
 
 
@@ -487,7 +510,7 @@ def ivfsq_search_4bit(spark, sf):
     return _sq_search(spark, sf, 4)
 
 
-@query("ivfsq_search_half")
+@query("ivfsq_search_half", _sq_sql("v_half16"))
 def ivfsq_search_half(spark, sf):
     return _sq_search(spark, sf, "fp16")
 
@@ -507,21 +530,22 @@ def given_codebooks(spark, sf):
 
 view(
     "v_code",
-    f"""select item_idx, sub, code from (
-          select a.item_idx, sub, b.cell code, row_number() over (partition by a.item_idx, sub order by
-            round(list_sum(list_transform(range(1, 9), lambda i: (a.embedding[sub * 8 + i] - b.c[sub * 8 + i]) * (a.embedding[sub * 8 + i] - b.c[sub * 8 + i]))), 9), b.cell) r
-          from v_items a, v_cent b, (select unnest(range({M})) sub)) where r = 1""",
+    f"""select item_idx, base, sub, code from (
+          select a.item_idx, a.c base, sub, b.cell code, row_number() over (partition by a.item_idx, sub order by
+            round(list_sum(list_transform(range(1, 9), lambda i: (a.r[sub * 8 + i] - b.c[sub * 8 + i]) * (a.r[sub * 8 + i] - b.c[sub * 8 + i]))), 9), b.cell) r
+          from v_res a, v_cent b, (select unnest(range({M})) sub)) where r = 1""",
 )
 view(
     "v_recon",
-    """select c.item_idx, flatten(list(b.c[sub * 8 + 1 : sub * 8 + 8] order by sub)) back
-       from v_code c join v_cent b on b.cell = c.code group by 1""",
+    """select item_idx, list_transform(range(1, 65), lambda i: base[i] + word[i]) back from (
+         select c.item_idx, any_value(base) base, flatten(list(b.c[sub * 8 + 1 : sub * 8 + 8] order by sub)) word
+         from v_code c join v_cent b on b.cell = c.code group by 1)""",
 )
 
 
 @query("pq_encode", "select item_idx, string_agg(code::varchar, ',' order by sub) codes from v_code group by 1")
 def pq_encode(spark, sf):
-    coded = ann.pq_encode(views.item_vectors(spark, sf), given_codebooks(spark, sf))
+    coded = ann.pq_encode(residual_items(spark, sf), given_codebooks(spark, sf))
     return coded.select("item_idx", arrays.joined("codes").alias("codes"))
 
 
@@ -529,7 +553,7 @@ def pq_encode(spark, sf):
 def ivfpq_search(spark, sf):
     items, cents = views.item_vectors(spark, sf), label_centroids(spark, sf)
     books = given_codebooks(spark, sf)
-    codes = ann.pq_encode(ann.ivf_assign(items, cents), books)
+    codes = ann.pq_encode(residual_items(spark, sf), books)
     return long_rank(ann.ivfpq_search(as_queries(items), codes, books, cents, 3, 10))
 
 
@@ -553,7 +577,7 @@ NPROBES = (1, 2, 4, 8)
     + f"""lateral (select 1 from ({topk_sql(L2, 10, 'asc', PAIRS)}) x join (
             select query_id, item_idx, np from (
               select *, row_number() over (partition by np, query_id order by score, item_idx) rank from (
-                select {L2} score, query_id, item_idx, np from (
+                select round({L2}, 12) score, query_id, item_idx, np from (
                   select a.item_idx query_id, a.embedding q, b.item_idx, b.embedding e, np
                   from v_items a, (select unnest([1, 2, 4, 8]) np) join v_celldist p on p.item_idx = a.item_idx and p.r <= np
                   join v_cell c on c.cell = p.cell join v_items b on b.item_idx = c.item_idx))) where rank <= 10) y

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tasteloom.operators import losses, negatives, ordering, prep, ranker, retrieval, sequences, splits
+from tasteloom.operators import ann, losses, negatives, ordering, prep, ranker, retrieval, sequences, splits
 from tasteloom.operators.grid import best_rows, grid_apply
 from tasteloom.plans import recommend as rec
 
@@ -128,9 +128,12 @@ def vectors_df(spark, n, name, seed, dim=8):
     return m, spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], f"{name} long, embedding array<double>")
 
 
-@pytest.mark.parametrize("blocks", [{}, {"left_rows": 7, "right_rows": 11}])
+@pytest.mark.parametrize("blocks", [None, {}, {"left_rows": 7, "right_rows": 11}])
 @pytest.mark.parametrize("metric", ["ip", "l2"])
-def test_search_in_blocks(spark, blocks, metric):
+def test_search_in_blocks(spark, blocks, metric, monkeypatch):
+    if blocks is not None:  # items beyond what may stay in a task
+        monkeypatch.setattr(retrieval, "RESIDENT_BYTES", 0)
+    blocks = blocks or {}
     q, qdf = vectors_df(spark, 40, "query_id", 1)
     x, xdf = vectors_df(spark, 90, "item_idx", 2)
     got = retrieval.exact_topk(qdf, xdf, 9, metric, **blocks).orderBy("query_id", "rank").collect()
@@ -139,7 +142,36 @@ def test_search_in_blocks(spark, blocks, metric):
     assert [[r["item_idx"] for r in got if r["query_id"] == i] for i in range(40)] == want
 
 
-def test_masked_search_with_one_who_saw_nearly_all(spark):
+def test_close_scores_are_told_apart_and_equal_ones_go_by_id(spark, monkeypatch):
+    near = [(0, [1.0, 0.0]), (1, [1.0 + 1e-9, 0.0]), (2, [1.0, 0.0]), (3, [1.0 - 1e-9, 0.0])]
+    items = spark.createDataFrame(near, "item_idx long, embedding array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 5.0])], "query_id long, embedding array<double>")
+    for bound in (retrieval.RESIDENT_BYTES, 0):
+        monkeypatch.setattr(retrieval, "RESIDENT_BYTES", bound)
+        got = retrieval.exact_topk(queries, items, 4).orderBy("rank").collect()
+        assert [(r["item_idx"], r["rank"]) for r in got] == [(1, 1), (0, 2), (2, 3), (3, 4)]
+
+
+def test_search_without_a_shuffle_of_vectors(spark):
+    _, qdf = vectors_df(spark, 40, "query_id", 1)
+    _, xdf = vectors_df(spark, 90, "item_idx", 2)
+    plan = retrieval.exact_topk(qdf, xdf, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_search_with_nothing_to_find(spark):
+    _, qdf = vectors_df(spark, 3, "query_id", 1)
+    _, xdf = vectors_df(spark, 4, "item_idx", 2)
+    hist = spark.createDataFrame([(0, i) for i in range(9)] + [(1, None), (None, 2)], "query_id long, item_idx long")
+    assert retrieval.exact_topk(qdf, xdf.limit(0), 2).count() == 0
+    found = retrieval.masked_topk(qdf, xdf, hist, 4).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in found} == {1: 4, 2: 4}
+
+
+@pytest.mark.parametrize("resident", [True, False])
+def test_masked_search_with_one_who_saw_nearly_all(spark, resident, monkeypatch):
+    if not resident:
+        monkeypatch.setattr(retrieval, "RESIDENT_BYTES", 0)
     q, qdf = vectors_df(spark, 5, "query_id", 1)
     x, xdf = vectors_df(spark, 60, "item_idx", 2)
     seen = [(0, i) for i in range(57)] + [(1, 3)]
@@ -242,11 +274,62 @@ def test_weighted_draws_when_little_is_left(spark):
     counts = spark.createDataFrame([(0, 5000), (1, 3000), (2, 1), (3, 0)], "item_idx long, cnt long")
     seen = spark.createDataFrame([(1, 0), (1, 1)], "user_idx long, item_idx long")
     users = spark.createDataFrame([(1,), (2,)], "user_idx long")
-    got = negatives.weighted_unseen(users, seen, counts, 2, max_tries=1).collect()
+    got = negatives.weighted_unseen(users, seen, counts, 2).collect()
     assert [r["item_idx"] for r in got if r["user_idx"] == 1] == [2]
     assert sorted(r["item_idx"] for r in got if r["user_idx"] == 2) == [0, 1]
 
 
+def test_weighted_draws_in_rounds_find_all_that_is_left(spark):
+    """One item holds nearly all weight, so the first round finds little else; in the end all are found."""
+    counts = spark.createDataFrame([(0, 10**9), *[(i, 1) for i in range(1, 12)], (12, 0)], "item_idx long, cnt long")
+    users = spark.createDataFrame([("a",), ("b",), ("c",)], "user_idx string")
+    seen = spark.createDataFrame([("b", 3), ("b", 12), ("c", 0)], "user_idx string, item_idx long")
+    got = {}
+    for r in negatives.weighted_unseen(users, seen, counts, 11).collect():
+        got.setdefault(r["user_idx"], {})[r["slot"]] = r["item_idx"]
+    assert all(sorted(slots) == list(range(1, 12)) for slots in got.values())
+    assert set(got["b"].values()) == {0, 1, 2, *range(4, 12)} and set(got["c"].values()) == set(range(1, 12))
+    assert len(set(got["a"].values())) == 11 and got["a"][1] == 0
+    assert negatives.weighted_unseen(users, seen, counts.where("cnt = 0"), 2).count() == 0
+
+
+@pytest.mark.parametrize("bound", [3, 10**9])
+def test_unseen_ranks_of_a_user_with_most_of_the_catalogue(spark, bound, monkeypatch):
+    """Seen list and draws of one user go over several tasks; the answer is the r-th item left."""
+    for name in ("running_total", "with_position"):
+        own = getattr(ordering, name)
+        monkeypatch.setattr(negatives, name, lambda *a, own=own, **k: own(*a, **k, group_bound=bound))
+    seen = [("u", i) for i in range(500) if i % 50 != 7] + [("v", 0), ("v", 2)]
+    draws = [(i, "u", i % 10) for i in range(40)] + [(100, "v", 0), (101, "v", 1), (102, "w", 4)]
+    found = negatives.nth_unseen(
+        spark.createDataFrame(draws, "draw_id long, user_idx string, r long"), spark.createDataFrame(seen, "user_idx string, item_idx long")
+    )
+    want = {i: 7 + 50 * (i % 10) for i in range(40)} | {100: 1, 101: 3, 102: 4}
+    assert {r["draw_id"]: r["item_idx"] for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("bits", [8, 4, "fp16"])
+def test_residual_codes_keep_distances(spark, bits):
+    """Items far from the origin but near their centres: only codes of residuals tell them apart."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 100, (3, 4))
+    x = np.repeat(centres, 30, axis=0) + rng.normal(0, 0.5, (90, 4))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_idx long, embedding array<double>")
+    cents = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centroid array<double>")
+    own = ann.to_residuals(ann.ivf_assign(items, cents), cents)
+    ranges = ann.sq_ranges(own)
+    codes = ann.sq_encode(own, bits, ranges)
+    if bits == "fp16":
+        assert dict(codes.dtypes)["codes"] == "array<smallint>"
+        back = {r["item_idx"]: r["embedding"] for r in ann.sq_decode(codes, bits, ranges).collect()}
+        want = (x - np.repeat(centres, 30, axis=0)).astype(np.float16).astype(float)
+        assert np.array_equal(np.array([back[i] for i in range(90)]), want)
+    queries = items.withColumnRenamed("item_idx", "query_id")
+    found = ann.ivfsq_search(queries, codes, ranges, cents, 3, 1, bits).collect()
+    right = np.mean([r["query_id"] == r["item_idx"] for r in found])
+    assert right >= (0.9 if bits != 4 else 0.6)
+
+
 def test_weighted_draws_follow_popularity(spark):
     counts = spark.createDataFrame([(0, 900), (1, 90), (2, 10)], "item_idx long, cnt long")
     users = spark.range(2000).withColumnRenamed("id", "user_idx")
