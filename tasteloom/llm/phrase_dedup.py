@@ -5,7 +5,8 @@ occurs earlier (smaller ``doc_id``, or the same document and an earlier start).
 
 1. Anchors. The least of the ``GRAM``-word hashes in a window is its anchor. Equal windows have equal
    anchors, so a window can only recur if its anchor does. Anchors that occur twice, with the smallest
-   document of each, are found by one aggregation of slim rows (about one for six words).
+   document of each, are found by one aggregation of slim rows: one for each document and anchor. Anchors with
+   more than a ``HOT_SHARE`` of these rows are few, and their rows are salted where they meet their documents.
 2. Confirming. In documents that hold recurring anchors, the windows of these anchors are hashed; the
    number of places of each hash tells recurring windows, the smallest document where they start.
 3. Automata. Recurring windows are joined with that document; their words become the patterns. A shard holds
@@ -17,7 +18,8 @@ occurs earlier (smaller ``doc_id``, or the same document and an earlier start).
 4. Every match that is not the pattern's first place marks its words; marks of a document are merged, and
    the kept words are joined.
 
-Null texts have no words. Rows that share ``doc_id`` and text are one document listed more than once: each
+Null texts have no words. A document without an id comes before all others, in the order of a hash of its text.
+Rows that share ``doc_id`` and text are one document listed more than once: each
 gets the same result, and they do not make each other's windows recur. Of rows that share only the ``doc_id``
 each is judged by place: what starts elsewhere in another of them later is a repeat. An empty table gives no rows; other columns are ignored.
 """
@@ -37,24 +39,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import store
-from .words import WordHashes, gram_hashes, map_batches, split_words
+from .words import TextHashes, gram_hashes, map_batches, split_words
 
 WINDOW = 20
 GRAM = 10
-NULL_ID = -(2**63)
+HOT_SHARE = 1000  # an anchor is hot with more than one in so many rows
+SALTS = 64
+PART_BYTES = 4_000_000  # text that is hashed together
 SHARD_WINDOWS = 30_000  # patterns of one automaton, at the average
 BLOCK_CHARS = 8_000_000  # text that one task streams through one automaton, at the average
 CODE = array("i").itemsize  # bytes of a word's number
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``(doc_id, t, text)``: ``t`` tells apart texts that share an id; a null id is the smallest one."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
-        F.xxhash64(text).alias("t"),
-        text.alias("text"),
-    )
+    """``(doc_id, t, text, own_id)``: ``t`` tells apart texts that share an id; a null id is told by the text, so that
+    texts without an id are documents of their own."""
+    text, own = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    nameless = F.shiftright(F.xxhash64(text, F.lit(1)), 2) - F.lit(3 * 2**61)  # below -2**62
+    return docs.select(F.coalesce(own, nameless).alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"), own.alias("own_id"))
 
 
 def window_anchors(hashes: np.ndarray) -> np.ndarray:
@@ -81,60 +83,103 @@ def _joined(parts: list) -> np.ndarray:
     return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
 
 
+def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are hashed together."""
+    low = held = 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= PART_BYTES:
+            yield low, i + 1
+            low, held = i + 1, 0
+    if low < len(texts):
+        yield low, len(texts)
+
+
+class Windows:
+    """Anchors and hashes of the windows of some texts whose words stand one after another."""
+
+    def __init__(self, hashes: np.ndarray, ends: np.ndarray):
+        self.hashes, self.ends, self.begins = hashes, ends, np.append(0, ends[:-1])
+        self.text = np.repeat(np.arange(len(ends)), ends - self.begins)  # of each word
+        self.at = window_anchors(hashes) if len(hashes) >= WINDOW else np.zeros(0, np.int32)
+        self.grams = gram_hashes(hashes, GRAM).view(np.int64) if len(hashes) >= WINDOW else np.zeros(0, np.int64)
+        starts = np.arange(len(self.at))
+        self.inside = starts + WINDOW <= ends[self.text[: len(self.at)]] if len(self.at) else starts.astype(bool)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, anchor, places) of the anchors of all windows, each text's anchors once."""
+        places = np.unique(self.at[self.inside])
+        text, anchor = self.text[places], self.grams[places]
+        order = np.lexsort((anchor, text))
+        text, anchor = text[order], anchor[order]
+        if not len(text):
+            return text, anchor, text
+        first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])]))
+        return text[first], anchor[first], np.diff(np.append(first, len(text)))
+
+    def of_anchors(self, lists: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(text, its first word, names, wanted) of each text's windows: their anchors, and whether these are listed."""
+        for i, wanted in enumerate(lists):
+            low, high = int(self.begins[i]), int(self.ends[i]) - WINDOW + 1
+            if high > low:
+                names = self.grams[self.at[low:high]]
+                yield i, low, names, np.isin(names, np.asarray(wanted, np.int64))
+
+
 def anchor_rows(rows: DataFrame) -> DataFrame:
-    """``(doc_id, anchor)``: one row for each place that is an anchor."""
+    """``(doc_id, anchor, n)``: the anchors of each document, and how often."""
 
     def make():
-        memo = WordHashes()
+        hashed = TextHashes()
 
         def one(cols: dict) -> dict:
-            ids, anchors = [], []
-            for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
-                words = split_words(text)
-                if len(words) < WINDOW:
-                    continue
-                hashes = memo.array(words)
-                found = gram_hashes(hashes, GRAM)[np.unique(window_anchors(hashes))]
-                ids.append(np.full(len(found), doc_id))
-                anchors.append(found.view(np.int64))
-            return {"doc_id": _joined(ids), "anchor": _joined(anchors)}
+            texts = [t.encode("utf-8", "surrogatepass") for t in cols["text"]]
+            ids, anchors, counts = [], [], []
+            for low, high in _parts(texts):
+                text, anchor, n = Windows(*hashed.of(texts[low:high])).anchors()
+                ids.append(np.asarray(cols["doc_id"][low:high], np.int64)[text])
+                anchors.append(anchor)
+                counts.append(n)
+            return {"doc_id": _joined(ids), "anchor": _joined(anchors), "n": _joined(counts)}
 
         return one
 
-    return map_batches(rows, ("doc_id", "text"), make, "doc_id long, anchor long")
+    return map_batches(rows, ("doc_id", "text"), make, "doc_id long, anchor long, n int")
 
 
 def recurring_anchors(anchors: DataFrame) -> DataFrame:
-    """``(anchor, first)``: anchors with two places or more, and the smallest document of each."""
-    counted = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-    return counted.where("n > 1").select("anchor", "first")
+    """``(anchor, first, rows)``: anchors with two places or more, the smallest document of each, and its rows."""
+    counted = anchors.groupBy("anchor").agg(
+        F.sum("n").alias("n"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")
+    )
+    return counted.where("n > 1").select("anchor", "first", "rows")
 
 
-def _own_windows(text: str, anchors: list[dict], memo: WordHashes):
-    """Words, window hashes, anchor of each window, which anchors recur, and the ``first`` of those."""
-    words = split_words(text)
-    hashes = memo.array(words)
-    if len(words) < WINDOW:  # shares its id with a longer text
-        empty = np.zeros(0, np.int64)
-        return words, empty, empty, np.zeros(0, bool), {}
-    names = gram_hashes(hashes, GRAM).view(np.int64)[window_anchors(hashes)]
-    first = {a["anchor"]: a["first"] for a in anchors}
-    mine = np.isin(names, np.fromiter(first, np.int64, len(first)))
-    return words, window_hashes(hashes), names, mine, first
+def salted(rows: DataFrame, hot: DataFrame, spread_out: bool) -> DataFrame:
+    """Add ``salt``: rows of a hot anchor are dealt over ``SALTS``, or repeated for each of them."""
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "anchor", "left")
+    dealt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "anchor"]), F.lit(SALTS)).cast("int")
+    if spread_out:
+        return marked.withColumn("salt", F.when(F.col("_hot"), dealt).otherwise(0)).drop("_hot")
+    each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return marked.withColumn("salt", F.explode(each)).drop("_hot")
 
 
 def window_rows(held: DataFrame) -> DataFrame:
     """``(window, doc_id)`` for the windows of recurring anchors."""
 
     def make():
-        memo = WordHashes()
+        hashed = TextHashes()
 
         def one(cols: dict) -> dict:
+            texts = [t.encode("utf-8", "surrogatepass") for t in cols["text"]]
             windows, ids = [], []
-            for doc_id, text, anchors in zip(cols["doc_id"], cols["text"], cols["anchors"], strict=True):
-                _, own, _, mine, _ = _own_windows(text, anchors, memo)
-                windows.append(own[mine])
-                ids.append(np.full(int(mine.sum()), doc_id))
+            for low, high in _parts(texts):
+                some = Windows(*hashed.of(texts[low:high]))
+                own = window_hashes(some.hashes) if len(some.at) else some.grams
+                for i, begin, names, mine in some.of_anchors(cols["anchors"][low:high]):
+                    windows.append(own[begin : begin + len(names)][mine])
+                    ids.append(np.full(len(windows[-1]), cols["doc_id"][low + i]))
             return {"window": _joined(windows), "doc_id": _joined(ids)}
 
         return one
@@ -156,39 +201,44 @@ def pattern_rows(held: DataFrame, firsts: DataFrame, shards: int) -> DataFrame:
     """
 
     def make():
-        memo = WordHashes()
+        hashed = TextHashes()
 
         def one(cols: dict) -> dict:
             out: dict = {"shard": [], "doc_id": [], "start": [], "words": [], "offsets": [], "anchors": []}
-            columns = (cols[c] for c in ("doc_id", "text", "anchors", "windows"))
-            for doc_id, text, anchors, wanted in zip(*columns, strict=True):
-                words, own, names, mine, first = _own_windows(text, anchors, memo)
-                if not len(own):
-                    continue
-                offsets = (window_anchors(memo.array(words)) - np.arange(len(own))).astype(np.uint8)
-                found, places = np.unique(own, return_index=True)
-                spots = np.sort(places[np.isin(found, np.array(wanted, np.int64))])
-                spots = spots[mine[spots]].tolist()
-                owner = [shard_of(first[int(names[p])], shards) for p in spots]
-                i = 0
-                while i < len(spots):
-                    j = i
-                    while j + 1 < len(spots) and spots[j + 1] == spots[j] + 1 and owner[j + 1] == owner[i]:
-                        j += 1
-                    out["shard"].append(owner[i])
-                    out["doc_id"].append(doc_id)
-                    out["start"].append(spots[i])
-                    out["words"].append(b" ".join(words[spots[i] : spots[j] + WINDOW]))
-                    out["offsets"].append(offsets[spots[i] : spots[j] + 1].tobytes())
-                    out["anchors"].append(np.unique(names[spots[i] : spots[j] + 1]))
-                    i = j + 1
+            texts = [t.encode("utf-8", "surrogatepass") for t in cols["text"]]
+            for low, high in _parts(texts):
+                some = Windows(*hashed.of(texts[low:high]))
+                every = window_hashes(some.hashes) if len(some.at) else some.grams
+                for i, begin, names, mine in some.of_anchors(cols["anchors"][low:high]):
+                    own, n = every[begin : begin + len(names)], low + i
+                    first = dict(zip(cols["anchors"][n], cols["firsts"][n], strict=True))
+                    offsets = (some.at[begin : begin + len(names)] - np.arange(begin, begin + len(names))).astype(np.uint8)
+                    found, places = np.unique(own, return_index=True)
+                    spots = np.sort(places[np.isin(found, np.array(cols["windows"][n], np.int64))])
+                    spots = spots[mine[spots]].tolist()
+                    if not spots:
+                        continue
+                    words = texts[n].split()
+                    owner = [shard_of(first[int(names[p])], shards) for p in spots]
+                    a = 0
+                    while a < len(spots):
+                        b = a
+                        while b + 1 < len(spots) and spots[b + 1] == spots[b] + 1 and owner[b + 1] == owner[a]:
+                            b += 1
+                        out["shard"].append(owner[a])
+                        out["doc_id"].append(cols["doc_id"][n])
+                        out["start"].append(spots[a])
+                        out["words"].append(b" ".join(words[spots[a] : spots[b] + WINDOW]))
+                        out["offsets"].append(offsets[spots[a] : spots[b] + 1].tobytes())
+                        out["anchors"].append(np.unique(names[spots[a] : spots[b] + 1]))
+                        a = b + 1
             return out
 
         return one
 
     return map_batches(
         held.join(firsts, "doc_id"),
-        ("doc_id", "text", "anchors", "windows"),
+        ("doc_id", "text", "anchors", "firsts", "windows"),
         make,
         "shard int, doc_id long, start long, words binary, offsets binary, anchors array<long>",
     )
@@ -286,14 +336,19 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256[, kept])`` for every row."""
     rows = _keyed(docs)
     anchors = store(anchor_rows(rows))
-    # no more anchors than the document has words
+    recurring = store(recurring_anchors(anchors))
+    # fewer than HOT_SHARE anchors
+    hot = store(recurring.where(F.col("rows") > F.lit(max(100, anchors.count() // HOT_SHARE))).select("anchor"))
+    # no more anchors than the document has words; rows that share an id bring theirs together
     held_anchors = (
-        anchors.join(recurring_anchors(anchors), "anchor")
+        salted(anchors.select("doc_id", "anchor"), hot, True)
+        .join(salted(recurring.select("anchor", "first"), hot, False), ["anchor", "salt"])
         .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("anchor", "first")).alias("anchors"))
+        .agg(F.collect_set(F.struct("anchor", "first")).alias("a"))
+        .select("doc_id", F.col("a.anchor").alias("anchors"), F.col("a.first").alias("firsts"))
     )
     # the one shuffle of all texts; only documents that hold a recurring anchor go on
-    held = store(rows.join(held_anchors, "doc_id").dropDuplicates(["doc_id", "t"]))
+    held = store(rows.drop("own_id").join(held_anchors, "doc_id").dropDuplicates(["doc_id", "t"]))
     firsts = store(first_documents(window_rows(held)))
     total = firsts.agg(F.sum(F.size("windows"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_WINDOWS))
@@ -306,9 +361,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     # a document visits the shards whose confirmed anchors it holds
     confirmed = patterns.select(F.explode("anchors").alias("anchor")).distinct()
     visits = (
-        held.select("doc_id", "t", F.length("text").alias("size"), F.explode("anchors").alias("a"))
-        .select("doc_id", "t", "size", F.col("a.anchor").alias("anchor"), F.col("a.first").alias("first"))
-        .join(confirmed, "anchor")
+        held.select("doc_id", "t", F.length("text").alias("size"), F.explode(F.arrays_zip("anchors", "firsts")).alias("a"))
+        .select("doc_id", "t", "size", F.col("a.anchors").alias("anchor"), F.col("a.firsts").alias("first"))
+    )
+    visits = (
+        salted(visits, hot, True)
+        .join(salted(confirmed, hot, False), ["anchor", "salt"])
         .select("doc_id", "t", "size", "first")
         .distinct()
         .withColumn("shard", shard_number("first"))
@@ -359,6 +417,7 @@ def _with_unchanged(rows: DataFrame, changed: DataFrame, with_text: bool) -> Dat
             return {
                 "doc_id": cols["doc_id"],
                 "t": cols["t"],
+                "own_id": cols["own_id"],
                 "n_words": [len(w) for w in split],
                 "old_sha256": [_digest(w) for w in split],
                 "old_text": [b" ".join(w).decode("utf-8", "surrogatepass") if with_text else None for w in split],
@@ -367,11 +426,12 @@ def _with_unchanged(rows: DataFrame, changed: DataFrame, with_text: bool) -> Dat
         return one
 
     every = map_batches(
-        rows, ("doc_id", "t", "text"), make, "doc_id long, t long, n_words long, old_sha256 string, old_text string"
-    )
+        rows, ("doc_id", "t", "own_id", "text"), make,
+        "doc_id long, t long, own_id long, n_words long, old_sha256 string, old_text string",
+    )
     joined = every.join(changed, ["doc_id", "t"], "left")
     out = [
-        F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"),
+        F.col("own_id").alias("doc_id"),
         "n_words",
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("new_sha256", "old_sha256").alias("kept_sha256"),

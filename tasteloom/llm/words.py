@@ -6,6 +6,7 @@ bytes gives exactly these, and lower-casing bytes changes A-Z alone.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -58,6 +59,66 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+PIECE_BYTES = 1 << 18
+
+
+def pieces_of(texts: list[bytes], size: int = PIECE_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(text numbers, pieces) of about ``size`` bytes together; a longer text is cut between words."""
+    at, pieces, held = [], [], 0
+    for i, text in enumerate(texts):
+        low = 0
+        while True:
+            cut = _BREAK.search(text, low + size) if len(text) - low > size else None
+            at.append(i)
+            pieces.append(text[low : cut.start()] if cut else text[low:])
+            held += len(pieces[-1])
+            if held >= size:
+                yield at, pieces
+                at, pieces, held = [], [], 0
+            if not cut:
+                break
+            low = cut.start()
+    if at:
+        yield at, pieces
+
+
+class TextHashes:
+    """Hashes of all words of many texts, cut and hashed side by side.
+
+    A word's hash is a polynomial of its bytes, taken from running sums over the bytes of a piece.
+    """
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = max(n, 2 * len(self.up))
+            self.up, self.down = (
+                np.multiply.accumulate(np.append(np.uint64(1), np.full(n, base, np.uint64)))
+                for base in (int(_ODD), pow(int(_ODD), -1, 1 << 64))
+            )
+        return self.up, self.down
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' hashes in order, and how many words the texts have up to the end of each."""
+        parts, counts = [], np.zeros(len(texts), np.int64)
+        for at, pieces in pieces_of(texts):
+            data = np.frombuffer(b" ".join(pieces) + b" ", np.uint8)
+            up, down = self._powers(len(data) + 1)
+            edge = np.diff(np.concatenate([[True], _IS_SPACE[data]]).astype(np.int8))
+            starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+            parts.append(mix((sums[ends] - sums[starts]) * down[starts]))
+            begins = np.cumsum([0] + [len(p) + 1 for p in pieces[:-1]])
+            np.add.at(counts, at, np.diff(np.append(np.searchsorted(starts, begins), len(starts))))
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.cumsum(counts)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * _MIX1

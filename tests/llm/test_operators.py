@@ -21,6 +21,7 @@ from tasteloom.llm import (
     setsketch,
     sharding,
     template_html,
+    words,
 )
 from tasteloom.llm.words import prepare
 
@@ -252,6 +253,37 @@ def test_repeats_in_blocks_and_shards(llm, monkeypatch):
     assert all(brute.sha(v[3]) == v[2] for v in found.values())
 
 
+def test_repeats_with_a_hot_passage_and_rows_without_an_id(llm, monkeypatch):
+    monkeypatch.setattr(phrase_dedup, "HOT_SHARE", 40)
+    monkeypatch.setattr(phrase_dedup, "PART_BYTES", 900)
+    shared, other = prose(30, 1), prose(26, 2)
+    texts = [prose(8 + i % 5, 300 + i) + " " + shared + " " + prose(9, 700 + i) for i in range(240)]
+    texts += [prose(30, 1100 + i) for i in range(60)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    found = by_id(phrase_dedup.remove_repeats(llm.createDataFrame(rows, DOCS)), "n_words", "n_removed", "kept_sha256")
+    assert found == brute.repeats(list(enumerate(texts)))
+    nameless = [(None, f"{prose(5, 40 + i)} {other} {prose(4, 60 + i)}", "en", "s", 1) for i in range(3)]
+    mixed = phrase_dedup.remove_repeats(llm.createDataFrame([*rows, *nameless, nameless[0], (900, other, "en", "s", 1)], DOCS))
+    got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in mixed.collect()]
+    assert Counter(x for x in got if x[0] is not None) == Counter({(i, *v[:2]): 1 for i, v in found.items()} | {(900, 26, 26): 1})
+    # one of the three texts has the passage first; the repeated row gets what its twin gets
+    assert Counter(x[2] for x in got if x[0] is None) in (Counter({26: 3, 0: 1}), Counter({26: 2, 0: 2}))
+
+
+def test_word_hashes_do_not_depend_on_the_cut(monkeypatch):
+    texts = [b"", b"  a bc\ta  ", prose(300, 5).encode(), "\u00e9 a\x1fb \u2003 a".encode(), b"x" * 500, b"\n", b"a"]
+    split = [t.split() for t in texts]
+    hashes, ends = words.TextHashes().of(texts)
+    assert np.diff(ends, prepend=0).tolist() == [len(w) for w in split]
+    flat = [w for some in split for w in some]
+    assert len(set(hashes.tolist())) == len(set(flat)) == len(set(zip(flat, hashes.tolist(), strict=True)))
+    cut = [(at, p) for at, p in words.pieces_of(texts, 100)]
+    assert [w for _, p in cut for piece in p for w in piece.split()] == flat
+    monkeypatch.setattr(words, "pieces_of", lambda t: iter(cut))
+    again = words.TextHashes().of(texts)
+    assert (again[0] == hashes).all() and (again[1] == ends).all()
+
+
 def test_repeats_of_repeated_rows(llm):
     text = prose(50, 9)
     docs = llm.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
