@@ -104,14 +104,18 @@ def pattern_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def entropy_spans(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    found = []
+    """``known`` is in order of start; both lists are gone through once."""
+    found, at, reach = [], 0, 0
     for m in _CANDIDATE.finditer(text):
+        while at < len(known) and known[at][1] <= m.start():
+            reach = max(reach, known[at][2])  # how far the known spans go that begin before the candidate
+            at += 1
         candidate = m[0]
         kind = character_class(candidate)
         if kind is None or allowed(candidate):
             continue
         start, end = m.span()
-        if any(s <= start and end <= e for _, s, e in known):
+        if end <= reach:
             continue
         if peak_entropy(candidate) >= THRESHOLDS[kind]:
             found.append(("entropy", start, end))
