@@ -56,10 +56,12 @@ def format_conversations(
     conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
     """``(conv, n_turns, formatted)``: one row and one string per conversation."""
+    # equal turns go by role and text as they stand, so escapes come after the order
     entry = F.struct(
-        F.col(turn).alias("turn"), escape(F.col(role)).alias("role"), escape(F.col(text)).alias("text")
+        F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")
     )
-    blocks = merge_runs(F.col("turns"))
+    escaped = F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    blocks = merge_runs(escaped)
     written = F.transform(
         blocks,
         lambda b: F.concat(
