@@ -7,8 +7,9 @@ A page is parsed into an element tree. Two rules delete subtrees:
   ``TEMPLATE_SHARE`` of these, ``TEMPLATE_PAGES`` at least, are deleted from that host's pages. Pages with one and the same article
   count once, so copies of an article do not make its own text a template.
 * structure, the complement for what does not recur: elements that are never article text (menus, headers,
-  footers, sidebars, forms, scripts, styles), and elements whose role, class or id says that they are an
-  advert, notice, menu or comment.
+  footers, sidebars, forms, scripts, styles), elements whose role says so, and containers with a class name or id that
+  means nothing else than an advert, notice, menu or comment. Headings, paragraphs and inline elements are never
+  deleted for a name.
 
 Neither rule deletes the longest article (or ``main``) of a page or an element that holds it.
 
@@ -19,7 +20,7 @@ that recur. Blocks are text between block-level tags or line breaks, white space
 blocks are joined by a line feed.
 
 Null or empty html gives an empty text; broken or unclosed markup is closed where its parent ends; a null
-url is a host of its own. Rows that repeat a ``page_id`` are handled one by one. An empty table gives no rows.
+url is a host of its own. Rows that share a ``page_id``, or have none, are pages of their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,14 +64,20 @@ CLOSED_BY = {
     "option": {"option"},
     "head": {"body"},
 }
-_UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner"
-    r"|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri(?:be|ption)|signup|paywall|alert"
-    r"|nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|header|masthead|footer|foot|sidebar|side"
-    r"|aside|widgets?|related|recommended|share|sharing|social|toolbar|login|search"
-    r"|comments?|commentlist|replies|respond|disqus|discussion)(?:$|[\s_-])",
-    re.IGNORECASE,
+# A container is unwanted if one of its class names, or its id, is made of such words alone and holds one of the first.
+_UNWANTED = set(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos "
+    "promotion promotions banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
+    "subscription signup paywall alert nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager header "
+    "masthead footer foot sidebar aside widget widgets related recommended share sharing social toolbar login search "
+    "comment comments commentlist replies respond disqus discussion".split()
 )
+_BESIDE = set(
+    "site page main top bottom left right side bar box list item items area section block wrapper wrap container "
+    "content inner outer unit slot form links button buttons icons thread posts articles global primary secondary".split()
+)
+_PARTS = re.compile(r"[\s_-]+")
+_ACTIVE = set("active current selected open on".split())
 _ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
@@ -78,6 +85,9 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 
 
+_QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
@@ -89,8 +99,9 @@ def parse(page: str) -> Node:
     """Tree of the page; children are nodes and (decoded) strings."""
     root = Node("", "")
     stack, at, size = [root], 0, len(page)
+    last = page.rfind(">")  # no tag ends after it
     while at < size:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
         if m is None:
             stack[-1].children.append(entities.unescape(page[at:]))
             break
@@ -125,6 +136,11 @@ def parse(page: str) -> Node:
     return root
 
 
+def _named(name: str) -> bool:
+    parts = [p for p in _PARTS.split(name.lower().rstrip("0123456789")) if p]
+    return any(p in _UNWANTED for p in parts) and all(p in _UNWANTED or p in _BESIDE or p.isdigit() for p in parts)
+
+
 def unwanted(node: Node) -> bool:
     if node.tag in DROPPED:
         return True
@@ -132,13 +148,14 @@ def unwanted(node: Node) -> bool:
         return False
     for name, *values in _ATTRIBUTE.findall(node.attrs):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id") and node.tag not in ("body", "html", "main") and _UNWANTED.search(value):
+        if node.tag in CONTAINERS and (name == "id" and _named(value) or name == "class" and any(map(_named, value.split()))):
             return True
         if name == "role" and value.strip().lower() in _ROLES:
             return True
         if name == "aria-hidden" and value.strip().lower() == "true":
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", node.attrs))
+    names = _QUOTED.sub(" ", node.attrs)  # without the values
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", names, re.IGNORECASE))
 
 
 def protected(root: Node) -> set[int]:
@@ -179,8 +196,20 @@ def prune(node: Node) -> None:
         work += [c for c in here.children if not isinstance(c, str)]
 
 
+def _look(attrs: str) -> str:
+    """The class names without numbers and marks of the current page, in order."""
+    if not attrs:
+        return ""
+    names = {n for k, *v in _ATTRIBUTE.findall(attrs) if k.lower() == "class" for n in "".join(v).lower().split()}
+    return " ".join(sorted({re.sub(r"\d+", "", n) for n in names} - _ACTIVE))
+
+
 def subtree_hashes(root: Node) -> dict[int, int]:
-    """Hash of tags, attributes and text of the subtree of each node, by the node's ``id``; each node is visited once."""
+    """Hash of tags, classes and text of the subtree of each node, by the node's ``id``; each node is visited once.
+
+    Links, ids and numbers in attributes and marks of the page one is on do not count, so that a menu is the same on
+    all pages of a site.
+    """
     order, work = [], [root]
     while work:
         here = work.pop()
@@ -188,7 +217,7 @@ def subtree_hashes(root: Node) -> dict[int, int]:
         work += [c for c in here.children if not isinstance(c, str)]
     found: dict[int, int] = {}
     for here in reversed(order):  # children before parents
-        out = xxhash.xxh64(f"<{here.tag} {here.attrs.strip()}>".encode("utf-8", "surrogatepass"))
+        out = xxhash.xxh64(f"<{here.tag} {_look(here.attrs)}>".encode("utf-8", "surrogatepass"))
         for child in here.children:
             if isinstance(child, str):
                 out.update(b"t" + " ".join(child.split()).encode("utf-8", "surrogatepass") + b"\0")
@@ -288,16 +317,22 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+def identity():
+    """Rows with one id, address and html are one page."""
+    return F.xxhash64("page_id", "url", "html")
+
+
 def site_templates(pages: DataFrame, least: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> tuple[DataFrame, DataFrame]:
-    """``(templates, subtrees)``: recurring ``(host, subtree)``, and ``(page_id, host, article, subtree)``."""
+    """``(templates, subtrees)``: recurring ``(host, subtree)``, and ``(page, host, article, subtree)``; ``page`` is
+    the identity of a row (``identity``), as ids may be null or stand for several pages."""
 
     def make():
         def one(cols: dict) -> dict:
-            out: dict = {"page_id": [], "host": [], "article": [], "subtree": []}
-            for page_id, host, page in zip(cols["page_id"], cols["host"], cols["html"], strict=True):
-                hashes, article = candidate_hashes(page)
+            out: dict = {"page": [], "host": [], "article": [], "subtree": []}
+            for page, host, html in zip(cols["page"], cols["host"], cols["html"], strict=True):
+                hashes, article = candidate_hashes(html)
                 for h in [None, *hashes]:  # the row without a subtree counts the host's articles
-                    out["page_id"].append(page_id)
+                    out["page"].append(page)
                     out["host"].append(host)
                     out["article"].append(article)
                     out["subtree"].append(h)
@@ -305,9 +340,9 @@ def site_templates(pages: DataFrame, least: int = TEMPLATE_PAGES, share: float =
 
         return one
 
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), "html")
+    rows = pages.select(identity().alias("page"), host_of(F.col("url")).alias("host"), "html")
     subtrees = store(
-        map_batches(rows, ("page_id", "host", "html"), make, "page_id long, host string, article long, subtree long")
+        map_batches(rows, ("page", "host", "html"), make, "page long, host string, article long, subtree long")
     )
     # distinct articles first (a hot host is spread by subtree and article), then a small count
     seen = subtrees.select("host", "subtree", "article").distinct()
@@ -321,8 +356,8 @@ def extract_pages(pages: DataFrame, least: int = TEMPLATE_PAGES) -> DataFrame:
     """``(page_id, url, text, n_chars, n_templates)`` for every row of ``pages``."""
     templates, subtrees = site_templates(pages, least)
     # at most the page's own subtrees, so the array is bounded by the page
-    doomed = subtrees.join(templates, ["host", "subtree"]).groupBy("page_id").agg(F.collect_set("subtree").alias("doomed"))
-    rows = pages.select("page_id", "url", "html").join(store(doomed), "page_id", "left")
+    doomed = subtrees.join(templates, ["host", "subtree"]).groupBy("page").agg(F.collect_set("subtree").alias("doomed"))
+    rows = pages.select("page_id", "url", "html", identity().alias("page")).join(store(doomed), "page", "left")
 
     def make():
         def one(cols: dict) -> dict:

@@ -193,6 +193,55 @@ def test_cotraining_without_two_classes_keeps_all(llm):
     assert cotraining.score_documents(table(llm, []), labels).count() == 0
 
 
+def test_equal_turns_go_by_text_as_it_stands(llm):
+    rows = [(1, 0, "user", "<|x"), (1, 0, "user", "<a"), (1, 0, "user", None), (1, 0, "a|>", "z")]
+    formatted = chat_format.format_conversations(llm.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    turns = formatted.select(chat_format.read_back("formatted").alias("t")).first()["t"]
+    assert [(t["role"], t["text"]) for t in turns] == [("a|>", "z"), ("user", ""), ("user", "<a"), ("user", "<|x")]
+
+
+def test_pages_keep_what_only_sounds_like_a_menu():
+    def inside(part):
+        return template_html.extract(f"<body><article><p>first</p>{part}<p>last</p></article></body>")
+
+    for kept in (
+        "<h2 id='side-effects'>words</h2>", "<section id='related-work'><p>words</p></section>", "<p class='search results'>words</p>",
+        "<p><a title='the hidden truth'>words</a></p>", "<div class='layout with-sidebar'>words</div>", "<p id=comments>words</p>",
+        "<div data-x='hidden'>words</div>",
+    ):
+        assert inside(kept) == "first\nwords\nlast", kept
+    for gone in (
+        "<div class='ad'>words</div>", "<div class='box ad-banner'>words</div>", "<div id='comments'>words</div>", "<div hidden>words</div>",
+        "<ul class='site-nav'><li>words</ul>", "<p HIDDEN=''>words</p>", "<div class='cookie-notice2'>words</div>", "<section class=related>words</section>",
+    ):
+        assert inside(gone) == "first\nlast", gone
+
+
+def test_templates_of_pages_without_an_id_and_of_two_hosts(llm):
+    def page(i, menu):
+        items = "".join(f"<li class='x{' active' if k == i % 3 else ''}'><a href='/{i}/{k}'>{menu} {k}</a></li>" for k in range(3))
+        return f"<body><article><p>text {i}</p><div class='tools'><ul>{items}</ul></div></article></body>"
+
+    rows = [(None if i % 2 else 7, f"http://a.x/{i}", page(i, "goto")) for i in range(8)]
+    rows += [(7, f"http://b.x/{i}", page(i, "walk")) for i in range(8)] + [(1, "http://c.x/1", page(1, "goto")), rows[1]]
+    found = template_html.extract_pages(llm.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = {(r["url"], r["text"]) for r in found}
+    assert len(found) == len(rows)
+    want = {(u, "text " + u.rsplit("/", 1)[1]) for _, u, _ in rows if "c.x" not in u}
+    assert texts == want | {("http://c.x/1", "text 1\ngoto 0\ngoto 1\ngoto 2")}
+
+
+def test_broken_long_and_deep_markup():
+    import time
+
+    began = time.perf_counter()
+    assert template_html.extract("<a " * 300_000).startswith("<a <a")
+    deep = "<div>" * 20_000 + "deep" + "</div>" * 20_000
+    assert template_html.extract(deep) == "deep" and template_html.extract("<p>" + "long " * 400_000).count("long") == 400_000
+    assert template_html.extract("text <!-- open comment") == "text"
+    assert time.perf_counter() - began < 20
+
+
 # secrets
 
 
