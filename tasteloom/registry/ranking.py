@@ -624,7 +624,7 @@ view(
 def eval_sequential_retrieval(spark, sf):
     from ..operators.sequences import eval_windows
 
-    seqs = eval_windows(labelled_events(spark, sf), "test", views.EVENT_ORDER, 12)
+    seqs = eval_windows(labelled_events(spark, sf), "test", views.EVENT_ORDER)
     seqs = seqs.select(F.col("user_idx").alias("query_id"), "user_idx", "seq")
     df = evaluate.eval_sequential_retrieval(
         seqs, views.item_vectors(spark, sf), seen_items(spark, sf)

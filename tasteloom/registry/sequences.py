@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..operators import prep, sequences, splits
+from ..schemas import MAX_SEQ_LEN
 from ..session import store
 from ..sources import views
 from .common import TIE, TIE_DESC, draw01 as d_draw01, query, view
 
-L = 12  # window length used here, so that windows are shorter than histories
+L = MAX_SEQ_LEN
 ORDER = views.INTERACTION_ORDER
 
 

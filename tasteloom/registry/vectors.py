@@ -6,7 +6,7 @@ from ..functions import arrays, vectors
 from ..operators import ann, embeddings, features, retrieval, splits
 from ..sources import views
 from .common import digest as d_digest, query, view
-from .sequences import labelled_events, train_seqs
+from .sequences import L, labelled_events, train_seqs
 
 
 def as_queries(items):
@@ -174,17 +174,17 @@ def encode_sequences(spark, sf):
 
 view(
     "v_evseq",
-    """select user_idx, list_concat(list_transform(range(12 - len(s)), lambda x: 0::bigint), s) seq from (
+    f"""select user_idx, list_concat(list_transform(range({L} - len(s)), lambda x: 0::bigint), s) seq from (
          select user_idx, list(item_idx + 1 order by ts, event_id) s from (
            select *, row_number() over (partition by user_idx order by ts desc, event_id desc) r
-           from v_evlab where split <> 'test') where r <= 12 group by 1)""",
+           from v_evlab where split <> 'test') where r <= {L} group by 1)""",
 )
 
 
 def event_seqs(spark, sf):
     from ..operators.sequences import inference_windows
 
-    return inference_windows(labelled_events(spark, sf), views.EVENT_ORDER, 12)
+    return inference_windows(labelled_events(spark, sf), views.EVENT_ORDER, L)
 
 
 @query(

@@ -172,6 +172,15 @@ def test_ranker_overfits_two_rows(spark):
     assert got[1] > got[2]
 
 
+def test_windows_shorter_than_histories(spark):
+    rows = [(u, i, i) for u, n in ((1, 30), (2, 13), (3, 4)) for i in range(n)]
+    df = spark.createDataFrame(rows, "user_idx long, item_idx long, timestamp long").withColumn("split", F.lit("train"))
+    got = {r["user_idx"]: r["seq"] for r in sequences.train_last_window(df, ["timestamp"], 12).collect()}
+    assert got == {1: list(range(18, 31)), 2: list(range(1, 14)), 3: [0] * 9 + [1, 2, 3, 4]}
+    got = {r["user_idx"]: r["seq"] for r in sequences.inference_windows(df, ["timestamp"], 12).collect()}
+    assert got == {1: list(range(19, 31)), 2: list(range(2, 14)), 3: [0] * 8 + [1, 2, 3, 4]}
+
+
 def test_requests(spark):
     df = spark.createDataFrame([(1, 1, 5), (2, 1, None), (3, 1, 0), (4, 1, 101)], "request_id long, user_id long, k int")
     ok, bad = rec.validate_requests(df)
