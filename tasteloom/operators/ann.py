@@ -18,6 +18,7 @@ from ..functions import vectors
 from ..schemas import RETRIEVAL_K, SEED
 from ..session import store
 from .grid import best_rows, grid_apply
+from .lloyd import errors, train_centres
 from .ordering import top_per_group
 from .retrieval import DECIMALS, RESULT, candidates_by_block, exact_topk, rank_scored, score_matrix
 
@@ -85,19 +86,14 @@ def to_residuals(rows: DataFrame, centroids: DataFrame) -> DataFrame:
     return rows.join(centres, "cell").withColumn("embedding", moved).drop("_centre")
 
 
-def pq_train(items: DataFrame, m: int = 8, nbits: int = 8, seed: int = SEED) -> DataFrame:
-    """Codebooks per sub-space: ``(sub, code, codeword)``; for a search in cells, of residuals."""
-    dim = len(items.select("embedding").first()[0])
-    check_pq(dim, m)
-    width, rows = dim // m, []
-    for sub in range(m):
-        part = items.select(
-            array_to_vector(
-                F.slice(F.col("embedding").cast("array<double>"), sub * width + 1, width)
-            ).alias("features")
-        )
-        model = KMeans(k=1 << nbits, seed=seed + sub, maxIter=20).fit(part)
-        rows += [(sub, i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+def pq_train(items: DataFrame, m: int = 8, nbits: int = 8, seed: int = SEED, max_iter: int = 20) -> DataFrame:
+    """Codebooks per sub-space: ``(sub, code, codeword)``; for a search in cells, of residuals.
+
+    All sub-spaces are trained together, in one pass over the vectors for each iteration.
+    """
+    check_pq(len(items.select("embedding").first()[0]), m)
+    found = train_centres(items, m, 1 << nbits, seed, max_iter)
+    rows = [(sub, i, c.tolist()) for sub, book in enumerate(found) for i, c in enumerate(book)]
     return items.sparkSession.createDataFrame(rows, "sub int, code int, codeword array<double>")
 
 
@@ -122,6 +118,18 @@ def _codebook_matrix(codebooks: DataFrame) -> np.ndarray:
     return books
 
 
+def pq_error(items: DataFrame, codebooks: DataFrame) -> DataFrame:
+    """``(sub, n, error)``: the sum of squared gaps between all sub-vectors and their nearest codewords."""
+    books = _codebook_matrix(codebooks)
+    return errors(items, [b[np.isfinite(b).all(1)] for b in books])
+
+
+def ivf_error(items: DataFrame, centroids: DataFrame) -> DataFrame:
+    """``(sub, n, error)``, one row: the sum of squared gaps between all vectors and their nearest centres."""
+    found = centroids.limit(MAX_CENTRES).collect()
+    return errors(items, [np.array([r["centroid"] for r in found])])
+
+
 def pq_encode(items: DataFrame, codebooks: DataFrame) -> DataFrame:
     """Replace each vector by ``codes``: the nearest codeword of each sub-space."""
     books = items.sparkSession.sparkContext.broadcast(_codebook_matrix(codebooks))

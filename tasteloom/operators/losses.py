@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..schemas import LOG_EPS, MASKED, TEMPERATURE
 from .grid import grid_apply
+from .ordering import running_total
 
 _PARTS = "b long, row_id long, peak double, mass double, own double"
 
@@ -143,27 +144,20 @@ def bce_loss(
     return df.groupBy(*([batch] if batch else [])).agg(F.avg(per_row).alias("loss"))
 
 
-def _pairwise(
-    df: DataFrame, logit: str, label: str, weight: str | None, batch: str | None, pair_loss
-) -> DataFrame:
-    """Mean of ``pair_loss(pos - neg)`` times the positive's weight over all pairs of a batch."""
+def _pair_rows(df: DataFrame, logit: str, label: str, weight: str | None, batch: str | None):
+    """Distinct positives ``(b, x, w, n)`` and negatives ``(b, x, n)``: equal rows give equal terms."""
     b = F.col(batch) if batch else F.lit(0)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(
         b.cast("long").alias("b"), F.col(label).alias("y"), F.col(logit).cast("double").alias("x"), w.alias("w")
     )
-    # equal rows give equal terms: count them once
     pos = rows.where("y = 1").groupBy("b", "x", "w").agg(F.count(F.lit(1)).alias("n"))
     neg = rows.where("y = 0").groupBy("b", "x").agg(F.count(F.lit(1)).alias("n"))
+    return rows, pos, neg
 
-    def kernel(left: dict, right: dict) -> dict:
-        terms = pair_loss(left["x"][:, None] - right["x"][None, :])
-        part = float((left["w"] * left["n"]) @ (terms @ right["n"].astype(float)))
-        return {"b": left["b"][:1], "part": np.array([part])}
 
-    sums = grid_apply(pos, neg, kernel, "b long, part double", keys=["b"]).groupBy("b").agg(
-        F.sum("part").alias("part")
-    )
+def _pair_mean(rows: DataFrame, sums: DataFrame, batch: str | None) -> DataFrame:
+    """The sums ``(b, part)`` over all pairs as means; 0 for a batch without pairs."""
     sizes = rows.groupBy("b").agg(
         F.count(F.when(F.col("y") == 1, 1)).alias("p"), F.count(F.when(F.col("y") == 0, 1)).alias("q")
     )
@@ -179,15 +173,33 @@ def bpr_loss(
     batch: str | None = None,
 ) -> DataFrame:
     """Pairwise logistic loss; 0 for a batch without positives or without negatives."""
-    return _pairwise(df, logit, label, weight, batch, lambda d: np.logaddexp(0.0, -d))
+    rows, pos, neg = _pair_rows(df, logit, label, weight, batch)
+
+    def kernel(left: dict, right: dict) -> dict:
+        terms = np.logaddexp(0.0, right["x"][None, :] - left["x"][:, None])
+        part = float((left["w"] * left["n"]) @ (terms @ right["n"].astype(float)))
+        return {"b": left["b"][:1], "part": np.array([part])}
+
+    parts = grid_apply(pos, neg, kernel, "b long, part double", keys=["b"])
+    return _pair_mean(rows, parts.groupBy("b").agg(F.sum("part").alias("part")), batch)
 
 
 def margin_loss(
     df: DataFrame, logit: str = "logit", label: str = "label", weight: str | None = None,
-    batch: str | None = None, margin: float = 1.0,
+    batch: str | None = None, margin: float = 1.0, **bounds,
 ) -> DataFrame:
-    """Mean of ``max(0, margin - (pos - neg))`` over all pairs of a batch."""
-    return _pairwise(df, logit, label, weight, batch, lambda d: np.maximum(0.0, margin - d))
+    """Mean of ``max(0, margin - (pos - neg))`` over all pairs of a batch.
+
+    A sweep down the scores: the loss of a positive is linear in the number and the sum of the negatives
+    above ``pos - margin``, so rows are sorted once and no pair is formed.
+    """
+    rows, pos, neg = _pair_rows(df, logit, label, weight, batch)
+    none = F.lit(None).cast("double")
+    steps = pos.select("b", (F.col("x") - margin).alias("at"), (F.col("w") * F.col("n")).alias("own"), F.lit(0).cast("long").alias("q"), F.lit(0.0).alias("s"))
+    steps = steps.unionByName(neg.select("b", F.col("x").alias("at"), none.alias("own"), F.col("n").alias("q"), (F.col("n") * F.col("x")).alias("s")))
+    swept = running_total(steps, {"above": "q", "total": "s"}, [F.col("at").desc()], ["b"], **bounds)
+    part = F.sum(F.col("own") * (F.col("total") - F.col("at") * F.col("above")))
+    return _pair_mean(rows, swept.where("own is not null").groupBy("b").agg(part.alias("part")), batch)
 
 
 LOSSES = {"bce": bce_loss, "bpr": bpr_loss, "margin_ranking": margin_loss}

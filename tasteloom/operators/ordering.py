@@ -98,31 +98,35 @@ def with_position(
 
 def running_total(
     df: DataFrame,
-    value: str,
+    value: str | dict[str, str],
     order,
     keys: Sequence[str] = (),
     name: str = "before",
     group_bound: int = GROUP_BOUND,
 ) -> DataFrame:
-    """Add the sum of a non-negative ``value`` over all earlier rows of the group."""
+    """Add the sum of ``value`` over all earlier rows of the group; a dict ``{name: value}`` adds several at once."""
     keys, order = list(keys), as_cols(order)
+    values = {name: value} if isinstance(value, str) else value
+
+    def before(over) -> dict:
+        return {n: F.coalesce(F.sum(v).over(over), F.lit(0)) for n, v in values.items()}
+
     if keys and largest_group(df, keys) <= group_bound:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
-    ranged = _ranged(df, keys, order)
-    offsets = _offsets(ranged, F.sum(value))
+        return df.withColumns(before(w))
+    placed = _ranged(df, keys, order)
     w = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        ranged.withColumn("_inside", F.coalesce(F.sum(value).over(w), F.lit(0)))
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_inside") + F.col("_before"))
-        .drop("_part", "_at", "_before", "_inside")
-    )
+    offsets = [_offsets(placed, F.sum(v)).withColumnRenamed("_before", f"_b_{n}") for n, v in values.items()]
+    placed = placed.withColumns(before(w))
+    for own in offsets:
+        placed = placed.join(F.broadcast(own), "_part")
+    placed = placed.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in values})
     if not keys:
-        return placed
-    starts = placed.groupBy(*keys).agg(F.min(name).alias("_start"))
+        return placed.select(*df.columns, *values)
+    first = F.struct("_part", "_at")
+    starts = placed.groupBy(*keys).agg(*[F.min_by(n, first).alias(f"_s_{n}") for n in values])
     return (
         placed.join(starts, keys)
-        .withColumn(name, F.col(name) - F.col("_start"))
-        .select(*df.columns, name)
+        .withColumns({n: F.col(n) - F.col(f"_s_{n}") for n in values})
+        .select(*df.columns, *values)
     )

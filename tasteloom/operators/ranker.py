@@ -14,6 +14,7 @@ from ..functions.portable import digest, draw01
 from ..schemas import EXPLICIT_NEG_WEIGHT, RANDOM_NEG_RATIO, RETRIEVAL_K, SEED
 from .negatives import subsample_exact, unpivot_negatives
 from .ordering import running_total, top_per_group, with_position
+from .pairwise import fit_pairwise
 from .prep import split_pos_neg
 
 YEAR_BUCKETS = 6
@@ -161,7 +162,14 @@ def train_ranker(
     reg: float = 1e-4,
     seed: int = SEED,
 ):
-    """Fit a weighted classifier on ``features``; ``bpr`` fits it to pair differences."""
+    """Fit a weighted classifier on ``features``.
+
+    ``bpr`` fits a linear model to all pairs of a group; ``bpr_matched``, or ``bpr`` with trees, fits the
+    classifier to the differences of each positive and one negative.
+    """
+    if loss == "bpr" and model == "lr":
+        return fit_pairwise(features, group, max_iter, reg)
+    loss = "bpr" if loss == "bpr_matched" else loss
     rows = bpr_differences(features, group, keys, seed) if loss == "bpr" else features
     rows = rows.select(array_to_vector("features").alias("features"), "label", "weight")
     if model == "gbt":
@@ -184,7 +192,7 @@ def predict(model, features: DataFrame) -> DataFrame:
 
 def score_ranker(model, features: DataFrame, k: int = RETRIEVAL_K) -> DataFrame:
     """Best ``k`` items per query by ranker score."""
-    scored = predict(model, features).select("query_id", "item_idx", F.round("score", 6).alias("score"))
+    scored = predict(model, features).select("query_id", "item_idx", F.round("score", 12).alias("score"))
     return top_per_group(scored, ["query_id"], [F.col("score").desc(), F.col("item_idx")], k)
 
 

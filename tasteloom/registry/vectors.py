@@ -606,3 +606,66 @@ def ann_sweep(spark, sf):
 @query("ivf_train")
 def ivf_train(spark, sf):
     return ann.ivf_train(views.item_vectors(spark, sf), 16)
+
+
+# the spread about the mean is the error of a single centre; fitted centres have to stay well below it
+view(
+    "v_spread",
+    """select pos, count(*) n, sum((x - m) * (x - m)) s from (
+         select pos, x, avg(x) over (partition by pos) m from (
+           select unnest(embedding)::double x, generate_subscripts(embedding, 1) pos from v_items)) group by 1""",
+)
+
+
+def spread_by(items, width: int):
+    """Squared gaps to the mean vector, for each slice of ``width`` dimensions."""
+    stats = embeddings.dimension_stats(items)
+    n = items.count()
+    own = stats.select(F.floor(F.col("pos") / width).cast("int").alias("sub"), (F.col("std") * F.col("std") * n).alias("s"))
+    return own.groupBy("sub").agg(F.sum("s").alias("spread"))
+
+
+@query(
+    "pq_train",
+    """select ((pos - 1) // 8)::int sub, max(n) n, 16::bigint codes, round(sum(s), 6) spread, true as below
+       from v_spread group by 1""",
+)
+def pq_train(spark, sf):
+    """Codebooks trained over all sub-spaces at once: their error is below 0.8 of the spread."""
+    items = views.item_vectors(spark, sf)
+    books = ann.pq_train(items, 8, 4)
+    sizes = books.groupBy("sub").agg(F.count(F.lit(1)).alias("codes"))
+    found = ann.pq_error(items, books).join(sizes, "sub").join(spread_by(items, 8), "sub")
+    below = F.col("error") < 0.8 * F.col("spread")
+    return found.select("sub", "n", "codes", F.round("spread", 6).alias("spread"), below.alias("below"))
+
+
+@query(
+    "ivf_train_error",
+    "select max(n) n, round(sum(s), 6) spread, true as below, true as below_labels from v_spread",
+)
+def ivf_train_error(spark, sf):
+    """Trained cells: their error is below the spread and below that of as many cells formed by label."""
+    items = views.item_vectors(spark, sf)
+    n_labels = items.select("label").distinct().count()
+    trained = ann.ivf_error(items, ann.ivf_train(items, n_labels))
+    given = ann.ivf_error(items, label_centroids(spark, sf)).select("sub", F.col("error").alias("given"))
+    found = trained.join(given, "sub").join(spread_by(items, 64), "sub")
+    return found.select(
+        "n", F.round("spread", 6).alias("spread"), (F.col("error") < F.col("spread")).alias("below"),
+        (F.col("error") <= F.col("given")).alias("below_labels"),
+    )
+
+
+@query("ann_sweep_bound", "select 'flat' as name, 16 nlist, true as enough union all select 'sq8', 16, true union all select 'pq', 16, true")
+def ann_sweep_bound(spark, sf):
+    """With every cell probed a flat index finds all, 8-bit codes at least 0.95, and product codes at least 0.3."""
+    items = views.item_vectors(spark, sf)
+    configs = [
+        {"name": "flat", "kind": "flat", "nlist": 16},
+        {"name": "sq8", "kind": "sq", "nlist": 16, "bits": 8},
+        {"name": "pq", "kind": "pq", "nlist": 16, "m": 8, "nbits": 6},
+    ]
+    found = ann.ann_sweep(items, as_queries(items), configs, (16,), 10)
+    least = F.when(F.col("name") == "flat", 1.0).when(F.col("name") == "sq8", 0.95).otherwise(0.3)
+    return found.select("name", "nlist", (F.col("recall") >= least).alias("enough"))

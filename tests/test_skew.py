@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tasteloom.operators import ann, losses, negatives, ordering, prep, ranker, retrieval, sequences, splits
+from tasteloom.operators import ann, losses, negatives, ordering, pairwise, prep, ranker, retrieval, sequences, splits
 from tasteloom.operators.grid import best_rows, grid_apply
 from tasteloom.plans import recommend as rec
 
@@ -369,3 +369,82 @@ def test_exact_subsample(hot, rows):
     assert negatives.subsample_exact(df, 0.37, ["id"]).count() == int(len(rows) * 0.37)
     with pytest.raises(ValueError):
         negatives.subsample_exact(df, 1.5, ["id"])
+
+
+def test_several_running_totals(hot, rows):
+    df = hot.withColumn("v", F.col("rating") - 3.0).withColumn("w", F.lit(1))
+    plain = ordering.running_total(df, {"a": "v", "b": "w"}, ORDER, ["user_idx"]).collect()
+    cut = ordering.running_total(df, {"a": "v", "b": "w"}, ORDER, ["user_idx"], group_bound=0).collect()
+    key = lambda r: (r["user_idx"], r["b"])
+    assert [r["a"] for r in sorted(cut, key=key)] == pytest.approx([r["a"] for r in sorted(plain, key=key)])
+
+
+@pytest.mark.parametrize("bound", [0, 10**9])
+def test_margin_loss_by_sweep(spark, bound):
+    rng = np.random.default_rng(3)
+    x, y, w, b = rng.integers(-9, 9, 150) / 4, rng.integers(0, 2, 150), rng.random(150), rng.integers(0, 3, 150)
+    b[y == 1] = np.minimum(b[y == 1], 1)  # the last batch has no positives
+    df = spark.createDataFrame([(float(a), int(c), float(d), int(e)) for a, c, d, e in zip(x, y, w, b)], "logit double, label int, w double, b long")
+    got = {r["b"]: r["loss"] for r in losses.margin_loss(df, weight="w", batch="b", margin=0.5, group_bound=bound).collect()}
+    for i in (0, 1):
+        p, q = (b == i) & (y == 1), (b == i) & (y == 0)
+        want = np.maximum(0, 0.5 - (x[p][:, None] - x[q][None])) * w[p][:, None]
+        assert got[i] == pytest.approx(want.mean())
+    assert got[2] == 0.0
+
+
+def test_sub_spaces_trained_together(spark):
+    """Four clear clusters in each half of the vectors, in other combinations: both halves are found."""
+    rng = np.random.default_rng(4)
+    corners = np.array([[0, 0], [0, 9], [9, 0], [9, 9.0]])
+    x = np.hstack([corners[rng.integers(0, 4, 300)], corners[rng.integers(0, 4, 300)]]) + rng.normal(0, 0.05, (300, 4))
+    items = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "item_idx long, embedding array<double>")
+    books = ann.pq_train(items.repartition(5), 2, 2)
+    for sub in (0, 1):
+        found = [r["codeword"] for r in books.where(f"sub = {sub}").collect()]
+        assert sorted(np.round(found).tolist()) == sorted(corners.tolist())
+    got = {r["sub"]: r["error"] for r in ann.pq_error(items, books).collect()}
+    assert got[0] < 300 * 2 * 0.05**2 * 1.2 and got[1] < 300 * 2 * 0.05**2 * 1.2
+    copies = spark.createDataFrame([(i, [1.0, 2.0, float(i % 2), 0.0]) for i in range(50)], "item_idx long, embedding array<double>")
+    few = ann.pq_train(copies, 2, 3)  # fewer different vectors than codes
+    assert few.where("sub = 0").count() == 1 and few.where("sub = 1").count() == 2
+    assert {tuple(r["codes"]) for r in ann.pq_encode(copies, few).collect()} <= {(0, 0), (0, 1)}
+
+
+def test_pairwise_gradient_in_blocks(spark, monkeypatch):
+    """All pairs of a hot group, cut into blocks, against one matrix; surplus negatives count."""
+    monkeypatch.setattr(pairwise, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(5)
+    f, y, w = rng.normal(size=(90, 3)), (rng.random(90) < 0.3).astype(float), rng.random(90)
+    g = np.where(rng.random(90) < 0.7, 1, rng.integers(2, 6, 90))
+    y[g == 5] = 1.0  # a group without negatives
+    data = [(int(a), [float(x) for x in b], float(c), float(d)) for a, b, c, d in zip(g, f, y, w)]
+    data += data[:10]  # copies
+    df = spark.createDataFrame(data, "user_idx long, features array<double>, label double, weight double")
+    blocks, beta = pairwise.pair_blocks(df, "user_idx"), np.array([0.3, -1.0, 0.5])
+    loss = mass = 0.0
+    grad = np.zeros(3)
+    for a in data:
+        for b in data:
+            if a[0] == b[0] and a[2] == 1.0 and b[2] == 0.0:
+                d = np.array(a[1]) - np.array(b[1])
+                loss, mass = loss + a[3] * np.logaddexp(0, -d @ beta), mass + a[3]
+                grad -= a[3] * d / (1 + np.exp(d @ beta))
+    got, slope = pairwise.pair_gradient(blocks, beta)
+    assert got == pytest.approx(loss / mass) and slope == pytest.approx(grad / mass)
+
+
+def test_pairwise_fit_orders_within_groups(spark):
+    """Labels follow one feature of three; without a pair all weights stay zero."""
+    rng = np.random.default_rng(6)
+    data = []
+    for g in range(30):
+        for i in range(8):
+            signal = float(rng.normal())
+            label = float(signal + rng.normal(0, 0.3) > 0)
+            data.append((g, [signal, float(rng.normal()), 1.0], label, 1.0))
+    df = spark.createDataFrame(data, "user_idx long, features array<double>, label double, weight double")
+    scored = ranker.predict(ranker.train_ranker(df, loss="bpr"), df)
+    assert ranker.auroc(scored).first()["auroc"] > 0.95
+    one_sided = df.withColumn("label", F.lit(1.0))
+    assert ranker.predict(ranker.train_ranker(one_sided, loss="bpr"), df).where("score <> 0.5").count() == 0

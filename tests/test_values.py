@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tasteloom.functions import arrays, text, vectors
-from tasteloom.operators import embeddings, features, losses, metrics, prep, prompts, ranker, splits
+from tasteloom.operators import embeddings, features, losses, metrics, prep, prompts, ranker, sequences, splits
 from tasteloom.plans import recommend as rec
 
 PREDICTIONS = [[10, 20, 30, 40, 50], [11, 22, 33, 44, 55], [1, 2, 3, 4, 5]]
