@@ -195,6 +195,36 @@ def train_ranker(spark, sf):
     return out
 
 
+HELD_OUT = 0.2  # share of the users whose rows judge the ranker fitted on the others
+
+
+def held_out_auroc(spark, sf):
+    """``(model, negatives, auroc)`` over held-out users of rankers fitted on the other users."""
+    feats = store(labelled_features(spark, sf).withColumn("_out", draw01("user_idx", seed=7) < HELD_OUT))
+    fit, held = feats.where("not _out").drop("_out"), feats.where("_out").drop("_out")
+    out = None
+    for loss in ("bce", "bpr"):
+        scored = store(ranker.predict(ranker.train_ranker(fit, loss=loss), held).drop("features"))
+        for source in ("explicit", "hard", "random"):
+            rows = scored.where(F.col("source").isin("positive", source))
+            part = ranker.auroc(rows).select(F.lit(loss).alias("model"), F.lit(source).alias("negatives"), "auroc")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "ranker_held_out",
+    """select model, negatives, true as enough from (select unnest(['bce', 'bpr']) model) m,
+         (select unnest(['explicit', 'hard', 'random']) negatives) n""",
+)
+def ranker_held_out(spark, sf):
+    """Areas of at least 0.9 against hard and random negatives; ratings here are random, so that explicit
+    ones cannot be told from positives and the area is that of chance, 0.4 to 0.6."""
+    area = F.col("auroc")
+    enough = F.when(F.col("negatives") == "explicit", area.between(0.4, 0.6)).otherwise(area >= 0.9)
+    return held_out_auroc(spark, sf).select("model", "negatives", enough.alias("enough"))
+
+
 def event_truth(spark, sf):
     return evaluate.test_truth(labelled_events(spark, sf), 0.0)
 
