@@ -14,6 +14,7 @@ from ..functions import arrays, vectors
 from ..schemas import SEED
 from ..session import store
 from .prep import decode_ids, encode_ids
+from .spectral import signs, symmetric_factors
 
 
 def embedding_norm_report(emb: DataFrame, col: str = "embedding") -> DataFrame:
@@ -137,7 +138,7 @@ def encode_histories(
     )
 
 
-def _factorise(cells: DataFrame, row: str, col: str, value: str, rank: int, seed: int, max_iter: int, implicit: bool):
+def _factorise(cells: DataFrame, row: str, col: str, value: str, rank: int, seed: int, max_iter: int):
     """Factors of a sparse table, as ``(raw_id, features)`` of its rows and of its columns.
 
     ALS takes 32-bit ids, so both sides get dense ones for the fit.
@@ -145,7 +146,7 @@ def _factorise(cells: DataFrame, row: str, col: str, value: str, rank: int, seed
     coded, rows = encode_ids(cells, row, out="_row")
     coded, cols = encode_ids(coded, col, out="_col")
     als = ALS(
-        rank=rank, maxIter=max_iter, implicitPrefs=implicit, userCol="_row", itemCol="_col", ratingCol=value,
+        rank=rank, maxIter=max_iter, implicitPrefs=True, userCol="_row", itemCol="_col", ratingCol=value,
         seed=seed, checkpointInterval=-1,
     )
     model = als.fit(coded.select(F.col("_row").cast("int"), F.col("_col").cast("int"), F.col(value).cast("float")))
@@ -163,7 +164,7 @@ def train_factors(
 ) -> tuple[DataFrame, DataFrame]:
     """Implicit-feedback matrix factorisation; unit user and item vectors. Ids may be of any type."""
     pairs = inter.groupBy(user, item).agg(F.count(F.lit(1)).alias("_w"))
-    users, items = _factorise(pairs, user, item, "_w", rank, seed, max_iter, implicit=True)
+    users, items = _factorise(pairs, user, item, "_w", rank, seed, max_iter)
 
     def unit(factors: DataFrame, key: str) -> DataFrame:
         return factors.select(F.col("raw_id").alias(key), vectors.l2_normalize("features").alias("embedding"))
@@ -186,31 +187,41 @@ def item_cooccurrence(seqs: DataFrame, window: int = 5, col: str = "seq") -> Dat
     return once.unionByName(back).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def item_information(pairs: DataFrame, negatives: int = 1) -> DataFrame:
+    """``(a, b, value)``: positive pointwise mutual information of different items, less log ``negatives``."""
+    apart = pairs.where("a <> b")
+    totals = apart.groupBy("a").agg(F.sum("n").alias("_t"))
+    whole = totals.agg(F.sum("_t").cast("double").alias("_all"))
+    other = totals.select(F.col("a").alias("b"), F.col("_t").alias("_u"))
+    # the whole is one row
+    info = apart.join(totals, "a").join(other, "b").join(F.broadcast(whole))
+    value = F.log(F.col("n") * F.col("_all") / (F.col("_t").cast("double") * F.col("_u"))) - F.log(F.lit(float(negatives)))
+    return info.select("a", "b", value.alias("value")).where("value > 0")
+
+
 def train_item2vec(
     seqs: DataFrame,
     dim: int = 64,
     seed: int = SEED,
     window: int = 5,
-    max_iter: int = 10,
+    max_iter: int = 4,
+    negatives: int = 1,
     col: str = "seq",
     item: str = "item_idx",
 ) -> DataFrame:
     """Unit item vectors from the order of items in padded sequences.
 
     Skip-gram training with negative sampling factorises the pointwise mutual information of items and
-    their neighbours; here the positive part of that table is counted and factorised by ALS, so counting
-    and fitting are spread over the cluster. Every item of the sequences gets a vector.
+    their neighbours, less the log of the number of negatives; here the positive part of that table is
+    counted and its leading singular vectors are found, pairs that never meet counting as zero. Every item
+    of the sequences gets a vector; one without such neighbours a random one, as it would keep its start.
     """
     pairs = store(item_cooccurrence(seqs, window, col))
-    totals = pairs.groupBy("a").agg(F.sum("n").alias("_t"))
-    whole = totals.agg(F.sum("_t").cast("double").alias("_all"))
-    other = totals.select(F.col("a").alias("b"), F.col("_t").alias("_u"))
-    # the whole is one row
-    info = pairs.join(totals, "a").join(other, "b").join(F.broadcast(whole))
-    info = info.withColumn("_pmi", F.log(F.col("n") * F.col("_all") / (F.col("_t") * F.col("_u"))))
-    positive = info.where("_pmi > 0 or a = b").select("a", "b", F.greatest("_pmi", F.lit(0.01)).alias("_pmi"))
-    rows, _ = _factorise(positive, "a", "b", "_pmi", dim, seed, max_iter, implicit=False)
-    return rows.select(F.col("raw_id").alias(item), vectors.l2_normalize("features").alias("embedding"))
+    factors = symmetric_factors(item_information(pairs, negatives), dim, seed, max_iter)
+    every = pairs.select("a").distinct().join(factors, "a", "left")
+    placed = F.col("v").isNotNull() & (vectors.norm("v") > 0)
+    vector = F.when(placed, F.col("v")).otherwise(signs("a", dim, seed))
+    return every.select(F.col("a").alias(item), vector.alias("v")).select(item, vectors.l2_normalize("v").alias("embedding"))
 
 
 def build_item_embeddings(vectors_df: DataFrame, n_items: int, dim: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import negatives, retrieval, sequences, splits
+from ..operators import negatives, positions, retrieval, sequences, splits
 from ..sources import views
 from .common import digest as d_digest, draw as d_draw, query, view
 from .features import n_parts
@@ -103,6 +103,66 @@ def hard_negatives_position(spark, sf):
     return negatives.hard_negatives_position(pairs, lists, n, SKIP)
 
 
+# a unit vector for every position: the sum of its items' vectors up to it, an item j steps before weighing 0.9^j
+view(
+    "v_possteps",
+    """select user_idx, p - 1 pos, seq[p] - 1 item_idx
+       from (select user_idx, seq, unnest(range(1, len(seq))) p from v_evseq) where seq[p] <> 0""",
+)
+view(
+    "v_posraw",
+    """select user_idx, pos, d, power(0.9::double, pos) * sum(coalesce(embedding[d], 0) / power(0.9::double, pos))
+         over (partition by user_idx, d order by pos) s
+       from v_possteps left join v_items using (item_idx), (select unnest(range(1, 65)) d)""",
+)
+view(
+    "v_posunit",
+    """select user_idx, pos, d, s / case when n = 0 then 1 else n end x from (
+         select *, sqrt(sum(s * s) over (partition by user_idx, pos)) n from v_posraw)""",
+)
+view("v_posvec", "select user_idx, pos, list(x order by d) embedding from v_posunit group by 1, 2")
+view(
+    "v_postop",
+    topk_sql(
+        "list_dot_product(q.embedding, i.embedding)", 41, "desc",
+        "from (select example_id query_id, embedding from v_pospairs join v_posvec using (user_idx, pos)) q, v_items i",
+    ),
+)
+
+
+@query("encode_positions", "select user_idx, pos, (d - 1)::int dim, round(x, 6) x from v_posunit")
+def encode_positions(spark, sf):
+    from .vectors import event_seqs
+
+    out = positions.encode_positions(event_seqs(spark, sf), views.item_vectors(spark, sf), decay=0.9)
+    return out.select("user_idx", F.col("pos").cast("long").alias("pos"), F.posexplode("embedding").alias("dim", "x")).withColumn(
+        "x", F.round("x", 6)
+    )
+
+
+@query(
+    "mine_positions",
+    f"""select example_id, pool[1 + {d_draw('example_id')} % len(pool)] neg_item_idx from (
+          select example_id, list(item_idx order by rank) pool from (
+            select *, row_number() over (partition by example_id order by rank) r,
+              count(*) over (partition by example_id) c
+            from (select example_id, t.item_idx, t.rank from v_pospairs p join v_postop t on t.query_id = p.example_id
+                  where t.item_idx <> p.target))
+          where c <= {SKIP} or r > {SKIP} group by 1)
+        union all
+        select example_id, (target + 1 + {d_draw('example_id', '1')} % (m - 1)) % m
+        from v_pospairs anti join v_posvec using (user_idx, pos), (select count(*) m from v_items)""",
+)
+def mine_positions(spark, sf):
+    """Each position searches with its own vector; the first of a history has none and gets a random item."""
+    from .vectors import event_seqs
+
+    items = views.item_vectors(spark, sf)
+    return positions.mine_positions(
+        position_pairs(spark, sf), event_seqs(spark, sf), items, items.count(), 40, SKIP, decay=0.9
+    )
+
+
 @query(
     "random_negatives_user",
     f"""select example_id, user_idx, max(case when j = 1 then item_idx end) neg_item_idx_1,
