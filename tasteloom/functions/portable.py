@@ -6,6 +6,8 @@ task retries or on the order rows arrive in.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +33,9 @@ def draw_below(n, *keys, seed: int) -> Column:
 def draw01(*keys, seed: int) -> Column:
     """A uniform double in ``[0, 1)``."""
     return draw(*keys, seed=seed) / F.lit(float(16**_HEX))
+
+
+def normal(*keys, seed: int) -> Column:
+    """A standard gaussian number, from two uniform draws."""
+    size = (draw(*keys, F.lit(0), seed=seed) + 1) / F.lit(float(16**_HEX))
+    return F.sqrt(-2.0 * F.log(size)) * F.cos(2.0 * math.pi * draw01(*keys, F.lit(1), seed=seed))

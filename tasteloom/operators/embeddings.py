@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, vectors
+from ..functions.portable import normal
 from ..schemas import SEED
 from ..session import store
 from .prep import decode_ids, encode_ids
@@ -83,15 +84,16 @@ def dimension_stats(emb: DataFrame, col: str = "embedding") -> DataFrame:
 def expand_embeddings(
     emb: DataFrame, target: int, seed: int = SEED, key: str = "vec_id"
 ) -> DataFrame:
-    """The given vectors plus gaussian ones with the same mean and spread, up to ``target``."""
+    """The given vectors plus gaussian ones with the same mean and spread, up to ``target``.
+
+    A number is drawn from its row's key, its dimension and the seed, so a rerun in other partitions agrees.
+    """
     have = emb.select(key, F.col("embedding").cast("array<double>").alias("embedding"))
     n = have.count()
     if n >= target:
         return have
     stats = {r["pos"]: (r["mean"], r["std"]) for r in dimension_stats(emb).collect()}
-    draws = [
-        F.randn(seed * 100_003 + d) * F.lit(stats[d][1]) + F.lit(stats[d][0]) for d in sorted(stats)
-    ]
+    draws = [normal(key, F.lit(d), seed=seed) * F.lit(stats[d][1]) + F.lit(stats[d][0]) for d in sorted(stats)]
     # drawn in one step and normalised in the next, or each use would draw again
     drawn = emb.sparkSession.range(n, target).select(F.col("id").alias(key), F.array(*draws).alias("_v"))
     made = drawn.select(key, vectors.l2_normalize("_v").alias("embedding"))

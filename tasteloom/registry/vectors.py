@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, vectors
 from ..operators import ann, embeddings, features, retrieval, splits
 from ..sources import views
-from .common import digest as d_digest, query, view
+from .common import digest as d_digest, draw as d_draw, draw01 as d_draw01, query, view
 from .sequences import L, labelled_events, train_seqs
 
 
@@ -154,6 +154,23 @@ def expand_embeddings(spark, sf):
     return embeddings.expand_embeddings(emb, 2 * emb.count())
 
 
+@query(
+    "expanded_elements",
+    f"""select * from (with st as (select generate_subscripts(embedding, 1) - 1 dim, unnest(embedding) e from v_items),
+         stats as (select dim, avg(e) m, stddev_pop(e) s from st group by 1),
+         made as (select id, dim, m + s * sqrt(-2 * ln(({d_draw('id', 'dim', '0')} + 1) / 4503599627370496.0::double))
+             * cos(2 * pi() * {d_draw01('id', 'dim', '1')}) v
+           from (select unnest(range((select count(*) from v_items), 2 * (select count(*) from v_items))) id), stats)
+       select id vec_id, dim::int dim, round(v / sqrt(sum(v * v) over (partition by id)), 6) x from made
+       union all select item_idx, dim::int, round(e, 6)
+       from (select item_idx, generate_subscripts(embedding, 1) - 1 dim, unnest(embedding) e from v_items))""",
+)
+def expanded_elements(spark, sf):
+    """Every element of the expanded table."""
+    made = expand_embeddings(spark, sf)
+    return made.select("vec_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.round("x", 6))
+
+
 @query(
     "encode_sequences",
     """with w as (select user_idx, unnest(seq) it, generate_subscripts(seq, 1) p from v_evseq),
