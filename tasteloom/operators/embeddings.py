@@ -93,9 +93,11 @@ def expand_embeddings(
     if n >= target:
         return have
     stats = {r["pos"]: (r["mean"], r["std"]) for r in dimension_stats(emb).collect()}
-    draws = [normal(key, F.lit(d), seed=seed) * F.lit(stats[d][1]) + F.lit(stats[d][0]) for d in sorted(stats)]
+    form = F.array(*[F.struct(F.lit(stats[d][0]).alias("mean"), F.lit(stats[d][1]).alias("std")) for d in sorted(stats)])
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(len(stats) - 1)), lambda d: normal(key, d, seed=seed))
+    draws = F.zip_with(numbers, form, lambda x, f: x * f["std"] + f["mean"])
     # drawn in one step and normalised in the next, or each use would draw again
-    drawn = emb.sparkSession.range(n, target).select(F.col("id").alias(key), F.array(*draws).alias("_v"))
+    drawn = emb.sparkSession.range(n, target).select(F.col("id").alias(key), draws.alias("_v"))
     made = drawn.select(key, vectors.l2_normalize("_v").alias("embedding"))
     return have.unionByName(made)
 
