@@ -314,10 +314,11 @@ def training_negatives(
 def collision_mask(pairs: DataFrame, negs: DataFrame, keys=("user_idx",)) -> DataFrame:
     """The (position, slot) pairs to mask: a sampled negative that is the position's own target.
 
-    An equi-join on sequence and item, so positions x negatives never become rows.
+    An equi-join on sequence and item, so positions x negatives never become rows. Both sides are unfolded from a
+    row per sequence, which Spark's size estimate does not see: the hint keeps either from being broadcast.
     """
     targets = pairs.select(*keys, "pos", F.col("target").alias("neg_item_idx"))
-    return targets.join(negs, [*keys, "neg_item_idx"]).select(*keys, "pos", "slot", "neg_item_idx")
+    return targets.join(negs.hint("merge"), [*keys, "neg_item_idx"]).select(*keys, "pos", "slot", "neg_item_idx")
 
 
 def negatives_excluding(
