@@ -21,3 +21,30 @@ def test_collision_mask_broadcasts_neither_side(spark):
     drawn = [(r["user_idx"], r["slot"], r["neg_item_idx"]) for r in negs.collect()]
     want = sorted((u, p, s, i) for u, s, i in drawn for p in range(10) if p % 5 == i)
     assert sorted(tuple(r) for r in mask.select("user_idx", "pos", "slot", "neg_item_idx").collect()) == want
+
+
+def test_unmasked_popularity_gives_every_user_the_same_rows(spark):
+    counts = spark.range(50).select(F.col("id").alias("item_idx"), (F.col("id") % 7).alias("cnt"))
+    users = spark.createDataFrame([(1,), (2,), (None,)], "query_id long")
+    got = retrieval.popularity_topk(counts, 8, users)
+    best = sorted(((i % 7, i) for i in range(50)), key=lambda e: (-e[0], e[1]))[:8]
+    want = [(u, i, c, r + 1) for u in (1, 2, None) for r, (c, i) in enumerate(best)]
+    found = [tuple(r) for r in got.select("query_id", "item_idx", "score", "rank").collect()]
+    assert Counter(found) == Counter(want)
+    # places of users meet the ranking in no join
+    assert "HashJoin" not in plan_of(got) and "SortMergeJoin" not in plan_of(got)
+
+
+def test_unmasked_popularity_counts_a_user_listed_twice(spark):
+    counts = spark.range(50).select(F.col("id").alias("item_idx"), F.lit(1).alias("cnt"))
+    got = retrieval.popularity_topk(counts, 5, spark.createDataFrame([(1,), (1,)], "query_id long"))
+    assert sorted((r["rank"], r["item_idx"]) for r in got.collect()) == [(1, 0), (2, 0), (3, 1), (4, 1), (5, 2)]
+
+
+def test_masked_popularity_walks_past_the_history(spark):
+    counts = spark.range(30).select(F.col("id").alias("item_idx"), (100 - F.col("id")).alias("cnt"))
+    users = spark.createDataFrame([(1,), (2,)], "query_id long")
+    history = spark.createDataFrame([(1, 0), (1, 2), (2, 29)], "query_id long, item_idx long")
+    got = retrieval.popularity_topk(counts, 3, users, history)
+    lists = {u: [r["item_idx"] for r in sorted(got.collect(), key=lambda r: r["rank"]) if r["query_id"] == u] for u in (1, 2)}
+    assert lists == {1: [1, 3, 4], 2: [0, 1, 2]}
