@@ -1,5 +1,6 @@
 """What must not grow with the input: broadcasts of unfolded rows, and what is written, shuffled or held for each row."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -48,3 +49,27 @@ def test_masked_popularity_walks_past_the_history(spark):
     got = retrieval.popularity_topk(counts, 3, users, history)
     lists = {u: [r["item_idx"] for r in sorted(got.collect(), key=lambda r: r["rank"]) if r["query_id"] == u] for u in (1, 2)}
     assert lists == {1: [1, 3, 4], 2: [0, 1, 2]}
+
+
+def test_popularity_draws_in_two_steps_are_the_same_draws(spark, monkeypatch):
+    counts, n, seen_draws = [60, 1, 1, 1, 3, 1, 9, 1, 1, 1, 1, 1], 6, []
+    inner = negatives.past_gaps
+
+    def counted(draws, *rest):
+        seen_draws.append(draws.count())
+        return inner(draws, *rest)
+
+    monkeypatch.setattr(negatives, "past_gaps", counted)
+    table = spark.createDataFrame(list(enumerate(counts)), "item_idx long, cnt long")
+    users = spark.range(40).select(F.col("id").alias("user_idx"))
+    none = spark.createDataFrame([], "user_idx long, item_idx long")
+    lists = {}
+    for r in negatives.weighted_unseen(users, none, table, n).orderBy("user_idx", "slot").collect():
+        lists.setdefault(r["user_idx"], []).append(r["item_idx"])
+    holder = np.repeat(np.arange(len(counts)), counts)
+    for u in range(40):
+        x = [int(hashlib.md5(f"{u}|{a}|w|42".encode()).hexdigest()[:13], 16) % len(holder) for a in range(1, 4 * n + 1)]
+        first = list(dict.fromkeys(int(holder[i]) for i in x))[:n]
+        assert lists[u][: len(first)] == first and len(lists[u]) == n
+    # all users draw a little more than they want, and only those still short the rest of their four draws an item
+    assert seen_draws[0] == 40 * (n + 1 + 4) and seen_draws[1] % (4 * n - n - 5) == 0
