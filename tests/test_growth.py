@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from tasteloom.operators import negatives, retrieval
+from tasteloom.operators import negatives, positions, retrieval
+from tasteloom.operators.sequences import next_item_pairs
 
 
 def plan_of(df):
@@ -73,3 +74,21 @@ def test_popularity_draws_in_two_steps_are_the_same_draws(spark, monkeypatch):
         assert lists[u][: len(first)] == first and len(lists[u]) == n
     # all users draw a little more than they want, and only those still short the rest of their four draws an item
     assert seen_draws[0] == 40 * (n + 1 + 4) and seen_draws[1] % (4 * n - n - 5) == 0
+
+
+def test_mined_positions_keep_their_lists_beside_them(spark):
+    rng = np.random.default_rng(5)
+    seqs = spark.createDataFrame([(u, [0, *[int(x) + 1 for x in rng.integers(0, 9, 7)]]) for u in range(12)], "user_idx long, seq array<bigint>")
+    items = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(9)], "item_idx long, embedding array<double>")
+    pairs = next_item_pairs(seqs).withColumn("example_id", F.col("user_idx") * 100 + F.col("pos")).drop("history")
+    mined = positions.mine_positions(pairs, seqs, items, 9, 4, skip_top=2)
+    assert "collect_list" not in plan_of(mined)  # no list is put together again from its rows
+    twice = positions.mine_positions(pairs, seqs, items.union(items), 9, 4, skip_top=2)
+    assert twice.count() == twice.select("example_id").distinct().count() <= pairs.count()
+    # the same draws as from lists that are rows
+    encoded = positions.encode_positions(seqs, items)
+    queries = pairs.join(encoded, ["user_idx", "pos"]).select(F.col("example_id").alias("query_id"), "embedding")
+    want = negatives.hard_negatives_position(pairs, retrieval.exact_topk(queries, items, 5), 9, 2)
+    assert sorted(map(tuple, mined.select("example_id", "neg_item_idx").collect())) == sorted(
+        map(tuple, want.select("example_id", "neg_item_idx").collect())
+    )
