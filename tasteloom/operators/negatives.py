@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.portable import digest, draw, draw_below
 from ..schemas import MINING_SKIP_TOP, RANDOM_NEGATIVES, SEED
@@ -188,24 +193,66 @@ def uniform_unseen(
     Floyd's sampling, one rule for every user: step i draws a place among the first
     ``room - n + i`` unseen items and takes the last of these instead if the draw is taken
     already. Every set of ``n`` places is equally likely; there is no retry, and a user costs
-    ``n`` steps however many items are unseen.
+    ``n`` steps however many items are unseen. The places and the seen list of a user are one row, so that only
+    the seen items are shuffled; users who have seen more than ``LISTED_SEEN`` go through ``nth_unseen``.
+    """
+    counts = unseen_counts(seen, n_items, user)
+    long = store(counts.where(F.lit(n_items) - F.col("unseen") > LISTED_SEEN))
+    hot = not long.isEmpty()
+    # a null item is a gap before all places
+    entry = F.coalesce(F.col("item_idx").cast("long"), F.lit(-(1 << 62)))
+    short, asked = seen, users.select(user)
+    if hot:
+        short, asked = (df.join(F.broadcast(long.select(user)), user, "left_anti") for df in (seen, asked))
+    listed = short.groupBy(user).agg(F.sort_array(F.collect_list(entry)).alias("_seen"))
+    room = (F.lit(n_items) - F.coalesce(F.size("_seen"), F.lit(0))).cast("long")
+    rows = spread(asked, user).join(listed, user, "left").withColumn("_room", room)
+    found = _floyd_lists(rows, n, seed, user)
+    if hot:
+        rows = users.select(user).join(F.broadcast(long), user).withColumn("_room", F.col("unseen").cast("long"))
+        draws = _floyd_lists(rows.withColumn("_seen", F.lit(None).cast("array<bigint>")), n, seed, user)
+        rest = nth_unseen(draws.withColumnRenamed("item_idx", "r"), seen, user, (user, "slot"))
+        found = found.unionByName(rest)
+    return found
+
+
+LISTED_SEEN = 100_000  # seen items of a user that may lie in one row
+
+
+def _floyd_lists(rows: DataFrame, n: int, seed: int, user: str) -> DataFrame:
+    """Places of Floyd's sampling for ``(user, _room, _seen)``, moved past the sorted seen items: ``(user, slot, item_idx)``.
+
+    A draw is that of ``functions.portable``, the step being its second key.
     """
-    room = users.select(user).join(unseen_counts(seen, n_items, user), user, "left")
-    room = room.select(user, F.coalesce("unseen", F.lit(n_items)).cast("long").alias("room")).where("room > 0")
-    room = spread(room, user).withColumn("_k", F.least(F.lit(n).cast("long"), F.col("room")))
-
-    def step(i):
-        last = F.col("room") - F.col("_k") + i - 1
-        return F.struct(last.alias("last"), draw_below(last + 1, user, i, seed=seed).alias("r"))
-
-    def take(places, s):
-        return F.concat(places, F.array(F.when(F.array_contains(places, s["r"]), s["last"]).otherwise(s["r"])))
-
-    steps = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_k")), step)
-    places = F.aggregate(steps, F.array().cast("array<bigint>"), take)
-    chosen = room.select(user, F.posexplode(places).alias("slot", "r"))
-    draws = chosen.select(user, (F.col("slot") + 1).alias("slot"), "r")
-    return nth_unseen(draws, seen, user, (user, "slot"))
+
+    def drawn(text: str | None, room: int) -> list[int]:
+        head, taken = "" if text is None else f"{text}|", {}
+        k = min(n, room)
+        for i in range(1, k + 1):
+            last = room - k + i - 1
+            r = int(hashlib.md5(f"{head}{i}|{seed}".encode()).hexdigest()[:13], 16) % (last + 1)
+            taken[last if r in taken else r] = i
+        return list(taken)
+
+    def run(batches):
+        for batch in batches:
+            seen, out = batch.column("_seen"), []
+            for i, (text, room) in enumerate(zip(batch.column("_text").to_pylist(), batch.column("_room").to_pylist())):
+                r = np.array(drawn(text, room), dtype=np.int64)
+                if seen[i].is_valid:
+                    s = seen[i].values.to_numpy(zero_copy_only=False)
+                    r = r + np.searchsorted(s - np.arange(len(s)), r, "right")
+                out.append(r)
+            sizes = [len(r) for r in out]
+            owner = batch.column(user).take(pa.array(np.repeat(np.arange(len(out)), sizes)))
+            slots = [np.arange(1, size + 1, dtype=np.int32) for size in sizes]
+            columns = [owner, *(pa.array(np.concatenate(x)) for x in (slots, out))]
+            yield pa.RecordBatch.from_arrays(columns, [user, "slot", "item_idx"])
+
+    kinds = [T.StructField("slot", T.IntegerType()), T.StructField("item_idx", T.LongType())]
+    schema = T.StructType([rows.schema[user], *kinds])
+    asked = rows.where("_room > 0").select(user, F.col(user).cast("string").alias("_text"), "_room", "_seen")
+    return asked.mapInArrow(run, schema)
 
 
 def weighted_unseen(

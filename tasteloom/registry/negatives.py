@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import negatives, positions, retrieval, sequences, splits
+from ..operators import features, negatives, positions, retrieval, sequences, splits
 from ..sources import views
 from .common import digest as d_digest, draw as d_draw, query, view
 from .features import n_parts
 from .sequences import labelled, labelled_events
-from .vectors import part_counts, topk_sql, user_vectors
+from .vectors import topk_sql, user_vectors
 
 SKIP = 20
 
@@ -241,13 +241,13 @@ view(
 
 
 def candidates(spark, sf, strategy):
-    lab = labelled(spark, sf)
+    lab, n = labelled(spark, sf), n_parts(spark, sf)
     return negatives.sampled_candidates(
         splits.take_split(lab, "test"),
         sequences.user_positive_sets(lab, 0.0),
-        n_parts(spark, sf),
+        n,
         strategy,
-        counts=part_counts(spark, sf),
+        counts=None if strategy == "uniform" else features.item_counts(splits.take_split(lab, "train"), n),
     )
 
 
