@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import K_LIST
 from .grid import grid_apply
+from .ordering import top_per_group
 
 NAMES = ("HitRate", "Recall", "NDCG", "MRR")
 
@@ -131,8 +132,22 @@ def in_batch_hit_rate(pairs: DataFrame, batch: str = "batch", k: int = 10) -> Da
     )
 
 
-def sampled_hit_rate(pos: DataFrame, neg: DataFrame, k: int = 10, key: str = "row_id") -> DataFrame:
-    """Share of rows with fewer than ``k`` sampled negatives scoring strictly higher."""
+def sampled_hit_rate(
+    pos: DataFrame, neg: DataFrame, k: int = 10, key: str = "row_id", group: str | None = None
+) -> DataFrame:
+    """Share of rows with fewer than ``k`` sampled negatives scoring strictly higher.
+
+    With ``group`` the rows of a group share its negatives: their best ``k`` scores decide, so rows x negatives
+    are never formed.
+    """
+    if group is not None:
+        best = top_per_group(neg.where("score is not null").select(group, "score"), [group], [F.col("score").desc()], k, "_n")
+        lists = best.groupBy(group).agg(F.collect_list("score").alias("_best"))
+        # rows may be unfolded from a list, which Spark's size estimate does not see: they must not be broadcast
+        met = pos.select(group, key, "score").hint("merge").join(lists, group, "left")
+        higher = F.size(F.filter("_best", lambda s: s > F.col("score")))
+        above = met.groupBy(key).agg(F.sum(F.when(F.col("_best").isNull(), 0).otherwise(higher)).alias("above"))
+        return above.agg(F.avg((F.col("above") < k).cast("double")).alias("hit_rate"))
     joined = pos.select(key, F.col("score").alias("_own")).join(neg.select(key, "score"), key, "left")
     above = joined.groupBy(key).agg(F.count(F.when(F.col("score") > F.col("_own"), 1)).alias("above"))
     return above.agg(F.avg((F.col("above") < k).cast("double")).alias("hit_rate"))
